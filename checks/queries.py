@@ -126,7 +126,7 @@ def queries() -> dict[str, Query]:
         "opening_stock": _of_table(aggregates.opening_stock, "inventory"),
         "opening_stock_global": _of_table(aggregates.opening_stock, "inventory", "inventory_global"),
         "running_stock": lambda spark, sf_dir: running_stock(_fact(spark, sf_dir)).drop("line_no"),
-        "company_list": lambda spark, sf_dir: exploration.company_list(_fact(spark, sf_dir)),
+        "company_list": _of_table(exploration.company_list, "sales"),
         "company_overview": _of_rounds(exploration.company_overview),
         "demand_matrix": _of_rounds(exploration.demand_matrix),
         "sales_matrix": _of_rounds(exploration.sales_matrix),

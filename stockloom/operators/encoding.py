@@ -89,7 +89,7 @@ def _fill(lines: DataFrame, numbers: list[str], texts: list[str]) -> DataFrame:
     columns = [*numbers, *texts]
     fillers = lines.select("company").distinct()
     if numbers:
-        medians = exact_quantiles(long_form(training, numbers, "double"), ["company", "column"], [0.5])
+        medians = exact_quantiles(training, ["company"], numbers, [0.5])
         fillers = fillers.join(
             medians.groupBy("company").agg(
                 *[F.max(F.when(F.col("column") == c, F.col("quantile"))).alias(f"{c}__fill") for c in numbers]

@@ -7,7 +7,7 @@ each quantile; the values inside the bracket are counted and ranked exactly.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from ..sources.scratch import keep
 from .ordered import along_order, in_order
@@ -19,67 +19,102 @@ ACCURACY = 10_000
 BRACKET_FROM = 100_000
 
 
-def exact_quantiles(values: DataFrame, keys: list[str], probabilities: list[float]) -> DataFrame:
-    """Quantiles of the ``value`` column per ``keys``.
+def exact_quantiles(
+    df: DataFrame,
+    keys: list[str],
+    columns: list[str],
+    probabilities: list[float],
+    bracket_from: int = BRACKET_FROM,
+) -> DataFrame:
+    """Quantiles of each of ``columns`` per ``keys``; nulls are left out.
 
-    Returns ``keys``, ``probability`` and ``quantile``. Nulls are left out.
+    Returns ``keys``, ``column``, ``probability`` and ``quantile``, without a row
+    for a column that has no value in the group. The rows are read three times:
+    for the sketches, to count what lies below the brackets, and to take out
+    what lies inside. Only the last is shuffled as rows.
     """
-    values = values.select(*keys, F.col("value").cast("double").alias("value")).where(F.col("value").isNotNull())
-    brackets = keep(_brackets(values, keys, probabilities), "quantile_brackets")
+    values = df.select(*keys, *[F.col(c).cast("double").alias(f"v{i}") for i, c in enumerate(columns)])
+    targets = [(i, j) for i in range(len(columns)) for j in range(len(probabilities))]
 
-    # Values above a bracket are not needed, those below only as a number: they
-    # all become one row, and equal values inside become one row each.
-    below = F.lit(float("-inf"))
+    brackets = keep(_brackets(values, keys, len(columns), probabilities, bracket_from), "quantile_brackets")
+    inside = values.join(brackets.select(*keys, *[f"{end}{i}_{j}" for i, j in targets for end in ("low", "high")]), keys)
+    below = inside.groupBy(*keys).agg(
+        *[F.count_if(F.col(f"v{i}") < F.col(f"low{i}_{j}")).alias(f"below{i}_{j}") for i, j in targets]
+    )
+
+    def in_bracket(i: int, j: int) -> Column:
+        value = F.col(f"v{i}")
+        hit = value.between(F.col(f"low{i}_{j}"), F.col(f"high{i}_{j}"))
+        return F.when(hit, F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"), value.alias("value")))
+
+    # Equal values become one row, however many there are.
+    group = [*keys, "i", "j"]
     counts = (
-        values.join(brackets.select(*keys, "probability", "lowest", "highest"), keys)
-        .where(F.col("value") <= F.col("highest"))
-        .groupBy(*keys, "probability", F.when(F.col("value") >= F.col("lowest"), F.col("value")).otherwise(below).alias("value"))
+        inside.select(*keys, F.inline(F.array_compact(F.array(*[in_bracket(i, j) for i, j in targets]))))
+        .groupBy(*group, "value")
         .agg(F.count(F.lit(1)).alias("n"))
     )
-    group = [*keys, "probability"]
     ranked = along_order(
         in_order(counts, [*group, "value"], "quantile_counts"), group, running={"up_to": F.col("n")}
     )
 
-    def at(rank: str):
+    places = keep(_places(brackets.join(below, keys), keys, targets, probabilities), "quantile_places")
+
+    def at(rank: str) -> Column:
         hit = (F.col("up_to") > F.col(rank)) & (F.col("up_to") - F.col("n") <= F.col(rank))
         return F.max(F.when(hit, F.col("value")))
 
+    name = F.array(*[F.lit(c) for c in columns])[F.col("i")]
+    probability = F.array(*[F.lit(float(p)) for p in probabilities])[F.col("j")]
     return (
-        ranked.join(brackets.select(*group, "low_rank", "high_rank", "fraction"), group)
+        ranked.join(places, group)
         .groupBy(*group)
-        .agg(at("low_rank").alias("low"), at("high_rank").alias("high"), F.first("fraction").alias("fraction"))
-        .select(*group, (F.col("low") + (F.col("high") - F.col("low")) * F.col("fraction")).alias("quantile"))
+        .agg(at("low_rank").alias("lower"), at("high_rank").alias("upper"), F.first("fraction").alias("fraction"))
+        .select(
+            *keys,
+            name.alias("column"),
+            probability.alias("probability"),
+            (F.col("lower") + (F.col("upper") - F.col("lower")) * F.col("fraction")).alias("quantile"),
+        )
     )
 
 
-def _brackets(values: DataFrame, keys: list[str], probabilities: list[float]) -> DataFrame:
+def _brackets(values: DataFrame, keys: list[str], width: int, probabilities: list[float], bracket_from: int) -> DataFrame:
+    """One row per group: the count of each column and the ends of each bracket."""
     margin = 2 / ACCURACY
-    ends = [(max(p - margin, 0.0), min(p + margin, 1.0)) for p in probabilities]
-    sketch = F.percentile_approx("value", [end for pair in ends for end in pair], ACCURACY)
-    sized = values.groupBy(*keys).agg(
-        F.count("value").alias("n"), sketch.alias("ends"), F.min("value").alias("least"), F.max("value").alias("most")
-    )
-    whole = F.col("n") <= BRACKET_FROM
-    each = F.explode(
-        F.array(
-            *[
-                F.struct(
-                    F.lit(float(p)).alias("probability"),
-                    F.when(whole, F.col("least")).otherwise(F.col("ends")[2 * i]).alias("lowest"),
-                    F.when(whole, F.col("most")).otherwise(F.col("ends")[2 * i + 1]).alias("highest"),
-                )
-                for i, p in enumerate(probabilities)
-            ]
-        )
+    ends = [end for p in probabilities for end in (max(p - margin, 0.0), min(p + margin, 1.0))]
+    sketches = values.groupBy(*keys).agg(
+        *[F.count(f"v{i}").alias(f"n{i}") for i in range(width)],
+        *[F.min(f"v{i}").alias(f"least{i}") for i in range(width)],
+        *[F.max(f"v{i}").alias(f"most{i}") for i in range(width)],
+        *[F.percentile_approx(f"v{i}", ends, ACCURACY).alias(f"ends{i}") for i in range(width)],
     )
-    place = (F.col("n") - 1) * F.col("probability")
-    return sized.select(*keys, "n", each.alias("bracket")).select(*keys, "n", "bracket.*").select(
+
+    def end(i: int, position: int, otherwise: str) -> Column:
+        whole = F.col(f"n{i}") <= bracket_from
+        return F.when(whole, F.col(f"{otherwise}{i}")).otherwise(F.col(f"ends{i}")[position])
+
+    return sketches.select(
         *keys,
-        "probability",
-        "lowest",
-        "highest",
-        F.floor(place).alias("low_rank"),
-        F.ceil(place).alias("high_rank"),
-        (place - F.floor(place)).alias("fraction"),
+        *[f"n{i}" for i in range(width)],
+        *[end(i, 2 * j, "least").alias(f"low{i}_{j}") for i in range(width) for j in range(len(probabilities))],
+        *[end(i, 2 * j + 1, "most").alias(f"high{i}_{j}") for i in range(width) for j in range(len(probabilities))],
     )
+
+
+def _places(sized: DataFrame, keys: list[str], targets: list[tuple[int, int]], probabilities: list[float]) -> DataFrame:
+    """Where each quantile lies: two ranks among the values inside its bracket,
+    and how far to go from one to the other."""
+
+    def place(i: int, j: int) -> Column:
+        rank = (F.col(f"n{i}") - 1) * F.lit(float(probabilities[j]))
+        below = F.col(f"below{i}_{j}")
+        return F.struct(
+            F.lit(i).alias("i"),
+            F.lit(j).alias("j"),
+            (F.floor(rank) - below).alias("low_rank"),
+            (F.ceil(rank) - below).alias("high_rank"),
+            (rank - F.floor(rank)).alias("fraction"),
+        )
+
+    return sized.select(*keys, F.inline(F.array(*[place(i, j) for i, j in targets])))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.expressions import exact_mean, round_half_even
+from ..operators.aggregates import LINE_KEYS
 from ..operators.encoding import long_form
 from ..operators.quantiles import exact_quantiles
 from ..operators.rollup import last_rounds
@@ -15,8 +16,13 @@ NOT_PROFILED = ("demand_lag1", "market_price_lag1", "marketing_lag1", "trend", "
 QUARTILES = {0.25: "q25", 0.5: "q50", 0.75: "q75"}
 
 
-def company_list(fact: DataFrame) -> DataFrame:
-    return fact.select("company").dropna().distinct().orderBy("company")
+def company_list(sales: DataFrame) -> DataFrame:
+    """Companies with at least one complete sales line, sorted.
+
+    Every line of the fact comes from such a line, so the fact is not needed.
+    """
+    keys = [key for key in LINE_KEYS if key in sales.columns]
+    return sales.dropna(subset=keys).select("company").distinct().orderBy("company")
 
 
 def company_overview(rounds: DataFrame) -> DataFrame:
@@ -58,7 +64,7 @@ def profile_numeric(features: DataFrame, columns: list[str] | None = None) -> Da
     """Count, mean, sample deviation, extremes and quartiles of each number.
 
     One row per company and column. Everything but the quartiles comes from one
-    pass in wide form; the lines are read twice more for the quartiles.
+    pass; the lines are read several times, so keep them first.
     """
     columns = columns or numeric_columns(features)
 
@@ -76,7 +82,7 @@ def profile_numeric(features: DataFrame, columns: list[str] | None = None) -> Da
     wide = features.groupBy("company").agg(F.array(*[summary(c) for c in columns]).alias("summaries"))
     summaries = wide.select("company", F.inline("summaries"))
     quartiles = (
-        exact_quantiles(long_form(features, columns, "double"), ["company", "column"], list(QUARTILES))
+        exact_quantiles(features, ["company"], columns, list(QUARTILES))
         .groupBy("company", "column")
         .agg(*[F.max(F.when(F.col("probability") == p, F.col("quantile"))).alias(n) for p, n in QUARTILES.items()])
     )

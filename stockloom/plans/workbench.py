@@ -51,7 +51,7 @@ class Workbench:
         return forecast_metrics(self.forecast(model).lines)
 
     def companies(self) -> DataFrame:
-        return exploration.company_list(self.fact)
+        return exploration.company_list(self.tables.sales)
 
     def overview(self) -> DataFrame:
         return exploration.company_overview(self.rounds)
