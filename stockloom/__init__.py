@@ -1 +1,43 @@
-"""Demand forecasting and production planning on Spark."""
+"""Demand forecasting and production planning on Spark.
+
+>>> from stockloom import Workbench, read_tables
+>>> bench = Workbench(read_tables(spark, "/data/planning"))   # doctest: +SKIP
+>>> bench.planning_table("ridge").show()                             # doctest: +SKIP
+"""
+
+from .operators.aggregates import (
+    market_price,
+    marketing_by_round,
+    opening_stock,
+    production_by_round,
+    sales_lines,
+)
+from .operators.rollup import last_rounds, product_rounds, product_totals
+from .plans.comparison import company_comparison, model_comparison
+from .plans.exploration import (
+    company_list,
+    company_overview,
+    demand_matrix,
+    last_round_stock,
+    profile_numeric,
+    profile_text,
+    sales_matrix,
+)
+from .plans.fact import sales_fact
+from .plans.features import demand_features, running_stock
+from .plans.forecasting import MODELS, Forecast, forecast, forecast_metrics
+from .plans.planning import (
+    demand_timeline,
+    financial_summary,
+    forecast_vs_history,
+    planning_indicators,
+    planning_table,
+    product_forecast,
+    requirement_recap,
+)
+from .plans.workbench import Workbench
+from .sources.contract import ContractError
+from .sources.reports import write_report
+from .sources.tables import Tables, catalog_tables, read_tables
+
+__all__ = [name for name in dir() if not name.startswith("_") and name not in ("operators", "plans", "sources", "functions")]
