@@ -227,17 +227,29 @@ indicators as (
 )"""
 
 
+def _quartile(p: float) -> str:
+    """Linear interpolation from the nearer of the two ranks around the quantile."""
+    rank = f"(len(s) - 1) * {p}"
+    low, high = f"s[cast(floor({rank}) as bigint) + 1]", f"s[cast(ceil({rank}) as bigint) + 1]"
+    t = f"({rank} - floor({rank}))"
+    near = f"case when {t} >= 0.5 then {high} - ({high} - {low}) * (1 - {t}) else {low} + ({high} - {low}) * {t} end"
+    return f"round_even({near}, 2)"
+
+
 def _profile_numeric() -> str:
     parts = [
         f"""select company, '{c}' as "column", count({c}) as "count",
          round_even({total(c)} / count({c}), 2) as mean, round_even(stddev_samp({c}), 2) as std,
-         round_even(min({c}), 2) as "min", round_even(quantile_cont({c}, 0.25), 2) as q25,
-         round_even(quantile_cont({c}, 0.5), 2) as q50, round_even(quantile_cont({c}, 0.75), 2) as q75,
-         round_even(max({c}), 2) as "max"
+         round_even(min({c}), 2) as "min", round_even(max({c}), 2) as "max",
+         list_sort(list({c}) filter (where {c} is not null)) as s
   from features group by company"""
         for c in NUMBERS
     ]
-    return "\nunion all\n".join(parts)
+    measured = "\nunion all\n".join(parts)
+    quartiles = ", ".join(f"{_quartile(p)} as {name}" for p, name in ((0.25, "q25"), (0.5, "q50"), (0.75, "q75")))
+    return f"""select * exclude (s), {quartiles} from (
+{measured}
+)"""
 
 
 def _profile_text() -> str:

@@ -74,11 +74,17 @@ def exact_quantiles(
             *keys,
             name.alias("column"),
             probability.alias("probability"),
-            (F.col("lower") + (F.col("upper") - F.col("lower")) * F.col("fraction")).alias("quantile"),
+            _between("lower", "upper", "fraction").alias("quantile"),
         )
     )
 
 
+def _between(lower: str, upper: str, fraction: str) -> Column:
+    """Linear interpolation from the nearer end, as numpy does it."""
+    low, high, t = F.col(lower), F.col(upper), F.col(fraction)
+    return F.when(t >= 0.5, high - (high - low) * (1 - t)).otherwise(low + (high - low) * t)
+
+
 def _brackets(values: DataFrame, keys: list[str], width: int, probabilities: list[float], bracket_from: int) -> DataFrame:
     """One row per group: the count of each column and the ends of each bracket."""
     margin = 2 / ACCURACY
