@@ -6,13 +6,18 @@ expressions, so Catalyst can fold, prune and generate code for all of them.
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import Column, functions as F
 
 # Amounts and quantities are summed as fixed-point numbers. Adding doubles in a
 # different order changes the last digits, and the order of partial sums differs
-# from run to run on a cluster; decimal sums do not depend on it.
+# from run to run on a cluster. Turning every double into a decimal would be slow,
+# so each is split into whole units and millionths, which are summed as integers
+# and put together once per group.
 AMOUNT = "decimal(28,6)"
-RATIO = "decimal(28,12)"
+MILLION = 1e6
+_MILLIONTH = Decimal("0.000001")
 
 
 def _column(value: Column | str) -> Column:
@@ -24,15 +29,37 @@ def amount(value: Column | str) -> Column:
     return _column(value).cast(AMOUNT)
 
 
+def units(value: Column | str) -> Column:
+    """The whole units of a double."""
+    return F.floor(_column(value)).cast("bigint")
+
+
+def millionths(value: Column | str) -> Column:
+    """What ``units`` leaves, in millionths."""
+    column = _column(value)
+    return F.rint((column - F.floor(column)) * MILLION).cast("bigint")
+
+
 def exact_sum(value: Column | str) -> Column:
-    """Sum as a fixed-point number; 0 for a group without any value."""
-    return F.coalesce(F.sum(amount(value)), F.lit(0).cast(AMOUNT))
+    """Sum of doubles with six decimals; 0 for a group without any value."""
+    whole = F.sum(units(value)).cast("decimal(28,0)")
+    parts = F.sum(millionths(value)).cast("decimal(20,0)")
+    return F.coalesce(whole + parts * F.lit(_MILLIONTH), F.lit(0).cast("decimal(35,6)"))
+
+
+def exact_ratio_sum(value: Column | str) -> Column:
+    """Sum of doubles with twelve decimals, for ratios."""
+    column = _column(value)
+    fine = (column - F.floor(column)) * MILLION
+    whole = F.sum(units(column)).cast("decimal(25,0)")
+    parts = F.sum(units(fine)).cast("decimal(20,0)")
+    finest = F.sum(millionths(fine)).cast("decimal(20,0)")
+    return (whole + parts * F.lit(_MILLIONTH) + finest * F.lit(_MILLIONTH**2)).cast("decimal(38,12)")
 
 
 def exact_mean(value: Column | str) -> Column:
     """Mean of the non-null values as a double; null for a group without any."""
-    column = _column(value)
-    return F.try_divide(F.sum(amount(column)).cast("double"), F.count(column).cast("double"))
+    return F.try_divide(exact_sum(value).cast("double"), F.count(_column(value)).cast("double"))
 
 
 def guarded_ratio(numerator: Column | str, divisor: Column | str) -> Column:

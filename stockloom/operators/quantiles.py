@@ -7,6 +7,9 @@ each quantile; the values inside the bracket are counted and ranked exactly.
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..sources.scratch import keep
@@ -31,26 +34,31 @@ def exact_quantiles(
     Returns ``keys``, ``column``, ``probability`` and ``quantile``, without a row
     for a column that has no value in the group. The rows are read three times:
     for the sketches, to count what lies below the brackets, and to take out
-    what lies inside. Only the last is shuffled as rows.
+    what lies inside. Only the last, a small part of large groups, is shuffled.
     """
     values = df.select(*keys, *[F.col(c).cast("double").alias(f"v{i}") for i, c in enumerate(columns)])
     targets = [(i, j) for i in range(len(columns)) for j in range(len(probabilities))]
+    group = [*keys, "i", "j"]
 
     brackets = keep(_brackets(values, keys, len(columns), probabilities, bracket_from), "quantile_brackets")
-    inside = values.join(brackets.select(*keys, *[f"{end}{i}_{j}" for i, j in targets for end in ("low", "high")]), keys)
-    below = inside.groupBy(*keys).agg(
-        *[F.count_if(F.col(f"v{i}") < F.col(f"low{i}_{j}")).alias(f"below{i}_{j}") for i, j in targets]
+    bracketed = values.join(
+        brackets.select(*keys, *[f"{end}{i}_{j}" for i, j in targets for end in ("low", "high")]), keys
     )
-
-    def in_bracket(i: int, j: int) -> Column:
-        value = F.col(f"v{i}")
-        hit = value.between(F.col(f"low{i}_{j}"), F.col(f"high{i}_{j}"))
-        return F.when(hit, F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"), value.alias("value")))
-
-    # Equal values become one row, however many there are.
-    group = [*keys, "i", "j"]
+    up_to_low = bracketed.groupBy(*keys).agg(
+        *[F.count_if(F.col(f"v{i}") <= F.col(f"low{i}_{j}")).alias(f"up_to_low{i}_{j}") for i, j in targets]
+    )
+    places = keep(_places(brackets.join(up_to_low, keys), keys, targets, probabilities), "quantile_places")
+
+    # Values equal to an end need no ranking, so that a value shared by many rows
+    # is never taken out; equal values inside become one row each.
+    inside = {(i, j): (F.col(f"v{i}") > F.col(f"low{i}_{j}")) & (F.col(f"v{i}") < F.col(f"high{i}_{j}")) for i, j in targets}
+    taken = [
+        F.when(hit, F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"), F.col(f"v{i}").alias("value")))
+        for (i, j), hit in inside.items()
+    ]
     counts = (
-        inside.select(*keys, F.inline(F.array_compact(F.array(*[in_bracket(i, j) for i, j in targets]))))
+        bracketed.where(reduce(or_, inside.values()))
+        .select(*keys, F.inline(F.array_compact(F.array(*taken))))
         .groupBy(*group, "value")
         .agg(F.count(F.lit(1)).alias("n"))
     )
@@ -58,30 +66,32 @@ def exact_quantiles(
         in_order(counts, [*group, "value"], "quantile_counts"), group, running={"up_to": F.col("n")}
     )
 
-    places = keep(_places(brackets.join(below, keys), keys, targets, probabilities), "quantile_places")
+    def found(rank: str) -> Column:
+        hit = (F.col("up_to") > F.col(rank)) & (F.col("up_to") - F.col("n") <= F.col(rank))
+        return F.max(F.when(hit, F.col("value"))).alias(f"{rank}_value")
+
+    ranks = ranked.join(places.select(*group, "low_rank", "high_rank"), group)
+    hits = ranks.groupBy(*group).agg(F.max("up_to").alias("inside"), found("low_rank"), found("high_rank"))
 
     def at(rank: str) -> Column:
-        hit = (F.col("up_to") > F.col(rank)) & (F.col("up_to") - F.col("n") <= F.col(rank))
-        return F.max(F.when(hit, F.col("value")))
+        return (
+            F.when(F.col(rank) < 0, F.col("low"))
+            .when(F.col(rank) >= F.coalesce("inside", F.lit(0)), F.col("high"))
+            .otherwise(F.col(f"{rank}_value"))
+        )
 
     name = F.array(*[F.lit(c) for c in columns])[F.col("i")]
     probability = F.array(*[F.lit(float(p)) for p in probabilities])[F.col("j")]
-    return (
-        ranked.join(places, group)
-        .groupBy(*group)
-        .agg(at("low_rank").alias("lower"), at("high_rank").alias("upper"), F.first("fraction").alias("fraction"))
-        .select(
-            *keys,
-            name.alias("column"),
-            probability.alias("probability"),
-            _between("lower", "upper", "fraction").alias("quantile"),
-        )
+    return places.join(hits, group, "left").select(
+        *keys,
+        name.alias("column"),
+        probability.alias("probability"),
+        _between(at("low_rank"), at("high_rank"), F.col("fraction")).alias("quantile"),
     )
 
 
-def _between(lower: str, upper: str, fraction: str) -> Column:
+def _between(low: Column, high: Column, t: Column) -> Column:
     """Linear interpolation from the nearer end, as numpy does it."""
-    low, high, t = F.col(lower), F.col(upper), F.col(fraction)
     return F.when(t >= 0.5, high - (high - low) * (1 - t)).otherwise(low + (high - low) * t)
 
 
@@ -109,18 +119,22 @@ def _brackets(values: DataFrame, keys: list[str], width: int, probabilities: lis
 
 
 def _places(sized: DataFrame, keys: list[str], targets: list[tuple[int, int]], probabilities: list[float]) -> DataFrame:
-    """Where each quantile lies: two ranks among the values inside its bracket,
-    and how far to go from one to the other."""
+    """Where each quantile lies: two ranks counted from the first value inside
+    its bracket, and how far to go from one to the other. A negative rank is the
+    lower end of the bracket, one past the values inside is the upper end."""
 
     def place(i: int, j: int) -> Column:
         rank = (F.col(f"n{i}") - 1) * F.lit(float(probabilities[j]))
-        below = F.col(f"below{i}_{j}")
+        skipped = F.col(f"up_to_low{i}_{j}")
         return F.struct(
             F.lit(i).alias("i"),
             F.lit(j).alias("j"),
-            (F.floor(rank) - below).alias("low_rank"),
-            (F.ceil(rank) - below).alias("high_rank"),
+            F.col(f"low{i}_{j}").alias("low"),
+            F.col(f"high{i}_{j}").alias("high"),
+            (F.floor(rank) - skipped).alias("low_rank"),
+            (F.ceil(rank) - skipped).alias("high_rank"),
             (rank - F.floor(rank)).alias("fraction"),
         )
 
-    return sized.select(*keys, F.inline(F.array(*[place(i, j) for i, j in targets])))
+    each = sized.select(*keys, F.inline(F.array(*[place(i, j) for i, j in targets])))
+    return each.where(F.col("low").isNotNull())

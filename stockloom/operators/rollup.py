@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from ..functions.expressions import RATIO, exact_sum, guarded_ratio
+from ..functions.expressions import exact_ratio_sum, exact_sum, guarded_ratio
 from ..sources.scratch import keep
 
 
@@ -24,7 +24,7 @@ def product_rounds(features: DataFrame) -> DataFrame:
         exact_sum("demand").alias("demand"),
         exact_sum("net_sales").alias("net_sales"),
         exact_sum(quantity).alias("quantity"),
-        F.sum(guarded_ratio("cost", "demand").cast(RATIO)).alias("unit_costs"),
+        exact_ratio_sum(guarded_ratio("cost", "demand")).alias("unit_costs"),
         exact_sum("running_stock").alias("running_stock"),
         F.min_by("running_stock", "line_no").alias("first_running_stock"),
     )

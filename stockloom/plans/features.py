@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from ..functions.expressions import amount
+from ..functions.expressions import MILLION, millionths, units
 from ..operators.aggregates import DELIVERED_KEY, line_order
 from ..operators.ordered import along_order, in_order
 
@@ -25,18 +25,21 @@ def line_history(fact: DataFrame, company: str | None = None) -> DataFrame:
     if company is not None:
         fact = fact.where(F.col("company") == company)
     ordered = in_order(fact, line_order(fact), "ordered_lines")
+    # Summed as whole units and millionths, so that the slices do not show in
+    # the last digits.
     history = along_order(
         ordered,
         ["company", "product"],
-        running={"produced_so_far": amount("produced"), "demand_so_far": amount("demand")},
+        running={
+            "whole": units("produced") - units("demand"),
+            "parts": millionths("produced") - millionths("demand"),
+        },
         previous=LAGS,
         first={"first_stock": "opening_stock"},
     )
-    stock = F.col("first_stock") + (
-        F.col("produced_so_far").cast("double") - F.col("demand_so_far").cast("double")
-    )
+    stock = F.col("first_stock") + (F.col("whole") + F.col("parts") / MILLION)
     return history.withColumn("running_stock", F.coalesce(stock, F.lit(0.0))).drop(
-        "slice", "produced_so_far", "demand_so_far", "first_stock", DELIVERED_KEY
+        "slice", "whole", "parts", "first_stock", DELIVERED_KEY
     )
 
 
