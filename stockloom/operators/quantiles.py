@@ -50,15 +50,31 @@ def exact_quantiles(
     places = keep(_places(brackets.join(up_to_low, keys), keys, targets, probabilities), "quantile_places")
 
     # Values equal to an end need no ranking, so that a value shared by many rows
-    # is never taken out; equal values inside become one row each.
-    inside = {(i, j): (F.col(f"v{i}") > F.col(f"low{i}_{j}")) & (F.col(f"v{i}") < F.col(f"high{i}_{j}")) for i, j in targets}
-    taken = [
-        F.when(hit, F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"), F.col(f"v{i}").alias("value")))
-        for (i, j), hit in inside.items()
-    ]
+    # is never taken out; equal values inside become one row each. Few rows pass
+    # the filter, and it is kept small for the compiler: one column at a time.
+    per_column = brackets.select(
+        *keys,
+        F.inline(
+            F.array(
+                *[
+                    F.struct(
+                        F.lit(i).alias("i"),
+                        *[F.col(f"{end}{i}_{j}").alias(f"{end}{j}") for j in range(len(probabilities)) for end in ("low", "high")],
+                    )
+                    for i in range(len(columns))
+                ]
+            )
+        ),
+    )
+    per_value = values.select(
+        *keys,
+        F.inline(F.array(*[F.struct(F.lit(i).alias("i"), F.col(f"v{i}").alias("value")) for i in range(len(columns))])),
+    )
+    inside = [(F.col("value") > F.col(f"low{j}")) & (F.col("value") < F.col(f"high{j}")) for j in range(len(probabilities))]
     counts = (
-        bracketed.where(reduce(or_, inside.values()))
-        .select(*keys, F.inline(F.array_compact(F.array(*taken))))
+        per_value.join(per_column, [*keys, "i"])
+        .where(reduce(or_, inside))
+        .select(*keys, "i", "value", F.explode(F.array_compact(F.array(*[F.when(hit, F.lit(j)) for j, hit in enumerate(inside)]))).alias("j"))
         .groupBy(*group, "value")
         .agg(F.count(F.lit(1)).alias("n"))
     )

@@ -35,11 +35,11 @@ def company_overview(rounds: DataFrame) -> DataFrame:
 
 
 def _matrix(rounds: DataFrame, measure: str, products: list | None) -> DataFrame:
-    if products is None:
-        # The columns of a matrix have to be known when it is planned.
-        products = [row[0] for row in rounds.select("product").distinct().orderBy("product").collect()]
-    sums = rounds.groupBy("company", "round").pivot("product", products).agg(F.sum(measure).cast("double"))
-    return sums.orderBy("company", "round")
+    # Without a list of products Spark looks them up, within its limit on the
+    # number of pivot columns.
+    by_round = rounds.groupBy("company", "round")
+    spread = by_round.pivot("product") if products is None else by_round.pivot("product", products)
+    return spread.agg(F.sum(measure).cast("double")).orderBy("company", "round")
 
 
 def demand_matrix(rounds: DataFrame, products: list | None = None) -> DataFrame:

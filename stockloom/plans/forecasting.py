@@ -24,13 +24,16 @@ _COLUMNS = {"featuresCol": "features", "labelCol": TARGET, "predictionCol": "pre
 def _ridge(statistics: Row, size: int):
     # The estimator divides the squared error by the row count and works on a
     # label divided by its deviation, so the penalty has to be put on that scale.
-    closed_form = size <= CLOSED_FORM_FEATURES
-    spread = statistics.target_std if closed_form else statistics.target_sample_std
+    # The closed form uses the population's deviation, the iteration the sample's.
+    if size <= CLOSED_FORM_FEATURES:
+        solver, spread = {"solver": "normal"}, statistics.target_std
+    else:
+        solver, spread = {"solver": "l-bfgs", "maxIter": 1000, "tol": 1e-10}, statistics.target_sample_std
     return LinearRegression(
-        solver="normal" if closed_form else "l-bfgs",
         elasticNetParam=0.0,
         standardization=False,
         regParam=RIDGE_PENALTY * spread / statistics.n_train,
+        **solver,
         **_COLUMNS,
     )
 

@@ -19,11 +19,13 @@ from .forecasting import Forecast, forecast_encoded, forecast_metrics, prepare_t
 class Workbench:
     """Keeps the fact's features, their rollup and the fitted forecasts.
 
-    Every result holds all companies; ``where(company == ...)`` gives one.
+    Every result holds all companies; ``where(company == ...)`` gives one. With
+    ``company``, only its lines are read and computed from the start.
     """
 
-    def __init__(self, tables: Tables):
+    def __init__(self, tables: Tables, company: str | None = None):
         self.tables = tables
+        self.company = company
         self._forecasts: dict[str, Forecast] = {}
 
     @cached_property
@@ -32,7 +34,10 @@ class Workbench:
 
     @cached_property
     def features(self) -> DataFrame:
-        return keep(demand_features(self.fact), "features")
+        features = keep(demand_features(self.fact, self.company), "features")
+        if self.company is not None and features.isEmpty():
+            raise ValueError(f"no usable lines for company {self.company}")
+        return features
 
     @cached_property
     def rounds(self) -> DataFrame:
@@ -44,7 +49,7 @@ class Workbench:
 
     def forecast(self, model: str) -> Forecast:
         if model not in self._forecasts:
-            self._forecasts[model] = forecast_encoded(self.encoded, model)
+            self._forecasts[model] = forecast_encoded(self.encoded, model, self.company)
         return self._forecasts[model]
 
     def metrics(self, model: str) -> DataFrame:

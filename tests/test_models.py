@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from stockloom import forecast, forecast_metrics, model_comparison
 from stockloom.operators.encoding import NO_SLOT, encode
+from stockloom.plans import forecasting
 from stockloom.plans.forecasting import forecast_encoded, prepare_training
 from stockloom.sources.scratch import keep
 
@@ -31,7 +32,9 @@ def company_rows(features, company):
     return features.where(F.col("company") == company).toPandas().sort_values("line_no")
 
 
-def test_ridge_is_the_closed_form(features):
+@pytest.mark.parametrize("closed_form_features", [4096, 1])
+def test_ridge_is_the_closed_form(features, monkeypatch, closed_form_features):
+    monkeypatch.setattr(forecasting, "CLOSED_FORM_FEATURES", closed_form_features)
     scored = forecast(features, "ridge").lines.toPandas()
     for company in "AB":
         pdf = company_rows(features, company)
@@ -128,3 +131,17 @@ def test_model_comparison_has_a_row_per_company_and_model(features):
     rows = model_comparison(features, ("ridge", "forest")).collect()
     assert [(r.company, r.model) for r in rows] == [("A", "forest"), ("A", "ridge"), ("B", "forest"), ("B", "ridge")]
     assert all(r.mae > 0 and r.r2 <= 1 for r in rows)
+
+
+def test_a_large_company_is_laid_out_in_several_files(spark, features):
+    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "64KB")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.minPartitionSize", "16KB")
+    try:
+        copies = features.crossJoin(spark.range(200).withColumnRenamed("id", "copy")).repartition(8)
+        grown = copies.withColumn("line_no", F.monotonically_increasing_id()).withColumn("cost", F.col("cost") + F.rand(1))
+        lines = prepare_training(keep(grown.drop("copy"), "grown")).lines
+        files = [f for f in lines.inputFiles() if "company=A" in f]
+        assert len(files) > 1 and lines.count() == 72_000
+    finally:
+        spark.conf.unset("spark.sql.adaptive.advisoryPartitionSizeInBytes")
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.minPartitionSize")

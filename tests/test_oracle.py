@@ -13,7 +13,7 @@ from checks.compare import connect, difference
 from checks.oracle import oracle_sql
 from checks.queries import _last_demand, queries
 from checks.star import VARIANTS
-from stockloom import planning_indicators, planning_table, product_forecast
+from stockloom import Workbench, planning_indicators, planning_table, product_forecast
 from stockloom.operators.aggregates import DELIVERED_KEY
 
 WITHOUT_SQL = {"forecast_ridge", "forecast_forest", "forecast_boosting", "company_comparison", "model_comparison"}
@@ -74,5 +74,13 @@ def test_the_workbench_plans_with_a_model(bench):
         assert not getattr(bench, report)("ridge").isEmpty()
 
 
+def test_one_company_on_its_own(bench):
+    alone = Workbench(bench.tables, company="ASIA")
+    every = bench.last_round_stock().where("company = 'ASIA'")
+    assert sorted(alone.last_round_stock().collect()) == sorted(every.collect())
+    with pytest.raises(ValueError, match="NOWHERE"):
+        Workbench(bench.tables, company="NOWHERE").rounds
+
+
 def test_entry(spark):
     assert __spark_entry__.entry(spark).count() > 0
