@@ -38,6 +38,7 @@ from .plans.planning import (
 from .plans.workbench import Workbench
 from .sources.contract import ContractError
 from .sources.reports import write_report
+from .sources.scratch import release
 from .sources.tables import Tables, catalog_tables, read_tables
 
 __all__ = [name for name in dir() if not name.startswith("_") and name not in ("operators", "plans", "sources", "functions")]

@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 _SETTING = "spark.checkpoint.dir"
 _local_folders: dict[str, str] = {}
+_written: dict[str, list[str]] = {}
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -27,10 +28,10 @@ def shared_folder(spark: SparkSession) -> str:
     removed when Python ends. On a cluster the setting is required, because a
     machine's temporary folder is not seen by the other machines.
     """
-    named = spark.conf.get(_SETTING, None)
+    context = spark.sparkContext
+    named = spark.conf.get(_SETTING, None) or context.getCheckpointDir()
     if named:
         return named.rstrip("/")
-    context = spark.sparkContext
     if not context.master.startswith("local"):
         raise RuntimeError(f"set {_SETTING} to a folder that all executors share")
     folder = _local_folders.get(context.applicationId)
@@ -48,7 +49,21 @@ def enable_checkpoints(spark: SparkSession) -> None:
 
 
 def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    _written.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
+
+
+def release(spark: SparkSession) -> None:
+    """Delete the intermediate tables this session has written.
+
+    They are as large as the data they hold. Call this when the reports are
+    written: results that were not are built on these tables and end with them.
+    """
+    configuration = spark._jsc.hadoopConfiguration()
+    for path in _written.pop(spark.sparkContext.applicationId, []):
+        folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+        folder.getFileSystem(configuration).delete(folder, True)
 
 
 def keep(df: DataFrame, name: str, partition_by: tuple[str, ...] = ()) -> DataFrame:

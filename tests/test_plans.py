@@ -15,6 +15,7 @@ from stockloom import (
     product_forecast,
     product_rounds,
     profile_numeric,
+    release,
     sales_fact,
     sales_lines,
 )
@@ -98,7 +99,7 @@ class FakeSession:
     """A session on a cluster, with or without the setting."""
 
     def __init__(self, folder):
-        self.sparkContext = SimpleNamespace(master="yarn", applicationId="a")
+        self.sparkContext = SimpleNamespace(master="yarn", applicationId="a", getCheckpointDir=lambda: None)
         self.conf = SimpleNamespace(get=lambda name, default: {"spark.checkpoint.dir": folder}.get(name) or default)
 
 
@@ -107,6 +108,16 @@ def test_intermediate_tables_go_to_the_named_folder(spark):
     assert keep(spark.range(3), "three").inputFiles()[0].startswith(f"file://{scratch.shared_folder(spark)}/three-")
 
 
+def test_release_deletes_what_was_written_and_nothing_else(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(scratch, "_written", {})
+    (tmp_path / "other").mkdir()
+    monkeypatch.setattr(scratch, "shared_folder", lambda session: str(tmp_path))
+    keep(spark.range(3), "three")
+    assert len(list(tmp_path.iterdir())) == 2
+    release(spark)
+    assert [p.name for p in tmp_path.iterdir()] == ["other"]
+
+
 def test_a_cluster_without_a_shared_folder_is_refused():
     with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
         scratch.shared_folder(FakeSession(None))
