@@ -8,11 +8,12 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.expressions import exact_mean
 from ..sources.contract import is_number
 from ..sources.scratch import keep
+from .ordered import along_order, in_order
 from .quantiles import exact_quantiles
 from .rollup import last_rounds
 
@@ -120,14 +121,11 @@ def _fill(lines: DataFrame, numbers: list[str], texts: list[str]) -> DataFrame:
 
 
 def _slots(lines: DataFrame, texts: list[str]) -> DataFrame:
-    """Training categories in sorted order, numbered from ``NO_SLOT`` up.
-
-    One row per category, so a window per company and column holds as many rows
-    as the model will have coefficients for them.
-    """
+    """Training categories in sorted order, numbered from ``NO_SLOT`` up."""
     seen = long_form(lines.where(~F.col("is_test")), texts, "string").dropna().distinct()
-    in_order = Window.partitionBy("company", "column").orderBy("value")
-    return seen.withColumn("slot", F.row_number().over(in_order) + (NO_SLOT - 1))
+    ordered = in_order(seen, ["company", "column", "value"], "categories")
+    counted = along_order(ordered, ["company", "column"], running={"place": F.lit(1)})
+    return counted.select("company", "column", "value", (F.col("place") + (NO_SLOT - 1)).cast("int").alias("slot"))
 
 
 def encode(features: DataFrame, columns: tuple[str, ...] | None = None) -> Encoded:

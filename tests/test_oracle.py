@@ -7,6 +7,7 @@ The base reports share one workbench, so the fact is computed once; the command
 from __future__ import annotations
 
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__
 from checks.compare import connect, difference
@@ -45,6 +46,18 @@ def test_fact_and_features(duck, bench):
     check(duck, "company_list", bench.companies())
 
 
+def test_known_totals(bench):
+    """The sf0.001 column of FIXTURES.md."""
+    sums = ("demand", "produced", "marketing_spend", "opening_stock")
+    assert tuple(bench.fact.agg(F.count("*"), *[F.sum(c) for c in sums]).first()) == (
+        5835, 147856.0, 16525.0, 37184791.0, 1167556.0,
+    )
+    assert bench.features.count() == 5710
+    indicators = planning_indicators(bench.rounds, product_forecast(_last_demand(bench.features, bench.rounds)))
+    totals = indicators.agg(F.count("*"), F.sum("forecast_demand"), F.sum("planned_production")).first()
+    assert tuple(totals) == (79, 3820, 85549.0)
+
+
 def test_planning(duck, bench):
     forecast = product_forecast(_last_demand(bench.features, bench.rounds))
     indicators = planning_indicators(bench.rounds, forecast)
