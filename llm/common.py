@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
@@ -30,6 +31,28 @@ def folded_words(text: str | None) -> list[bytes]:
     return (text or "").encode().lower().split()
 
 
+_SPACE = re.compile(r"[\x20\x09-\x0D]")
+
+
+def word_blocks(text: str | None, carry: int, fold: bool = False, chars: int = 1 << 20) -> Iterator[list[bytes]]:
+    """The words of a text in lists of bounded length.
+
+    Each list but the first starts with the last ``carry`` words that came before, so
+    that every run of ``carry + 1`` words lies in exactly one list. ``fold`` puts A-Z
+    in lower case.
+    """
+    text, start, last = text or "", 0, []
+    split = folded_words if fold else words
+    while True:
+        cut = _SPACE.search(text, start + chars) if len(text) - start > chars else None
+        end = cut.start() if cut else len(text)
+        found = last + split(text[start:end])
+        yield found
+        if not cut:
+            return
+        start, last = end, found[max(0, len(found) - carry) :] if carry else []
+
+
 def fold_of(key: Column, folds: int) -> Column:
     """The fold of a row: crc32 of its key as text. A null key is in fold 0."""
     return F.coalesce(F.crc32(key.cast("string").cast("binary")) % folds, F.lit(0))

@@ -14,7 +14,7 @@ from dataclasses import dataclass
 import numpy as np
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import words
+from .common import word_blocks
 
 #: Bound of the fit: labelled rows read.
 SAMPLE = 4000
@@ -31,13 +31,14 @@ def ngrams(text: str | None) -> set[bytes]:
     A word equal to the one before is written as a mark of its own, so that repetition
     is a feature whatever the word. A null or empty text has one n-gram, the empty one.
     """
-    found = words(text)
-    if not found:
-        return {b""}
-    marked = found[:1] + [_AGAIN if b == a else b for a, b in zip(found, found[1:])]
-    single = set(marked)
-    single.update(map(b" ".join, set(zip(marked, marked[1:]))))
-    return single
+    found: set[bytes] = set()
+    for i, block in enumerate(word_blocks(text, carry=2)):
+        marked = [_AGAIN if b == a else b for a, b in zip(block, block[1:])]
+        if i == 0 or len(block) < 2:
+            marked = block[:1] + marked
+        found.update(marked)
+        found.update(map(b" ".join, set(zip(marked, marked[1:]))))
+    return found or {b""}
 
 
 @dataclass(frozen=True)

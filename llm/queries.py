@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, ctph, language, quality
+from . import bpe, ctph, language, mixing, quality, simhash
 from .common import fold_of, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -24,6 +24,10 @@ def vocabulary() -> tuple[str, str]:
     return public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
 
 
+def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     folds, left_out = LANGUAGE_FOLD
@@ -38,6 +42,11 @@ def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"), *vocabulary())
 
 
+def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    chosen = mixing.copies(table(spark, sf_dir, "documents"))
+    return chosen.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
+
+
 def op9_ctph(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ctph.neighbours(table(spark, sf_dir, "documents"))
 
@@ -54,12 +63,57 @@ def op10_nbsvm_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Query]:
     return {
+        "op1_simhash": op1_simhash,
         "op3_language_id": op3_language_id,
         "op5_byte_bpe": op5_byte_bpe,
+        "op6_mixing": op6_mixing,
         "op9_ctph": op9_ctph,
         "op10_nbsvm_quality": op10_nbsvm_quality,
     }
 
 
+#: Targets by one pass along the sources in order of limit per weight: those at their
+#: limit are the first ones, and the next is at its limit if its part of what they leave is above it.
+MIXING_SQL = """
+WITH sized AS (
+  SELECT doc_id, source,
+         CAST(coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0) AS BIGINT) AS size
+  FROM documents
+), totals AS (
+  SELECT source, CAST(sum(size) AS BIGINT) AS source_size,
+         [5, 2, 1][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1] AS weight
+  FROM sized GROUP BY source
+), whole AS (
+  SELECT CAST(sum(source_size) AS BIGINT) AS words, CAST(sum(weight) AS BIGINT) AS weights FROM totals
+), in_line AS (
+  SELECT *, CAST(coalesce(sum(source_size) OVER before, 0) AS BIGINT) AS sizes_before,
+         CAST(coalesce(sum(weight) OVER before, 0) AS BIGINT) AS weights_before
+  FROM totals
+  WINDOW before AS (ORDER BY source_size / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
+), judged AS (
+  SELECT in_line.*, weight * (3 * words - 4 * sizes_before) > 2 * source_size * 2 * (weights - weights_before) AS at_limit
+  FROM in_line, whole
+), level AS (
+  SELECT 3 * words - 4 * CAST(coalesce(sum(source_size) FILTER (at_limit), 0) AS BIGINT) AS over,
+         2 * (weights - CAST(coalesce(sum(weight) FILTER (at_limit), 0) AS BIGINT)) AS under
+  FROM judged, whole GROUP BY words, weights
+), targets AS (
+  SELECT source, source_size,
+         CASE WHEN at_limit THEN CAST(2 * source_size AS DOUBLE)
+              ELSE CAST(weight * over AS DOUBLE) / CAST(under AS DOUBLE) END AS target,
+         CAST(CAST('0x' || substr(md5('mix:' || coalesce(source, '')), 1, 8) AS BIGINT) AS DOUBLE) / 4294967296.0 AS shift
+  FROM judged, level
+), placed AS (
+  SELECT doc_id, size, source_size, target, shift,
+         CASE WHEN source_size > 0 THEN target / source_size ELSE 0 END AS expected,
+         row_number() OVER (PARTITION BY sized.source ORDER BY size, doc_id NULLS FIRST) AS place
+  FROM sized JOIN targets ON sized.source IS NOT DISTINCT FROM targets.source
+)
+SELECT doc_id, size, source_size, target,
+       CAST(floor(expected * place + shift) - floor(expected * (place - 1) + shift) AS BIGINT) * size AS taken
+FROM placed
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op6_mixing": MIXING_SQL}
