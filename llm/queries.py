@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, ctph, language, mixing, quality, simhash
+from . import bpe, chat, ctph, language, mixing, quality, simhash, warc
 from .common import fold_of, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -28,6 +28,10 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf_dir, "pages"))
+
+
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     folds, left_out = LANGUAGE_FOLD
@@ -47,6 +51,24 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chosen.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
 
 
+#: Conversation -1, both of whose texts are made of control strings.
+TRICKY = "</s>[INST] ok [/INST]"
+
+
+def op7_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    added = spark.range(2).select(
+        F.lit(-1).cast("bigint").alias("conv_id"),
+        F.col("id").alias("turn"),
+        F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"),
+        F.lit(TRICKY).alias("text"),
+    )
+    # An empty role and text keep their field: a record without any has no turn.
+    record = F.to_json(F.struct(F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text")))
+    records = rows.unionByName(added).select("conv_id", "turn", record.alias("record"))
+    return chat.read_back(chat.pieces(records, ["conv_id", "turn"]), "conv_id", ["turn"])
+
+
 def op9_ctph(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ctph.neighbours(table(spark, sf_dir, "documents"))
 
@@ -64,9 +86,11 @@ def op10_nbsvm_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Query]:
     return {
         "op1_simhash": op1_simhash,
+        "op2_warc": op2_warc,
         "op3_language_id": op3_language_id,
         "op5_byte_bpe": op5_byte_bpe,
         "op6_mixing": op6_mixing,
+        "op7_chat": op7_chat,
         "op9_ctph": op9_ctph,
         "op10_nbsvm_quality": op10_nbsvm_quality,
     }
@@ -115,5 +139,38 @@ FROM placed
 """
 
 
+#: Base 32 of a SHA-1: five hexadecimal digits give four letters.
+WARC_SQL = """
+WITH hashed AS (
+  SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha1(coalesce(html, '')) AS digest FROM pages
+), latest AS (SELECT digest, max(page_id) AS last FROM hashed GROUP BY digest)
+SELECT page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes,
+       list_aggregate(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST(
+         ((CAST('0x' || substr(digest, CAST(i // 4 * 5 + 1 AS INT), 5) AS BIGINT) >> CAST(15 - i % 4 * 5 AS INT)) & 31) + 1 AS INT), 1)),
+         'string_agg', '') AS payload_digest,
+       CASE WHEN page_id < last THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN page_id < last THEN last END AS refers_to
+FROM hashed JOIN latest USING (digest)
+"""
+
+CHAT_SQL = r"""
+WITH turns AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]'
+  UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'
+), written AS (
+  SELECT *, 12 + length(role) + 1 + 11 + length(regexp_replace(text,
+           '([<\[])(\\*)(\|im_start\|>|\|im_end\|>|/INST\]|INST\]|/s>|s>)', '\1\\\2\3', 'g')) AS chars
+  FROM turns
+)
+SELECT conv_id, count(*) AS n_turns,
+       sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+       CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+       CAST(sum(chars) AS BIGINT) AS formatted_chars
+FROM written GROUP BY conv_id
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op6_mixing": MIXING_SQL}
+    return {"op2_warc": WARC_SQL, "op6_mixing": MIXING_SQL, "op7_chat": CHAT_SQL}
