@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, chat, ctph, language, mixing, quality, simhash, warc
+from . import ann, bpe, chat, ctph, language, mixing, quality, simhash, warc
 from .common import fold_of, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -42,6 +42,10 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     ).select("doc_id", "held_out", "found.lang_pred", "found.score")
 
 
+def op4_hilbert_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
 def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"), *vocabulary())
 
@@ -88,6 +92,7 @@ def queries() -> dict[str, Query]:
         "op1_simhash": op1_simhash,
         "op2_warc": op2_warc,
         "op3_language_id": op3_language_id,
+        "op4_hilbert_neighbours": op4_hilbert_neighbours,
         "op5_byte_bpe": op5_byte_bpe,
         "op6_mixing": op6_mixing,
         "op7_chat": op7_chat,
