@@ -6,13 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import ann, bpe, chat, ctph, language, mixing, quality, simhash, warc
+from . import ann, bpe, chat, ctph, katz, language, mixing, quality, simhash, warc
 from .common import fold_of, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 #: Folds that are held out: number of folds, and the one left out of the fit.
-LANGUAGE_FOLD, QUALITY_FOLD = (5, 0), (4, 2)
+LANGUAGE_FOLD, SCORING_FOLD, QUALITY_FOLD = (5, 0), (5, 1), (4, 2)
 #: Scores of this and more count as good quality.
 GOOD = 0.7
 
@@ -73,6 +73,14 @@ def op7_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.read_back(chat.pieces(records, ["conv_id", "turn"]), "conv_id", ["turn"])
 
 
+def op8_katz(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folds, left_out = SCORING_FOLD
+    training = fold_of(F.col("doc_id"), folds) != left_out
+    return katz.score(table(spark, sf_dir, "documents"), training).select(
+        "doc_id", (~F.col("training")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score"
+    )
+
+
 def op9_ctph(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ctph.neighbours(table(spark, sf_dir, "documents"))
 
@@ -96,6 +104,7 @@ def queries() -> dict[str, Query]:
         "op5_byte_bpe": op5_byte_bpe,
         "op6_mixing": op6_mixing,
         "op7_chat": op7_chat,
+        "op8_katz": op8_katz,
         "op9_ctph": op9_ctph,
         "op10_nbsvm_quality": op10_nbsvm_quality,
     }
