@@ -403,9 +403,10 @@ class _Known:
         own = (self.pair_count > 0) & self.speaks
         history, word = self.chunk.before[token[own]], self.chunk.ids[token[own]]
         size = len(self.chunk.words)
+        # Without any pair, bincount would give whole numbers.
         return (
-            np.bincount(history, weights=pairs.discounted(self.pair_count[own]), minlength=size),
-            np.bincount(history, weights=self.p[word], minlength=size),
+            np.bincount(history, weights=pairs.discounted(self.pair_count[own]), minlength=size).astype(np.float64),
+            np.bincount(history, weights=self.p[word], minlength=size).astype(np.float64),
         )
 
 

@@ -110,11 +110,14 @@ def fit(texts: Sequence[str | None], labels: Sequence[int], cost: float = COST,
     if not len(labels) or positive.all() or not positive.any():
         share = (positive.sum() + 1) / (len(labels) + 2)
         return Model({}, 0.0, 0.0, float(np.log(share / (1 - share))))
-    sets = [ngrams(t) for t in texts]
-    counts = Counter(gram for own in sets for gram in own)
+    # The n-grams of one text at a time: those of all texts at once would fill the driver.
+    counts: Counter = Counter()
+    for text in texts:
+        counts.update(ngrams(text))
     vocabulary = sorted(gram for gram, n in counts.items() if n >= LEAST_TEXTS)
+    del counts
     number = {gram: i for i, gram in enumerate(vocabulary)}
-    rows = [np.array(sorted(number[g] for g in own if g in number), dtype=np.int64) for own in sets]
+    rows = [np.array(sorted(number[g] for g in ngrams(t) if g in number), dtype=np.int64) for t in texts]
     size = len(vocabulary)
 
     def ratio_of(chosen) -> np.ndarray:

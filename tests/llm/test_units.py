@@ -1,0 +1,235 @@
+"""The operators' own logic against plain versions, without Spark."""
+
+from __future__ import annotations
+
+import random
+
+import numpy as np
+import pyarrow as pa
+import pytest
+from hypothesis import given, settings, strategies as st
+
+from llm import ann, bpe, chat, common, ctph, katz, language, quality, simhash, warc
+from llm.queries import vocabulary
+
+
+@pytest.fixture(scope="module")
+def codec():
+    path, pattern = vocabulary()
+    return bpe.Codec(bpe.read_ranks(path), pattern, remembered=500)
+
+
+@pytest.fixture(scope="module")
+def reference():
+    import tiktoken
+
+    path, pattern = vocabulary()
+    return tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=bpe.read_ranks(path), special_tokens={})
+
+
+@pytest.mark.parametrize("text", ["", " ", "\n\n a", "a" * 5000, "é" * 700, "x1 " * 400, "don't stop  \t\x1c漢字😀٣²"])
+def test_bpe_single(codec, reference, text):
+    ids = codec.encode(text)
+    assert ids == reference.encode_ordinary(text)
+    assert codec.decode(" ".join(map(str, ids))) == text.encode()
+
+
+def test_bpe_random_and_long(codec, reference, monkeypatch):
+    draw = random.Random(5)
+    letters = "ab \n\t\r\x0b\x1c\x85\xa0 'strevmld漢é😀٣²!_9"
+    texts = ["".join(draw.choices(letters, k=draw.randint(0, 300))) for _ in range(300)]
+    found = [[int(i) for part in parts for i in part.split()] for parts in codec.encode_texts(texts)]
+    assert found == reference.encode_ordinary_batch(texts)
+    monkeypatch.setattr(bpe, "_LONG_TEXT", 100)
+    assert codec.encode(texts[0] * 50) == reference.encode_ordinary(texts[0] * 50)
+
+
+def test_bpe_unknown_id(codec):
+    with pytest.raises(KeyError):
+        codec.decode("999999")
+
+
+def _plain_roots(bucket, fps, radius=3):
+    root = list(range(len(fps)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    u = fps.view(np.uint64)
+    for i in range(len(fps)):
+        for j in range(i + 1, len(fps)):
+            if bucket[i] == bucket[j] and int(u[i] ^ u[j]).bit_count() <= radius:
+                a, b = find(i), find(j)
+                root[max(a, b)] = min(a, b)
+    return [find(i) for i in range(len(fps))]
+
+
+@pytest.mark.parametrize("buckets, radius", [(200, 3), (40, 2), (3, 3), (1, 3), (1, 0), (1, 5)])
+def test_bit_sliced_comparison(buckets, radius):
+    draw = np.random.default_rng(buckets + radius)
+    base = draw.integers(-(2**63), 2**63 - 1, size=25, dtype=np.int64)
+    fps = base[draw.integers(0, 25, 400)]
+    for _ in range(4):
+        fps = fps ^ np.where(draw.random(400) < 0.6, np.int64(1) << draw.integers(0, 63, 400), 0)
+    bucket = np.sort(draw.integers(0, buckets, 400))
+    assert simhash.roots_in_buckets(bucket, fps, radius).tolist() == _plain_roots(bucket, fps, radius)
+
+
+def test_masks_share_a_bucket_for_all_pairs_in_the_radius():
+    draw = random.Random(3)
+    for fixed in (0, simhash.finer_masks(0)[4]):
+        free = [b for b in range(64) if not fixed >> b & 1]
+        for _ in range(200):
+            difference = sum(1 << b for b in draw.sample(free, 3))
+            assert any(mask & difference == 0 for mask in simhash.finer_masks(fixed))
+
+
+def test_simhash_by_definition():
+    import xxhash
+
+    for text in (None, "", " \t", "One", "one TWO", "a b c", "Ä b\x0bc d  e " * 40):
+        words = (text or "").encode().lower().split()
+        runs = [b" ".join(words[i : i + 3]) for i in range(len(words) - 2)] or ([b" ".join(words)] if words else [])
+        hashes = [xxhash.xxh64_intdigest(r, 42) for r in runs]
+        want = sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
+        assert simhash.simhash(text) == want
+
+
+def test_word_blocks_cover_every_run_once():
+    text = " ".join(f"w{i}" for i in range(500)) + "  "
+    whole = common.words(text)
+    blocks = list(common.word_blocks(text, carry=2, chars=50))
+    assert len(blocks) > 5
+    runs = [tuple(b[i : i + 3]) for b in blocks for i in range(len(b) - 2)]
+    assert runs == [tuple(whole[i : i + 3]) for i in range(len(whole) - 2)]
+
+
+def test_long_texts_give_the_same(monkeypatch):
+    text = "the cat cat sat on " * 30 + "é" * 40
+    whole = simhash.simhash(text), quality.ngrams(text), language.grams(text).tolist(), ctph.fingerprint(text)
+    cut = lambda t, carry, fold=False: common.word_blocks(t, carry, fold, chars=40)
+    monkeypatch.setattr(simhash, "word_blocks", cut)
+    monkeypatch.setattr(quality, "word_blocks", cut)
+    monkeypatch.setattr(language, "_PIECE", 50)
+    monkeypatch.setattr(ctph, "_PIECE", 64)
+    assert (simhash.simhash(text), quality.ngrams(text), language.grams(text).tolist(), ctph.fingerprint(text)) == whole
+
+
+@given(st.text("abc", max_size=64), st.text("abc", max_size=64))
+@settings(max_examples=150, deadline=None)
+def test_edit_distance(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row[0] = row[:], i
+        for j, y in enumerate(b, 1):
+            row[j] = min(last[j] + 1, row[j - 1] + 1, last[j - 1] + (x != y))
+    assert ctph.edit_distance(a, b) == row[-1]
+
+
+def test_fingerprints_follow_edits():
+    draw = random.Random(1)
+    words = ["".join(draw.choices("abcdefgh", k=6)) for _ in range(2000)]
+    text = " ".join(words)
+    inserted = text[:3000] + "something new" + text[3000:]
+    other = " ".join("".join(draw.choices("abcdefgh", k=6)) for _ in range(2000))
+    mark = ctph.fingerprint(text)
+    assert ctph.likeness(mark, ctph.fingerprint(inserted)) > 0.9
+    assert ctph.likeness(mark, ctph.fingerprint(other)) == 0
+    assert ctph.likeness(mark, mark) == 1
+    assert ctph.fingerprint(None) == ctph.fingerprint("") == "3::"
+    assert ctph.likeness("3::", "3::") == 1 and ctph.likeness(None, mark) == 0
+    assert all(len(part) <= ctph.CHUNKS for part in ctph.fingerprint("a" * 10_000).split(":")[1:])
+
+
+@given(st.text(alphabet=st.sampled_from("</s>[INST]|im_startend\\ ok\n"), max_size=60))
+@settings(max_examples=300, deadline=None)
+def test_chat_escapes_are_reversible(text):
+    body = chat.escape(text)
+    assert chat.unescape(body) == text
+    assert not any(control in body for control in chat.CONTROLS)
+    piece, start, end = chat.piece_of("assistant", text)
+    assert list(chat.parse(piece)) == [("assistant", text)]
+    assert chat.unescape(piece[start:end]) == text
+    assert list(chat.parse(chat.piece_of(text, text)[0])) == [(text, text)]
+
+
+def test_chat_layouts():
+    turns = [("system", "be brief"), ("user", "hi"), ("assistant", "hello")]
+    records = [
+        {"system": "be brief", "prompt": "hi", "response": "hello"},
+        {"system": "be brief", "prompt": "hi", "completion": "hello", "id": 7},
+        {"system": "be brief", "instruction": "hi", "output": "hello"},
+        {"system": "be brief", "question": "hi", "answer": "hello", "meta": {"a": [1]}},
+        {"messages": [{"role": r, "content": t} for r, t in turns]},
+        {"system": "be brief", "conversations": [{"from": "human", "value": "hi"}, {"from": "gpt", "value": "hello"}]},
+    ]
+    assert all(chat.turns_of(r) == turns for r in records)
+    assert chat.turns_of({"instruction": "sort", "input": "3 1", "output": None}) == [("user", "sort\n3 1")]
+    assert chat.turns_of({"role": "user", "text": None}) == [("user", "")]
+    assert chat.turns_of({"title": "no chat"}) == [] and chat.turns_of({}) == []
+    assert len(chat.SELECTIONS) == len({chat.fingerprint({*x.required}) for x in chat.LAYOUTS} | set(chat.SELECTIONS))
+
+
+@pytest.mark.parametrize("width", [1, 7, 100, 10_000])
+def test_warc_ranges(tmp_path, width):
+    pages = [(i, f"http://x/{i}", bytes(random.Random(i).choices(range(256), k=i * 37 % 900))) for i in range(60)]
+    pages += [(60, None, b""), (61, "u v", warc.MAGIC * 50)]
+    path = tmp_path / "a.warc.gz"
+    path.write_bytes(b"".join(warc.record(*page) for page in pages))
+    size = path.stat().st_size
+    with pa.OSFile(str(path)) as file:
+        read = [r for start in range(0, size, width) for r in warc.records_in(file, "a", start, min(size, start + width), True)]
+    assert [(r[0], r[1], r[6]) for r in read] == [(f"<urn:page:{k}>", "response", body) for k, _, body in pages]
+    assert all(r[5] == warc.payload_digest(body) for r, (_, _, body) in zip(read, pages))
+
+
+def test_warc_damage_is_an_error(tmp_path):
+    path = tmp_path / "a.warc.gz"
+    path.write_bytes(warc.record(1, "u", b"x" * 5000)[:-20])
+    with pa.OSFile(str(path)) as file, pytest.raises(ValueError):
+        list(warc.records_in(file, "a", 0, path.stat().st_size, False))
+
+
+def test_hilbert_visits_neighbours():
+    grid = np.array([[x, y, z] for x in range(8) for y in range(8) for z in range(8)])
+    order = np.argsort(ann.hilbert(grid, 3))
+    assert sorted(ann.hilbert(grid, 3).tolist()) == list(range(512))
+    assert (np.abs(np.diff(grid[order], axis=0)).sum(axis=1) == 1).all()
+
+
+def test_kernel_by_definition():
+    texts = ["Abcab", "abd", "ç xyz xyz"]
+    sets = [{t.lower()[i : i + n] for n in (1, 2, 3) for i in range(len(t) - n + 1)} for t in texts]
+    want = [[len(a & b) / (len(a) * len(b)) ** 0.5 for b in sets] for a in sets]
+    marks = [language.grams(t) for t in texts]
+    assert np.allclose(language.kernel(marks, marks), want)
+
+
+def test_language_scoring_is_the_folded_kernel_machine():
+    texts = ["le chat noir", "la maison bleue", "the black cat", "the blue house"]
+    model = language.fit(texts, ["fr", "fr", "en", "en"])
+    names, scores = model.predict([*texts, None, "", "123 456", "zzz"])
+    assert names[:4] == ["fr", "fr", "en", "en"]
+    assert names[4:7] == ["und"] * 3 and scores[4:7] == [0.0] * 3
+    assert names[7] in ("en", "fr") and all(0 <= s <= 1 for s in scores)
+    assert language.fit([], []).predict(["abc"]) == (["und"], [0.0])
+
+
+def test_quality_fit():
+    good = [f"the cat {i} sat on the mat" for i in range(30)]
+    bad = [f"BUY!! NOW!! {i}" for i in range(30)]
+    model = quality.fit(good + bad, [1] * 30 + [0] * 30)
+    assert model.score("the cat sat on the mat") > 0.8 and model.score("BUY!! NOW!!") < 0.2
+    assert 0 <= model.score(None) <= 1
+    assert quality.fit([], []).score("x") == 0.5
+    assert quality.fit(["a", None], [1, 1]).score(None) == pytest.approx(0.75)
+
+
+def test_good_turing_sums():
+    for counts in ([100, 40, 20, 12, 8, 5], [10, 9, 8, 9, 7, 6], [3, 0, 0, 0, 0, 0]):
+        made = katz.good_turing(1000, 500, counts)
+        assert all(0 < d <= 1 for d in made.factors)
+        values = np.array([1, 2, 5, 6, 100])
+        assert (made.discounted(values) <= values).all() and made.discounted(np.array([6]))[0] == 6
