@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-QUARTER = "cast((year({0}) - 1995) * 4 + quarter({0}) as integer)"
+QUARTER = "cast((year({0}) - 1995) * 4 + quarter({0}) as bigint)"
 
 
 def total(column: str) -> str:
@@ -40,16 +40,17 @@ sales as (
 ),
 production as (
   select r_name as company, {QUARTER.format('l_shipdate')} as "round", p_brand as product,
-         l_quantity as produced
+         l_quantity * l_discount as produced
   from lineitem
   join part on l_partkey = p_partkey
   join supplier on l_suppkey = s_suppkey
   join places on s_nationkey = n_nationkey
-  where l_discount = 0
 ),
 inventory as (
   select "round", p_brand as product, cast(p_size as double) as opening_stock
-  from part cross join (select cast(unnest(range(1, 28)) as integer) as "round")
+  from part cross join (
+    select cast(unnest(range(1, (select max({QUARTER.format('o_orderdate')}) from orders) + 1)) as bigint) as "round"
+  )
 )"""
 
 
@@ -145,8 +146,8 @@ opening as (
   select *,
          row_number() over w as position,
          coalesce(first_value(opening_stock ignore nulls) over (w rows between unbounded preceding and unbounded following), 0)
-           + (cast(sum(cast(produced as decimal(28,6))) over (w rows unbounded preceding) as double)
-              - cast(sum(cast(demand as decimal(28,6))) over (w rows unbounded preceding) as double)) as running_stock,
+           + cast(sum(cast(produced as decimal(28,6)) - cast(demand as decimal(28,6)))
+               over (w rows unbounded preceding) as double) as running_stock,
          lag(demand) over w as demand_lag1,
          lag(market_price) over w as market_price_lag1,
          lag(marketing_spend) over w as marketing_lag1
@@ -177,7 +178,7 @@ features as (select * {outside} from features_placed)"""
 
 LAST_ROUNDS = 'last_rounds as (select company, max("round") as last_round from features group by 1)'
 LAST_DEMAND = """last_demand as (
-  select f.*, demand_lag1 as prediction, cast(trunc(greatest(demand_lag1, 0)) as bigint) as forecast
+  select f.*, demand_lag1 * 0.75 as prediction, cast(trunc(greatest(demand_lag1 * 0.75, 0)) as bigint) as forecast
   from features_placed f join last_rounds using (company) where "round" = last_round
 )"""
 STOCK = """stock as (
@@ -276,7 +277,40 @@ def _matrix(measure: str) -> str:
     return f'select company, "round", {sums} from features group by 1, 2'
 
 
-def _prepared() -> str:
+def _median(values: str) -> str:
+    """The median of a sorted list."""
+    return f"({values}[(len({values}) + 1) // 2] + {values}[len({values}) // 2 + 1]) / 2"
+
+
+# Gaps in two features, after the fact: lines with a missing key are dropped before it.
+GAPS = f"""gapped as (
+  select * replace (
+    case when cast(floor(net_sales) as bigint) % 7 = 0 then null else net_price end as net_price,
+    case when cast(floor(cost) as bigint) % 11 = 0 then null else area end as area) from features
+),
+with_gaps as (
+  select g.*, "round" = last_round as is_test from gapped g join last_rounds using (company)
+),
+sorted_prices as (
+  select company, list_sort(list(net_price) filter (where net_price is not null)) as s
+  from with_gaps where not is_test group by 1
+),
+frequent_areas as (
+  select company, area from (
+    select company, area, row_number() over (partition by company order by count(*) desc, area) as place
+    from with_gaps where not is_test and area is not null group by company, area
+  ) where place = 1
+),
+marked as (
+  select w.* replace (coalesce(net_price, {_median('s')}) as net_price, coalesce(w.area, a.area) as area)
+  from with_gaps w join sorted_prices using (company) join frequent_areas a using (company)
+)"""
+MARKED = """marked as (
+  select f.*, "round" = last_round as is_test from features f join last_rounds using (company)
+)"""
+
+
+def _prepared(marked: str = MARKED) -> str:
     measures = ", ".join(
         f"{total(c)} / count({c}) as {c}_mean, case when stddev_pop({c}) = 0 then 1 else stddev_pop({c}) end as {c}_std"
         for c in FEATURE_NUMBERS
@@ -291,9 +325,7 @@ def _prepared() -> str:
     )
     return f""",
 {LAST_ROUNDS},
-marked as (
-  select f.*, "round" = last_round as is_test from features f join last_rounds using (company)
-),
+{marked},
 measures as (select company, {measures} from marked where not is_test group by company),
 {slots}
 select m.company, m.product, m."round", demand, is_test, {scaled},
@@ -303,6 +335,15 @@ left join product_slots p on p.company = m.company and p.product = m.product
 left join area_slots a on a.company = m.company and a.area = m.area"""
 
 
+def _forecast_checks(planned: str, models: tuple[str, ...]) -> str:
+    """What must hold for any model: a prediction for each line of the last round, none below
+    0, forecasts that are their whole part, and no larger error than the training mean's."""
+    named = ", ".join(f"('{m}')" for m in models)
+    return f"""{planned}
+select company, model, count(*) as test_lines, true as at_least_zero, true as whole_part, true as beats_the_mean
+from last_demand cross join (values {named}) as m(model) group by 1, 2"""
+
+
 def oracle_sql() -> dict[str, str]:
     from .queries import ONE_COMPANY
     from .star import VARIANTS
@@ -366,6 +407,22 @@ select company, count(*) as test_lines, round_even(avg(abs(demand - prediction))
        round_even(1 - sum((demand - prediction) * (demand - prediction)) / (var_pop(demand) * count(*)), 6) as r2
 from last_demand group by company""",
         "prepared_features": f"{features}{_prepared()}",
+        "prepared_features_with_gaps": f"{features}{_prepared(GAPS)}",
+        "company_count": f"{base.upto_fact()}\nselect count(distinct company) as companies from fact",
+        "demand_by_round": f"""{features}
+select company, "round", product, {total('demand')} as demand from features group by 1, 2, 3""",
+        "sales_by_round": f"""{features}
+select company, "round", product, {total('net_sales')} as net_sales from features group by 1, 2, 3""",
+        "report_export": f"""{planned}
+select company, 'demand_lag_1' as model, product, forecast_demand, available_stock, planned_production,
+       forecast_price, forecast_revenue, forecast_margin, stock_cover_pct
+from indicators""",
+        "planning_identities": f"""{planned}
+select company, product, available_stock, forecast_price, mean_unit_cost,
+       true as planned_is_lack, true as revenue_is_value, true as margin_is_rest, true as cover_is_share
+from indicators""",
+        "forecast_checks": _forecast_checks(planned, ("ridge", "forest")),
+        "forecast_checks_boosting": _forecast_checks(planned, ("boosting",)),
         "demand_features_one_company": f"""{features}
 select {feature_columns} from features where company = '{ONE_COMPANY}'""",
     }

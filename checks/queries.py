@@ -1,7 +1,8 @@
 """The registered queries: each reads the test tables whole and returns a DataFrame.
 
-The reports that need a forecast take the demand of the line before as one, so
-that SQL can state the same; the models themselves are the ``forecast_*`` queries.
+The reports that need a forecast take three quarters of the demand of the line before
+as one, so that SQL can state the same. The models have queries of their own, and
+``forecast_checks`` and ``planning_identities`` hold what must be true of them.
 """
 
 from __future__ import annotations
@@ -13,12 +14,13 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from stockloom.functions.expressions import round_half_even, whole_units
 from stockloom.operators import aggregates
 from stockloom.operators.encoding import encode
-from stockloom.operators.rollup import last_rounds, product_rounds
+from stockloom.operators.rollup import last_rounds, product_rounds, sales_rounds
 from stockloom.plans import comparison, exploration, planning
 from stockloom.plans.fact import sales_fact
 from stockloom.plans.features import demand_features, running_stock
-from stockloom.plans.forecasting import forecast, forecast_metrics
-from stockloom.sources.scratch import keep
+from stockloom.plans.forecasting import forecast, forecast_encoded, forecast_metrics, prepare_training
+from stockloom.sources.reports import write_report
+from stockloom.sources.scratch import keep, new_path
 
 from .star import VARIANTS, star_tables
 
@@ -43,12 +45,12 @@ def _rounds(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _last_demand(features: DataFrame, rounds: DataFrame) -> DataFrame:
-    """Lines of the last round with the demand of the line before as forecast."""
+    """Lines of the last round with part of the demand of the line before as forecast."""
     return (
         features.join(last_rounds(rounds), "company")
         .where(F.col("round") == F.col("last_round"))
-        .withColumn("prediction", F.col("demand_lag1"))
-        .withColumn("forecast", whole_units("demand_lag1"))
+        .withColumn("prediction", F.col("demand_lag1") * 0.75)
+        .withColumn("forecast", whole_units("prediction"))
     )
 
 
@@ -63,6 +65,16 @@ def _of_table(step: Callable[[DataFrame], DataFrame], table: str, variant: str =
     return lambda spark, sf_dir: step(getattr(star_tables(spark, sf_dir, variant), table))
 
 
+def _of_sales(report: Callable[[DataFrame], DataFrame]) -> Query:
+    """Reports that need the sales lines only."""
+    return lambda spark, sf_dir: report(sales_rounds(aggregates.sales_lines(star_tables(spark, sf_dir).sales)))
+
+
+def _products(report: Callable[[DataFrame, list], DataFrame]) -> Callable[[DataFrame], DataFrame]:
+    """A matrix of the products of the test data."""
+    return lambda rounds: report(rounds, [f"Brand#{i}" for i in range(1, 26)])
+
+
 def _of_rounds(report: Callable[[DataFrame], DataFrame]) -> Query:
     return lambda spark, sf_dir: report(_rounds(spark, sf_dir))
 
@@ -88,8 +100,16 @@ def _forecast_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metrics.select("company", "test_lines", *[round_half_even(c, 6).alias(c) for c in ("mae", "r2")])
 
 
-def _prepared_features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    encoded = encode(_kept(spark, sf_dir))
+def _with_gaps(features: DataFrame) -> DataFrame:
+    price_gap, area_gap = F.floor("net_sales") % 7 == 0, F.floor("cost") % 11 == 0
+    return features.withColumns(
+        {"net_price": F.when(~price_gap, F.col("net_price")), "area": F.when(~area_gap, F.col("area"))}
+    )
+
+
+def _prepared_features(spark: SparkSession, sf_dir: str, gaps: bool = False) -> DataFrame:
+    features = _kept(spark, sf_dir)
+    encoded = encode(_with_gaps(features) if gaps else features)
     scaled = [f"{c}_scaled" for c in encoded.numbers]
     return encoded.lines.select(
         "company", "product", "round", "demand", "is_test",
@@ -102,6 +122,52 @@ def _forecast(model: str) -> Query:
     return lambda spark, sf_dir: forecast(_kept(spark, sf_dir), model).lines.drop("line_no")
 
 
+def _forecast_checks(models: tuple[str, ...]) -> Query:
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        features = _kept(spark, sf_dir)
+        last = last_rounds(features)
+        mean = features.join(last, "company").where("round < last_round").groupBy("company").agg(F.avg("demand").alias("mean"))
+        encoded = prepare_training(features)
+        found = None
+        for model in models:
+            lines = forecast_encoded(encoded, model).lines
+            found = lines if found is None else found.unionByName(lines)
+        error = F.avg(F.abs(F.col("demand") - F.col("prediction")))
+        return found.join(mean, "company").groupBy("company", "model").agg(
+            F.count(F.lit(1)).alias("test_lines"),
+            F.bool_and(F.col("prediction") >= 0).alias("at_least_zero"),
+            F.bool_and(F.col("forecast") == F.floor("prediction")).alias("whole_part"),
+            (error <= F.avg(F.abs(F.col("demand") - F.col("mean")))).alias("beats_the_mean"),
+        )
+
+    return query
+
+
+def _planning_identities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The indicators of a ridge forecast: what does not depend on it, and how the rest hangs together."""
+    features = _kept(spark, sf_dir)
+    by_product = planning.product_forecast(forecast(features, "ridge").lines)
+    indicators = planning.planning_indicators(product_rounds(features), by_product)
+    ahead, stock, price, unit = (F.col(c) for c in ("forecast_demand", "available_stock", "forecast_price", "mean_unit_cost"))
+    cover = F.when(ahead != 0, F.rint(stock / ahead * 100 * 10) / 10).otherwise(0.0)
+    return indicators.select(
+        "company", "product", "available_stock", "forecast_price", "mean_unit_cost",
+        (F.col("planned_production") == F.greatest(ahead - stock, F.lit(0.0))).alias("planned_is_lack"),
+        (F.col("forecast_revenue") == ahead * price).alias("revenue_is_value"),
+        (F.col("forecast_margin") == ahead * price - ahead * unit).alias("margin_is_rest"),
+        (F.col("stock_cover_pct") == cover).alias("cover_is_share"),
+    )
+
+
+def _report_export(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The planning table, written as CSV and read back."""
+    report = planning.planning_table(_planned(spark, sf_dir)[1])
+    path = new_path(spark, "report")
+    write_report(report, path, model="demand lag 1")
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in report.schema.fields)
+    return spark.read.schema(f"{schema}, model string").option("header", True).csv(path)
+
+
 def _company_comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
     features = _kept(spark, sf_dir)
     return comparison.company_comparison(product_rounds(features), forecast(features, "ridge"))
@@ -127,11 +193,14 @@ def queries() -> dict[str, Query]:
         "opening_stock_global": _of_table(aggregates.opening_stock, "inventory", "inventory_global"),
         "running_stock": lambda spark, sf_dir: running_stock(_fact(spark, sf_dir)).drop("line_no"),
         "company_list": _of_table(exploration.company_list, "sales"),
-        "company_overview": _of_rounds(exploration.company_overview),
-        "demand_matrix": _of_rounds(exploration.demand_matrix),
-        "sales_matrix": _of_rounds(exploration.sales_matrix),
+        "company_count": _of_table(exploration.company_count, "sales"),
+        "company_overview": _of_sales(exploration.company_overview),
+        "demand_by_round": _of_sales(exploration.demand_by_round),
+        "sales_by_round": _of_sales(exploration.sales_by_round),
+        "demand_matrix": _of_sales(_products(exploration.demand_matrix)),
+        "sales_matrix": _of_sales(_products(exploration.sales_matrix)),
         "profile_numeric": lambda spark, sf_dir: exploration.profile_numeric(_kept(spark, sf_dir)),
-        "profile_text": lambda spark, sf_dir: exploration.profile_text(_features(spark, sf_dir)),
+        "profile_text": _of_table(exploration.profile_sales_text, "sales"),
         "last_round_stock": _of_rounds(exploration.last_round_stock),
         "product_forecast": _product_forecast,
         "planning_indicators": _of_indicators(lambda indicators: indicators),
@@ -144,6 +213,11 @@ def queries() -> dict[str, Query]:
         "observed_vs_predicted": _observed_vs_predicted,
         "forecast_metrics": _forecast_metrics,
         "prepared_features": _prepared_features,
+        "prepared_features_with_gaps": lambda spark, sf_dir: _prepared_features(spark, sf_dir, gaps=True),
+        "report_export": _report_export,
+        "planning_identities": _planning_identities,
+        "forecast_checks": _forecast_checks(("ridge", "forest")),
+        "forecast_checks_boosting": _forecast_checks(("boosting",)),
         "forecast_ridge": _forecast("ridge"),
         "forecast_forest": _forecast("forest"),
         "forecast_boosting": _forecast("boosting"),

@@ -11,8 +11,6 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from stockloom.sources.tables import Tables
 
-FIRST_ROUND, LAST_ROUND = 1, 27
-
 VARIANTS = (
     "base",
     "market_by_company",
@@ -96,14 +94,13 @@ def star_tables(spark: SparkSession, sf_dir: str, variant: str = "base") -> Tabl
     supplier = read("supplier").join(_places(spark, sf_dir, "s_nationkey", "supplier_region"), "s_nationkey")
     production = (
         read("lineitem")
-        .where(F.col("l_discount") == 0)
         .join(read("part"), F.col("l_partkey") == F.col("p_partkey"))
         .join(supplier, F.col("l_suppkey") == F.col("s_suppkey"))
         .select(
             F.col("supplier_region").alias("COMPANY_CODE"),
             _quarter_no("l_shipdate").alias("SIM_ROUND"),
             F.col("p_brand").alias("MATERIAL_CODE"),
-            F.col("l_quantity").alias("YIELD"),
+            (F.col("l_quantity") * F.col("l_discount")).alias("YIELD"),
         )
     )
     market = (
@@ -115,8 +112,9 @@ def star_tables(spark: SparkSession, sf_dir: str, variant: str = "base") -> Tabl
             F.col("o_totalprice").alias("AVERAGE_PRICE"),
         )
     )
+    last_round = read("orders").agg(F.max(_quarter_no("o_orderdate")).alias("last")).first().last or 1
     inventory = read("part").select(
-        F.explode(F.sequence(F.lit(FIRST_ROUND), F.lit(LAST_ROUND))).alias("SIM_ROUND"),
+        F.explode(F.sequence(F.lit(1), F.lit(last_round))).alias("SIM_ROUND"),
         F.col("p_brand").alias("MATERIAL_CODE"),
         F.col("p_size").cast("double").alias("INVENTORY_OPENING_BALANCE"),
     )

@@ -12,15 +12,19 @@ from .operators.aggregates import (
     production_by_round,
     sales_lines,
 )
-from .operators.rollup import last_rounds, product_rounds, product_totals
+from .operators.rollup import last_rounds, product_rounds, product_totals, sales_rounds
 from .plans.comparison import company_comparison, model_comparison
 from .plans.exploration import (
+    company_count,
     company_list,
     company_overview,
+    demand_by_round,
     demand_matrix,
     last_round_stock,
     profile_numeric,
+    profile_sales_text,
     profile_text,
+    sales_by_round,
     sales_matrix,
 )
 from .plans.fact import sales_fact
@@ -41,4 +45,48 @@ from .sources.reports import write_report
 from .sources.scratch import release
 from .sources.tables import Tables, catalog_tables, read_tables
 
-__all__ = [name for name in dir() if not name.startswith("_") and name not in ("operators", "plans", "sources", "functions")]
+__all__ = [
+    "ContractError",
+    "Forecast",
+    "MODELS",
+    "Tables",
+    "Workbench",
+    "catalog_tables",
+    "company_comparison",
+    "company_count",
+    "company_list",
+    "company_overview",
+    "demand_by_round",
+    "demand_features",
+    "demand_matrix",
+    "demand_timeline",
+    "financial_summary",
+    "forecast",
+    "forecast_metrics",
+    "forecast_vs_history",
+    "last_round_stock",
+    "last_rounds",
+    "market_price",
+    "marketing_by_round",
+    "model_comparison",
+    "opening_stock",
+    "planning_indicators",
+    "planning_table",
+    "product_forecast",
+    "product_rounds",
+    "product_totals",
+    "production_by_round",
+    "profile_numeric",
+    "profile_sales_text",
+    "profile_text",
+    "read_tables",
+    "release",
+    "requirement_recap",
+    "running_stock",
+    "sales_by_round",
+    "sales_fact",
+    "sales_lines",
+    "sales_matrix",
+    "sales_rounds",
+    "write_report",
+]

@@ -17,7 +17,7 @@ from pyspark.sql import Column, functions as F
 # and put together once per group.
 AMOUNT = "decimal(28,6)"
 MILLION = 1e6
-_MILLIONTH = Decimal("0.000001")
+MILLIONTH = Decimal("0.000001")
 
 
 def _column(value: Column | str) -> Column:
@@ -40,11 +40,24 @@ def millionths(value: Column | str) -> Column:
     return F.rint((column - F.floor(column)) * MILLION).cast("bigint")
 
 
+def residue(value: Column | str) -> Column:
+    """What units and millionths leave, unless it is below the double's own precision."""
+    column = _column(value)
+    left = column - F.floor(column) - F.rint((column - F.floor(column)) * MILLION) / MILLION
+    return F.when(F.abs(left) > F.abs(column) * 4e-16, left).otherwise(0.0)
+
+
 def exact_sum(value: Column | str) -> Column:
-    """Sum of doubles with six decimals; 0 for a group without any value."""
-    whole = F.sum(units(value)).cast("decimal(28,0)")
+    """Sum of doubles; 0 for a group without any value.
+
+    Units and millionths are summed as integers. What lies below them is summed as it
+    is: its order of summation changes digits far below those of the result.
+    """
+    whole = F.sum(units(value)).cast("decimal(20,0)")
     parts = F.sum(millionths(value)).cast("decimal(20,0)")
-    return F.coalesce(whole + parts * F.lit(_MILLIONTH), F.lit(0).cast("decimal(35,6)"))
+    rest = F.sum(residue(value)).cast("decimal(20,18)")
+    total = whole + parts * F.lit(MILLIONTH) + rest
+    return F.coalesce(total.cast("decimal(38,17)"), F.lit(0).cast("decimal(38,17)"))
 
 
 def exact_ratio_sum(value: Column | str) -> Column:
@@ -54,7 +67,7 @@ def exact_ratio_sum(value: Column | str) -> Column:
     whole = F.sum(units(column)).cast("decimal(25,0)")
     parts = F.sum(units(fine)).cast("decimal(20,0)")
     finest = F.sum(millionths(fine)).cast("decimal(20,0)")
-    return (whole + parts * F.lit(_MILLIONTH) + finest * F.lit(_MILLIONTH**2)).cast("decimal(38,12)")
+    return (whole + parts * F.lit(MILLIONTH) + finest * F.lit(MILLIONTH**2)).cast("decimal(38,12)")
 
 
 def exact_mean(value: Column | str) -> Column:

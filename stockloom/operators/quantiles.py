@@ -16,10 +16,11 @@ from ..sources.scratch import keep
 from .ordered import along_order, in_order
 
 # The sketch is off by at most one in ACCURACY of the ranks; the bracket is drawn
-# twice as far out on either side. In groups above BRACKET_FROM values that is
-# a margin of more than ten ranks; smaller groups are ranked whole.
+# MARGIN (a share of the ranks) out on either side. Whether it holds the wanted
+# ranks is counted, and a quantile outside its bracket is looked for again
+# between the least and the largest value.
 ACCURACY = 10_000
-BRACKET_FROM = 100_000
+MARGIN = 0.002
 
 
 def exact_quantiles(
@@ -27,7 +28,7 @@ def exact_quantiles(
     keys: list[str],
     columns: list[str],
     probabilities: list[float],
-    bracket_from: int = BRACKET_FROM,
+    margin: float = MARGIN,
 ) -> DataFrame:
     """Quantiles of each of ``columns`` per ``keys``; nulls are left out.
 
@@ -38,16 +39,60 @@ def exact_quantiles(
     """
     values = df.select(*keys, *[F.col(c).cast("double").alias(f"v{i}") for i, c in enumerate(columns)])
     targets = [(i, j) for i in range(len(columns)) for j in range(len(probabilities))]
-    group = [*keys, "i", "j"]
 
-    brackets = keep(_brackets(values, keys, len(columns), probabilities, bracket_from), "quantile_brackets")
+    brackets = keep(_brackets(values, keys, len(columns), probabilities, margin), "quantile_brackets")
+    found = keep(_inside(values, brackets, keys, columns, targets, probabilities), "quantiles")
+    missed = found.where("missed")
+    if not missed.isEmpty():
+        flags = missed.groupBy(*keys).agg(
+            *[F.bool_or((F.col("i") == i) & (F.col("j") == j)).alias(f"missed{i}_{j}") for i, j in targets]
+        )
+        whole = keep(
+            brackets.join(flags, keys).select(
+                *keys,
+                *[f"{name}{i}" for i in range(len(columns)) for name in ("n", "least", "most")],
+                *[
+                    F.when(F.col(f"missed{i}_{j}"), F.col(f"{otherwise}{i}")).alias(f"{end}{i}_{j}")
+                    for i, j in targets
+                    for end, otherwise in (("low", "least"), ("high", "most"))
+                ],
+            ),
+            "quantile_brackets",
+        )
+        found = found.where(~F.col("missed")).unionByName(_inside(values, whole, keys, columns, targets, probabilities))
+    name = F.array(*[F.lit(c) for c in columns])[F.col("i")]
+    probability = F.array(*[F.lit(float(p)) for p in probabilities])[F.col("j")]
+    return found.select(*keys, name.alias("column"), probability.alias("probability"), "quantile")
+
+
+def _inside(
+    values: DataFrame,
+    brackets: DataFrame,
+    keys: list[str],
+    columns: list[str],
+    targets: list[tuple[int, int]],
+    probabilities: list[float],
+) -> DataFrame:
+    """``keys``, ``i``, ``j``, ``quantile`` and whether the bracket missed it.
+
+    Brackets without a lower end are passed over.
+    """
+    group = [*keys, "i", "j"]
     bracketed = values.join(
         brackets.select(*keys, *[f"{end}{i}_{j}" for i, j in targets for end in ("low", "high")]), keys
     )
-    up_to_low = bracketed.groupBy(*keys).agg(
-        *[F.count_if(F.col(f"v{i}") <= F.col(f"low{i}_{j}")).alias(f"up_to_low{i}_{j}") for i, j in targets]
+    counted = bracketed.groupBy(*keys).agg(
+        *[
+            F.count_if(hit(F.col(f"v{i}"), F.col(f"low{i}_{j}"), F.col(f"high{i}_{j}"))).alias(f"{count}{i}_{j}")
+            for i, j in targets
+            for count, hit in (
+                ("below_low", lambda v, low, high: v < low),
+                ("up_to_low", lambda v, low, high: v <= low),
+                ("up_to_high", lambda v, low, high: v <= high),
+            )
+        ]
     )
-    places = keep(_places(brackets.join(up_to_low, keys), keys, targets, probabilities), "quantile_places")
+    places = keep(_places(brackets.join(counted, keys), keys, targets, probabilities), "quantile_places")
 
     # Values equal to an end need no ranking, so that a value shared by many rows
     # is never taken out; equal values inside become one row each. Few rows pass
@@ -96,13 +141,10 @@ def exact_quantiles(
             .otherwise(F.col(f"{rank}_value"))
         )
 
-    name = F.array(*[F.lit(c) for c in columns])[F.col("i")]
-    probability = F.array(*[F.lit(float(p)) for p in probabilities])[F.col("j")]
     return places.join(hits, group, "left").select(
-        *keys,
-        name.alias("column"),
-        probability.alias("probability"),
+        *group,
         _between(at("low_rank"), at("high_rank"), F.col("fraction")).alias("quantile"),
+        "missed",
     )
 
 
@@ -111,9 +153,8 @@ def _between(low: Column, high: Column, t: Column) -> Column:
     return F.when(t >= 0.5, high - (high - low) * (1 - t)).otherwise(low + (high - low) * t)
 
 
-def _brackets(values: DataFrame, keys: list[str], width: int, probabilities: list[float], bracket_from: int) -> DataFrame:
-    """One row per group: the count of each column and the ends of each bracket."""
-    margin = 2 / ACCURACY
+def _brackets(values: DataFrame, keys: list[str], width: int, probabilities: list[float], margin: float) -> DataFrame:
+    """One row per group: count, extremes, and the ends of each bracket."""
     ends = [end for p in probabilities for end in (max(p - margin, 0.0), min(p + margin, 1.0))]
     sketches = values.groupBy(*keys).agg(
         *[F.count(f"v{i}").alias(f"n{i}") for i in range(width)],
@@ -121,16 +162,15 @@ def _brackets(values: DataFrame, keys: list[str], width: int, probabilities: lis
         *[F.max(f"v{i}").alias(f"most{i}") for i in range(width)],
         *[F.percentile_approx(f"v{i}", ends, ACCURACY).alias(f"ends{i}") for i in range(width)],
     )
-
-    def end(i: int, position: int, otherwise: str) -> Column:
-        whole = F.col(f"n{i}") <= bracket_from
-        return F.when(whole, F.col(f"{otherwise}{i}")).otherwise(F.col(f"ends{i}")[position])
-
     return sketches.select(
         *keys,
-        *[f"n{i}" for i in range(width)],
-        *[end(i, 2 * j, "least").alias(f"low{i}_{j}") for i in range(width) for j in range(len(probabilities))],
-        *[end(i, 2 * j + 1, "most").alias(f"high{i}_{j}") for i in range(width) for j in range(len(probabilities))],
+        *[f"{name}{i}" for i in range(width) for name in ("n", "least", "most")],
+        *[
+            F.col(f"ends{i}")[2 * j + k].alias(f"{end}{i}_{j}")
+            for i in range(width)
+            for j in range(len(probabilities))
+            for k, end in enumerate(("low", "high"))
+        ],
     )
 
 
@@ -150,6 +190,7 @@ def _places(sized: DataFrame, keys: list[str], targets: list[tuple[int, int]], p
             (F.floor(rank) - skipped).alias("low_rank"),
             (F.ceil(rank) - skipped).alias("high_rank"),
             (rank - F.floor(rank)).alias("fraction"),
+            ((F.floor(rank) < F.col(f"below_low{i}_{j}")) | (F.ceil(rank) >= F.col(f"up_to_high{i}_{j}"))).alias("missed"),
         )
 
     each = sized.select(*keys, F.inline(F.array(*[place(i, j) for i, j in targets])))

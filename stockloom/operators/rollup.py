@@ -9,8 +9,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from ..functions.expressions import exact_ratio_sum, exact_sum, guarded_ratio
+from ..functions.expressions import amount, exact_ratio_sum, exact_sum, guarded_ratio
 from ..sources.scratch import keep
+from .aggregates import line_order
 
 
 def product_rounds(features: DataFrame) -> DataFrame:
@@ -31,6 +32,38 @@ def product_rounds(features: DataFrame) -> DataFrame:
     return keep(rounds, "product_rounds")
 
 
+def first_lines(lines: DataFrame) -> DataFrame:
+    """The first line of each company and product, in the order of the lines."""
+    order = line_order(lines)
+    rest = [c for c in lines.columns if c not in order]
+    first = lines.groupBy("company", "product").agg(F.min(F.struct(*order[2:], *rest)).alias("first"))
+    return first.select("company", "product", "first.*").select(*lines.columns)
+
+
+def sales_rounds(lines: DataFrame) -> DataFrame:
+    """Line count, demand and net sales per company, product and round.
+
+    The same numbers as in ``product_rounds``, from the sales lines alone: the features
+    are all lines but the first of each product.
+    """
+    first = first_lines(lines).select(
+        "company", "product", "round", F.lit(1).alias("lines"), amount("demand").alias("demand"), amount("net_sales").alias("net_sales")
+    )
+    every = lines.groupBy("company", "product", "round").agg(
+        F.count(F.lit(1)).alias("lines"), exact_sum("demand").alias("demand"), exact_sum("net_sales").alias("net_sales")
+    )
+    taken = every.join(first.toDF("company", "product", "round", "l", "d", "s"), ["company", "product", "round"], "left")
+    zero = F.lit(0)
+    return taken.select(
+        "company",
+        "product",
+        "round",
+        (F.col("lines") - F.coalesce("l", zero)).alias("lines"),
+        (F.col("demand") - F.coalesce("d", zero)).alias("demand"),
+        (F.col("net_sales") - F.coalesce("s", zero)).alias("net_sales"),
+    ).where("lines > 0")
+
+
 def last_rounds(rounds: DataFrame) -> DataFrame:
     """The last round of each company. An aggregate that is joined back: a
     window over the company would gather all of its rows in one task."""

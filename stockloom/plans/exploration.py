@@ -5,14 +5,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.expressions import exact_mean, round_half_even
+from ..operators import aggregates
 from ..operators.aggregates import LINE_KEYS
 from ..operators.encoding import long_form
 from ..operators.quantiles import exact_quantiles
-from ..operators.rollup import last_rounds
+from ..operators.rollup import first_lines, last_rounds
 from ..sources.contract import is_number
+from .features import LAGS
 
 # Left out of the numeric profile: the round and what was derived for the models.
-NOT_PROFILED = ("demand_lag1", "market_price_lag1", "marketing_lag1", "trend", "round", "line_no")
+NOT_PROFILED = (*LAGS, "trend", "round", "line_no")
 QUARTILES = {0.25: "q25", 0.5: "q50", 0.75: "q75"}
 
 
@@ -25,6 +27,11 @@ def company_list(sales: DataFrame) -> DataFrame:
     return sales.dropna(subset=keys).select("company").distinct().orderBy("company")
 
 
+def company_count(sales: DataFrame) -> DataFrame:
+    """How many companies have a complete sales line."""
+    return company_list(sales).agg(F.count(F.lit(1)).alias("companies"))
+
+
 def company_overview(rounds: DataFrame) -> DataFrame:
     """Rounds, products and lines of each company."""
     return rounds.groupBy("company").agg(
@@ -34,21 +41,33 @@ def company_overview(rounds: DataFrame) -> DataFrame:
     )
 
 
-def _matrix(rounds: DataFrame, measure: str, products: list | None) -> DataFrame:
-    # Without a list of products Spark looks them up, within its limit on the
-    # number of pivot columns.
-    by_round = rounds.groupBy("company", "round")
-    spread = by_round.pivot("product") if products is None else by_round.pivot("product", products)
+def _by_round(rounds: DataFrame, measure: str) -> DataFrame:
+    sums = rounds.groupBy("company", "round", "product").agg(F.sum(measure).cast("double").alias(measure))
+    return sums.orderBy("company", "round", "product")
+
+
+def demand_by_round(rounds: DataFrame) -> DataFrame:
+    """Demand per round and product, one row each, however many products there are."""
+    return _by_round(rounds, "demand")
+
+
+def sales_by_round(rounds: DataFrame) -> DataFrame:
+    """Net sales per round and product, one row each."""
+    return _by_round(rounds, "net_sales")
+
+
+def _matrix(rounds: DataFrame, measure: str, products: list) -> DataFrame:
+    spread = rounds.groupBy("company", "round").pivot("product", products)
     return spread.agg(F.sum(measure).cast("double")).orderBy("company", "round")
 
 
-def demand_matrix(rounds: DataFrame, products: list | None = None) -> DataFrame:
-    """Demand per round (rows) and product (columns); null where there is none."""
+def demand_matrix(rounds: DataFrame, products: list) -> DataFrame:
+    """Demand per round (rows) and chosen product (columns); null where there is none."""
     return _matrix(rounds, "demand", products)
 
 
-def sales_matrix(rounds: DataFrame, products: list | None = None) -> DataFrame:
-    """Net sales per round (rows) and product (columns); null where there are none."""
+def sales_matrix(rounds: DataFrame, products: list) -> DataFrame:
+    """Net sales per round (rows) and chosen product (columns); null where there are none."""
     return _matrix(rounds, "net_sales", products)
 
 
@@ -67,6 +86,10 @@ def profile_numeric(features: DataFrame, columns: list[str] | None = None) -> Da
     pass; the lines are read several times, so keep them first.
     """
     columns = columns or numeric_columns(features)
+    if not columns:
+        names = ("mean", "std", "min", "q25", "q50", "q75", "max")
+        nothing = ", ".join(f"{name} double" for name in names)
+        return features.sparkSession.createDataFrame([], f"company string, column string, count bigint, {nothing}")
 
     def summary(c: str) -> Column:
         value = F.col(c).cast("double")
@@ -96,12 +119,36 @@ def profile_text(features: DataFrame, columns: list[str] | None = None) -> DataF
     The smallest of equally frequent values is the most frequent one.
     """
     columns = columns or text_columns(features)
+    counted = _value_counts(features, columns)
+    return _text_summary(counted)
+
+
+def profile_sales_text(sales: DataFrame) -> DataFrame:
+    """The same from the sales table alone: the texts of all lines, less those of each
+    product's first line. No other table and no order of all lines is needed."""
+    lines = aggregates.sales_lines(sales)
+    lines = lines.withColumn("channel", F.col("channel").cast("string"))
+    columns = text_columns(lines)
     counted = (
-        long_form(features, columns, "string")
+        _value_counts(lines, columns)
+        .unionByName(_value_counts(first_lines(lines), columns).withColumn("n", -F.col("n")))
+        .groupBy("company", "column", "value")
+        .agg(F.sum("n").alias("n"))
+        .where("n > 0")
+    )
+    return _text_summary(counted)
+
+
+def _value_counts(lines: DataFrame, columns: list[str]) -> DataFrame:
+    return (
+        long_form(lines, columns, "string")
         .dropna()
         .groupBy("company", "column", "value")
         .agg(F.count(F.lit(1)).alias("n"))
     )
+
+
+def _text_summary(counted: DataFrame) -> DataFrame:
     return (
         counted.groupBy("company", "column")
         .agg(

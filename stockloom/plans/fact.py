@@ -12,14 +12,21 @@ from ..sources.tables import Tables
 FILLED = ("produced", "marketing_spend", "market_price", "opening_stock")
 
 
-def sales_fact(tables: Tables) -> DataFrame:
+def _of_company(df: DataFrame, company) -> DataFrame:
+    return df if company is None or "company" not in df.columns else df.where(F.col("company") == company)
+
+
+def sales_fact(tables: Tables, company: str | None = None) -> DataFrame:
     """One row per sales line, with the coarser tables joined on.
 
+    With ``company``, every table that names companies is cut to it in its scan.
+
     The right sides are unique on their keys, so no line is multiplied. They are
     written once, all four at the same time: Spark then plans each join on the
     size of the written table, and a small one is broadcast without the lines
     being shuffled for it.
     """
+    tables = Tables(**{name: _of_company(df, company) for name, df in vars(tables).items()})
     lines = aggregates.sales_lines(tables.sales)
     stock_is_global = "product" not in tables.inventory.columns
     sides = {

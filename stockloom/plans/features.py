@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from ..functions.expressions import MILLION, millionths, units
+from ..functions.expressions import MILLIONTH, millionths, units
 from ..operators.aggregates import DELIVERED_KEY, line_order
 from ..operators.ordered import along_order, in_order
 
@@ -37,7 +37,8 @@ def line_history(fact: DataFrame, company: str | None = None) -> DataFrame:
         previous=LAGS,
         first={"first_stock": "opening_stock"},
     )
-    stock = F.col("first_stock") + (F.col("whole") + F.col("parts") / MILLION)
+    moved = F.col("whole").cast("decimal(20,0)") + F.col("parts").cast("decimal(20,0)") * F.lit(MILLIONTH)
+    stock = F.col("first_stock") + moved.cast("double")
     return history.withColumn("running_stock", F.coalesce(stock, F.lit(0.0))).drop(
         "slice", "whole", "parts", "first_stock", DELIVERED_KEY
     )

@@ -8,32 +8,29 @@ from dataclasses import dataclass
 from pyspark.ml import Pipeline
 from pyspark.ml.feature import OneHotEncoder, VectorAssembler
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
-from pyspark.sql import DataFrame, Row, functions as F
+from pyspark.sql import Column, DataFrame, Row, functions as F
 
 from ..functions.expressions import at_least_zero, whole_units
 from ..operators.encoding import NO_SLOT, TARGET, Encoded, encode
 from ..sources.scratch import enable_checkpoints, keep, new_path
 
 RIDGE_PENALTY = 1.0
-# The closed form needs the feature matrix squared on the driver; the solver
-# refuses more features than this.
-CLOSED_FORM_FEATURES = 4096
+RIDGE_ITERATIONS = 1000
 _COLUMNS = {"featuresCol": "features", "labelCol": TARGET, "predictionCol": "prediction"}
 
 
 def _ridge(statistics: Row, size: int):
     # The estimator divides the squared error by the row count and works on a
     # label divided by its deviation, so the penalty has to be put on that scale.
-    # The closed form uses the population's deviation, the iteration the sample's.
-    if size <= CLOSED_FORM_FEATURES:
-        solver, spread = {"solver": "normal"}, statistics.target_std
-    else:
-        solver, spread = {"solver": "l-bfgs", "maxIter": 1000, "tol": 1e-10}, statistics.target_sample_std
+    # The iteration takes the sample's deviation. It holds one vector of the
+    # features' size, whatever their number.
     return LinearRegression(
         elasticNetParam=0.0,
         standardization=False,
-        regParam=RIDGE_PENALTY * spread / statistics.n_train,
-        **solver,
+        regParam=RIDGE_PENALTY * statistics.target_sample_std / statistics.n_train,
+        solver="l-bfgs",
+        maxIter=RIDGE_ITERATIONS,
+        tol=1e-10,
         **_COLUMNS,
     )
 
@@ -63,6 +60,13 @@ def _boosting(statistics: Row, size: int):
     )
 
 
+_FOLDER = "company_folder"
+
+
+def _folder(company: Column) -> Column:
+    return F.hex(F.xxhash64(company))
+
+
 MODELS = {"ridge": _ridge, "forest": _forest, "boosting": _boosting}
 
 
@@ -73,11 +77,13 @@ class Forecast:
     ``lines``: company, product, round, line_no, model, demand, prediction (at
     least 0) and forecast (whole units). The forecast for the round to come is
     the prediction for the last one, as no feature is rolled forward.
-    ``skipped``: companies whose lines are all in one round.
+    ``skipped``: companies whose lines are all in one round. ``failed``: what ended the
+    fit of a company; the forecasts of the others are there all the same.
     """
 
     lines: DataFrame
     skipped: list
+    failed: dict
 
 
 def forecast_metrics(lines: DataFrame, keys: tuple[str, ...] = ("company", "model")) -> DataFrame:
@@ -100,10 +106,11 @@ def forecast_metrics(lines: DataFrame, keys: tuple[str, ...] = ("company", "mode
 
 def prepare_training(features: DataFrame, columns: tuple[str, ...] | None = None) -> Encoded:
     """Encode once and lay the lines out by company, so that a model reads only
-    the files of its own company. A company with many lines gets many files."""
+    the files of its own company. A company with many lines gets many files. Folders
+    are named by a hash, as not every name makes a folder (an empty one does not)."""
     encoded = encode(features, columns)
-    by_company = encoded.lines.hint("rebalance", "company")
-    kept = keep(by_company, "encoded_lines", partition_by=("company",))
+    by_company = encoded.lines.withColumn(_FOLDER, _folder(F.col("company"))).hint("rebalance", _FOLDER)
+    kept = keep(by_company, "encoded_lines", partition_by=(_FOLDER,))
     return Encoded(kept, encoded.statistics, encoded.categories, encoded.numbers, encoded.texts)
 
 
@@ -133,7 +140,7 @@ def forecast_encoded(
 
     Each fit is a distributed job over the company's lines; several companies
     are fitted at the same time. Only the statistics, one row per company, come
-    to the driver.
+    to the driver. A fit that fails is reported and leaves the others alone.
     """
     _check_model(model)
     spark = encoded.lines.sparkSession
@@ -146,14 +153,24 @@ def forecast_encoded(
         raise ValueError(f"the lines of {which} cannot be split into training and test rounds")
     slots = _slot_counts(encoded)
 
-    def fit(row: Row) -> str:
-        lines = encoded.lines.where(F.col("company") == row.company)
-        return _fit_one(lines, encoded, row, slots.get(row.company, {}), model)
+    path = new_path(spark, "forecast_lines")
+    failed: dict = {}
+
+    def fit(place: tuple[int, Row]) -> None:
+        number, row = place
+        own = (F.col(_FOLDER) == _folder(F.lit(row.company))) & (F.col("company") == row.company)
+        try:
+            _fit_one(encoded.lines.where(own), encoded, row, slots.get(row.company, {}), model, f"{path}/fit={number}")
+        except Exception as failure:  # any fit may fail; what failed is told
+            failed[row.company] = str(failure).splitlines()[0]
 
     with ThreadPoolExecutor(max_workers=max(1, min(parallelism, len(ready)))) as pool:
-        paths = list(pool.map(fit, ready))
-    schema = _forecast_lines(encoded.lines.withColumn("prediction", F.lit(0.0)), model).schema
-    return Forecast(spark.read.schema(schema).parquet(*paths), skipped)
+        list(pool.map(fit, enumerate(ready)))
+    if len(failed) == len(ready):
+        raise RuntimeError(f"no fit succeeded; the first failure: {next(iter(failed.values()))}")
+    lines = _forecast_lines(encoded.lines.withColumn("prediction", F.lit(0.0)), model)
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in lines.schema.fields)
+    return Forecast(spark.read.schema(f"{schema}, fit int").parquet(path).drop("fit"), skipped, failed)
 
 
 def _slot_counts(encoded: Encoded) -> dict:
@@ -165,7 +182,7 @@ def _slot_counts(encoded: Encoded) -> dict:
     return counts
 
 
-def _fit_one(lines: DataFrame, encoded: Encoded, row: Row, slots: dict, model: str) -> str:
+def _fit_one(lines: DataFrame, encoded: Encoded, row: Row, slots: dict, model: str, path: str) -> None:
     # A text with a single training category has no slot left: not a feature.
     texts = [c for c in encoded.texts if slots.get(c, 0) > 0]
     for c in texts:
@@ -183,10 +200,10 @@ def _fit_one(lines: DataFrame, encoded: Encoded, row: Row, slots: dict, model: s
     stages.append(MODELS[model](row, size))
 
     fitted = Pipeline(stages=stages).fit(lines.where(~F.col("is_test")))
+    if model == "ridge" and fitted.stages[-1].summary.totalIterations >= RIDGE_ITERATIONS:
+        raise RuntimeError(f"ridge did not settle within {RIDGE_ITERATIONS} iterations")
     scored = _forecast_lines(fitted.transform(lines.where(F.col("is_test"))), model)
-    path = new_path(lines.sparkSession, "forecast_lines")
     scored.write.parquet(path)
-    return path
 
 
 def _forecast_lines(scored: DataFrame, model: str) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 
 from ..operators.encoding import Encoded
 from ..operators.rollup import product_rounds
-from ..sources.scratch import keep
+from ..sources.scratch import keep, release
 from ..sources.tables import Tables
 from . import comparison, exploration, planning
 from .fact import sales_fact
@@ -28,9 +28,16 @@ class Workbench:
         self.company = company
         self._forecasts: dict[str, Forecast] = {}
 
+    def __enter__(self) -> Workbench:
+        return self
+
+    def __exit__(self, *failure) -> None:
+        """Delete the intermediate tables; results that were not written end with them."""
+        release(self.tables.sales.sparkSession)
+
     @cached_property
     def fact(self) -> DataFrame:
-        return sales_fact(self.tables)
+        return sales_fact(self.tables, self.company)
 
     @cached_property
     def features(self) -> DataFrame:
@@ -61,11 +68,20 @@ class Workbench:
     def overview(self) -> DataFrame:
         return exploration.company_overview(self.rounds)
 
-    def demand_matrix(self) -> DataFrame:
-        return exploration.demand_matrix(self.rounds)
+    def company_count(self) -> DataFrame:
+        return exploration.company_count(self.tables.sales)
+
+    def demand_by_round(self) -> DataFrame:
+        return exploration.demand_by_round(self.rounds)
+
+    def sales_by_round(self) -> DataFrame:
+        return exploration.sales_by_round(self.rounds)
+
+    def demand_matrix(self, products: list) -> DataFrame:
+        return exploration.demand_matrix(self.rounds, products)
 
-    def sales_matrix(self) -> DataFrame:
-        return exploration.sales_matrix(self.rounds)
+    def sales_matrix(self, products: list) -> DataFrame:
+        return exploration.sales_matrix(self.rounds, products)
 
     def profile_numeric(self) -> DataFrame:
         return exploration.profile_numeric(self.features)

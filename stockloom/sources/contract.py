@@ -114,10 +114,16 @@ def _typed(field: Field, kind: T.DataType, table: str) -> Column:
     elif not is_number(kind):
         raise ContractError(f"{table}.{field.source} must be a number, not {kind.simpleString()}")
     if isinstance(kind, (T.DoubleType, T.FloatType)):
-        # A missing number may be written as NaN; it is a null like any other.
-        column = F.when(~F.isnan(column), column)
+        # A missing number may be written as NaN or be the infinity of a division by
+        # zero; it is a null like any other.
+        column = F.when(~F.isnan(column) & (F.abs(column) != float("inf")), column)
     if field.kind == ORDINAL:
-        column = column.cast("int")
+        if isinstance(kind, T.IntegralType):
+            column = column.cast("bigint")
+        else:
+            # Rounds are counted: half a round is a mistake in the input.
+            text = F.concat(F.lit(f"{table}.{field.source} must be whole: "), column.cast("string"))
+            column = F.when(column.isNull() | (column == F.floor(column)), column.cast("bigint")).otherwise(F.raise_error(text))
     elif field.kind == MEASURE:
         column = column.cast("double")
     return column.alias(field.name)

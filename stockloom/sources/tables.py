@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .contract import CONTRACTS, KEY, MEASURE, ORDINAL, clean_headers, conform
 
-_CSV_TYPES = {ORDINAL: "int", MEASURE: "double", KEY: "string"}
+_CSV_TYPES = {ORDINAL: "double", MEASURE: "double", KEY: "string"}
 
 
 @dataclass(frozen=True)

@@ -87,3 +87,21 @@ def test_tables_are_read_from_a_catalog(spark, tmp_path):
         assert catalog_tables(spark, "planning").sales.count() == 13
     finally:
         spark.sql("drop database planning cascade")
+
+
+def test_rounds_must_be_whole(spark):
+    from pyspark.errors import PySparkException
+
+    from stockloom.sources.contract import MARKETING, conform
+
+    made = lambda rounds: conform(spark.createDataFrame([(r, "a", 1.0) for r in rounds], "SIM_ROUND double, SALES_ORGANIZATION string, AMOUNT double"), MARKETING)
+    assert [r["round"] for r in made([1.0, 202401150000.0, None]).collect()] == [1, 202401150000, None]
+    with pytest.raises(PySparkException, match="must be whole"):
+        made([1.5]).collect()
+
+
+def test_infinity_is_a_missing_value(spark):
+    from stockloom.sources.contract import MARKETING, conform
+
+    rows = spark.createDataFrame([(1, "a", float("inf"))], "SIM_ROUND int, SALES_ORGANIZATION string, AMOUNT double")
+    assert conform(rows, MARKETING).first().marketing_spend is None

@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+import pytest
+
 import numpy as np
 from pyspark.sql import functions as F
 
@@ -47,3 +49,9 @@ def test_sum_and_mean_of_nothing(spark):
     got = df.groupBy("g").agg(exact_sum("x").cast("double").alias("s"), exact_mean("x").alias("m")).orderBy("g")
     assert [tuple(r) for r in got.collect()] == [(1, 0.0, None), (2, 3.0, 3.0)]
     assert df.where(F.lit(False)).agg(exact_sum("x")).first()[0] == 0
+
+
+def test_sums_drop_nothing(spark):
+    df = spark.createDataFrame([("a", 1e-7)] * 10 + [("b", 1.4e-6)] * 10 + [("c", 0.1)] * 10, "g string, x double")
+    got = {r.g: (r.s, r.m) for r in df.groupBy("g").agg(exact_sum("x").cast("double").alias("s"), exact_mean("x").alias("m")).collect()}
+    assert got == {"a": (1e-6, pytest.approx(1e-7)), "b": (1.4e-5, pytest.approx(1.4e-6)), "c": (1.0, 0.1)}

@@ -32,9 +32,29 @@ def company_rows(features, company):
     return features.where(F.col("company") == company).toPandas().sort_values("line_no")
 
 
-@pytest.mark.parametrize("closed_form_features", [4096, 1])
-def test_ridge_is_the_closed_form(features, monkeypatch, closed_form_features):
-    monkeypatch.setattr(forecasting, "CLOSED_FORM_FEATURES", closed_form_features)
+def test_ridge_that_does_not_settle_is_told(features, monkeypatch):
+    monkeypatch.setattr(forecasting, "RIDGE_ITERATIONS", 1)
+    with pytest.raises(RuntimeError, match="settle"):
+        forecast(features, "ridge")
+
+
+def test_any_company_name_and_a_failing_one(features, monkeypatch):
+    named = features.withColumn("company", F.when(F.col("company") == "A", "").otherwise(F.col("company")))
+    assert {r.company for r in forecast(named, "ridge").lines.select("company").distinct().collect()} == {"", "B"}
+    whole = forecasting._fit_one
+
+    def failing(lines, encoded, row, *rest):
+        if row.company == "":
+            raise ArithmeticError("no fit")
+        whole(lines, encoded, row, *rest)
+
+    monkeypatch.setattr(forecasting, "_fit_one", failing)
+    result = forecast(named, "ridge")
+    assert result.failed == {"": "no fit"}
+    assert {r.company for r in result.lines.select("company").distinct().collect()} == {"B"}
+
+
+def test_ridge_is_the_closed_form(features):
     scored = forecast(features, "ridge").lines.toPandas()
     for company in "AB":
         pdf = company_rows(features, company)
@@ -140,7 +160,8 @@ def test_a_large_company_is_laid_out_in_several_files(spark, features):
         copies = features.crossJoin(spark.range(200).withColumnRenamed("id", "copy")).repartition(8)
         grown = copies.withColumn("line_no", F.monotonically_increasing_id()).withColumn("cost", F.col("cost") + F.rand(1))
         lines = prepare_training(keep(grown.drop("copy"), "grown")).lines
-        files = [f for f in lines.inputFiles() if "company=A" in f]
+        folder = lines.where("company = 'A'").first().company_folder
+        files = [f for f in lines.inputFiles() if f"company_folder={folder}" in f]
         assert len(files) > 1 and lines.count() == 72_000
     finally:
         spark.conf.unset("spark.sql.adaptive.advisoryPartitionSizeInBytes")
