@@ -335,6 +335,26 @@ left join product_slots p on p.company = m.company and p.product = m.product
 left join area_slots a on a.company = m.company and a.area = m.area"""
 
 
+def _ridge_optimality(features: str) -> str:
+    """Every feature of every company has a gradient of 0: the numbers, and each training
+    category but the first of a text."""
+    numbers = ", ".join(f"('{c}')" for c in FEATURE_NUMBERS)
+    slots = "\nunion all\n".join(
+        f"""select company, '{c}=' || {c} as feature, true as is_optimal from (
+  select company, {c}, row_number() over (partition by company order by {c}) as place
+  from (select distinct company, {c} from marked where not is_test)
+) where place > 1"""
+        for c in ("product", "area")
+    )
+    return f"""{features},
+{LAST_ROUNDS},
+{MARKED}
+select company, feature, true as is_optimal
+from (select distinct company from features) cross join (values {numbers}) as n(feature)
+union all
+{slots}"""
+
+
 def _forecast_checks(planned: str, models: tuple[str, ...]) -> str:
     """What must hold for any model: a prediction for each line of the last round, none below
     0, forecasts that are their whole part, and no larger error than the training mean's."""
@@ -421,6 +441,7 @@ from indicators""",
 select company, product, available_stock, forecast_price, mean_unit_cost,
        true as planned_is_lack, true as revenue_is_value, true as margin_is_rest, true as cover_is_share
 from indicators""",
+        "ridge_optimality": _ridge_optimality(features),
         "forecast_checks": _forecast_checks(planned, ("ridge", "forest")),
         "forecast_checks_boosting": _forecast_checks(planned, ("boosting",)),
         "demand_features_one_company": f"""{features}

@@ -8,7 +8,9 @@ as one, so that SQL can state the same. The models have queries of their own, an
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from stockloom.functions.expressions import round_half_even, whole_units
@@ -143,6 +145,49 @@ def _forecast_checks(models: tuple[str, ...]) -> Query:
     return query
 
 
+def _ridge_optimality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For each company and feature slot: is the gradient of the penalised loss 0 at the fitted weights?
+
+    The gradient for slot k is sum(x_k * (prediction - demand)) + weight_k; it counts as 0 below
+    a hundred-thousandth of sum(|x_k * demand|) + 1.
+    """
+    encoded = prepare_training(_kept(spark, sf_dir))
+    found: list[DataFrame] = []
+
+    def look(row, fitted, lines) -> None:
+        error = F.col("prediction") - F.col("demand")
+        each = fitted.transform(lines).select("demand", error.alias("error"), F.posexplode(vector_to_array("features")).alias("k", "x"))
+        weights = F.array(*[F.lit(float(w)) for w in fitted.stages[-1].coefficients])
+        sums = each.groupBy("k").agg(
+            F.sum(F.col("x") * F.col("error")).alias("pull"), F.sum(F.abs(F.col("x") * F.col("demand"))).alias("size")
+        )
+        flat = F.abs(F.col("pull") + weights[F.col("k")]) <= 1e-5 * (F.col("size") + 1)
+        found.append(keep(sums.select(F.lit(row.company).alias("company"), "k", flat.alias("is_optimal")), "gradients"))
+
+    forecast_encoded(encoded, "ridge", on_fit=look)
+    gradients = reduce(DataFrame.unionByName, found)
+    # Slots follow the numbers, text by text, as many as the company has training categories less one.
+    slots = encoded.categories.where("slot >= 0")
+    widths = slots.groupBy("company", "column").agg(F.count(F.lit(1)).alias("width"))
+    texts = F.array(*[F.lit(t) for t in encoded.texts])
+    earlier = widths.select("company", F.col("column").alias("other"), F.col("width").alias("before"))
+    offsets = (
+        widths.join(earlier, "company")
+        .where(F.array_position(texts, F.col("other")) < F.array_position(texts, F.col("column")))
+        .groupBy("company", "column")
+        .agg(F.sum("before").alias("offset"))
+    )
+    named = slots.join(offsets, ["company", "column"], "left").select(
+        "company",
+        (F.lit(len(encoded.numbers)) + F.coalesce("offset", F.lit(0)) + F.col("slot")).cast("int").alias("k"),
+        F.concat_ws("=", "column", "value").alias("feature"),
+    )
+    numbers = gradients.where(F.col("k") < len(encoded.numbers)).select(
+        "company", "k", F.array(*[F.lit(c) for c in encoded.numbers])[F.col("k")].alias("feature")
+    )
+    return gradients.join(named.unionByName(numbers), ["company", "k"], "left").select("company", "feature", "is_optimal")
+
+
 def _planning_identities(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The indicators of a ridge forecast: what does not depend on it, and how the rest hangs together."""
     features = _kept(spark, sf_dir)
@@ -216,6 +261,7 @@ def queries() -> dict[str, Query]:
         "prepared_features_with_gaps": lambda spark, sf_dir: _prepared_features(spark, sf_dir, gaps=True),
         "report_export": _report_export,
         "planning_identities": _planning_identities,
+        "ridge_optimality": _ridge_optimality,
         "forecast_checks": _forecast_checks(("ridge", "forest")),
         "forecast_checks_boosting": _forecast_checks(("boosting",)),
         "forecast_ridge": _forecast("ridge"),

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
-from pyspark.ml import Pipeline
+from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import OneHotEncoder, VectorAssembler
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
 from pyspark.sql import Column, DataFrame, Row, functions as F
@@ -134,13 +135,18 @@ def _check_model(model: str) -> None:
 
 
 def forecast_encoded(
-    encoded: Encoded, model: str, company: str | None = None, parallelism: int = 8
+    encoded: Encoded,
+    model: str,
+    company: str | None = None,
+    parallelism: int = 8,
+    on_fit: Callable[[Row, PipelineModel, DataFrame], None] | None = None,
 ) -> Forecast:
     """Like ``forecast``, on lines that are already encoded.
 
     Each fit is a distributed job over the company's lines; several companies
     are fitted at the same time. Only the statistics, one row per company, come
-    to the driver. A fit that fails is reported and leaves the others alone.
+    to the driver. A fit that fails is reported and leaves the others alone. ``on_fit``
+    is called with the company's statistics, the fitted pipeline and its training lines.
     """
     _check_model(model)
     spark = encoded.lines.sparkSession
@@ -160,7 +166,7 @@ def forecast_encoded(
         number, row = place
         own = (F.col(_FOLDER) == _folder(F.lit(row.company))) & (F.col("company") == row.company)
         try:
-            _fit_one(encoded.lines.where(own), encoded, row, slots.get(row.company, {}), model, f"{path}/fit={number}")
+            _fit_one(encoded.lines.where(own), encoded, row, slots.get(row.company, {}), model, f"{path}/fit={number}", on_fit)
         except Exception as failure:  # any fit may fail; what failed is told
             failed[row.company] = str(failure).splitlines()[0]
 
@@ -182,7 +188,7 @@ def _slot_counts(encoded: Encoded) -> dict:
     return counts
 
 
-def _fit_one(lines: DataFrame, encoded: Encoded, row: Row, slots: dict, model: str, path: str) -> None:
+def _fit_one(lines: DataFrame, encoded: Encoded, row: Row, slots: dict, model: str, path: str, on_fit=None) -> None:
     # A text with a single training category has no slot left: not a feature.
     texts = [c for c in encoded.texts if slots.get(c, 0) > 0]
     for c in texts:
@@ -202,6 +208,8 @@ def _fit_one(lines: DataFrame, encoded: Encoded, row: Row, slots: dict, model: s
     fitted = Pipeline(stages=stages).fit(lines.where(~F.col("is_test")))
     if model == "ridge" and fitted.stages[-1].summary.totalIterations >= RIDGE_ITERATIONS:
         raise RuntimeError(f"ridge did not settle within {RIDGE_ITERATIONS} iterations")
+    if on_fit is not None:
+        on_fit(row, fitted, lines.where(~F.col("is_test")))
     scored = _forecast_lines(fitted.transform(lines.where(F.col("is_test"))), model)
     scored.write.parquet(path)
 

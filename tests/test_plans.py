@@ -83,7 +83,7 @@ def test_partial_sums_come_before_the_shuffle(stored):
 def test_scans_read_the_needed_columns_only(features):
     kept = keep(features, "features")
     text = plan(kept.groupBy("company", "product", "round").agg(F.sum("demand")))
-    assert "ReadSchema: struct<round:int,product:string,company:string,demand:double>" in text
+    assert "ReadSchema: struct<round:bigint,product:string,company:string,demand:double>" in text
 
 
 def test_no_python_and_no_cross_joins(features):
@@ -121,3 +121,28 @@ def test_release_deletes_what_was_written_and_nothing_else(spark, tmp_path, monk
 def test_a_cluster_without_a_shared_folder_is_refused():
     with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
         scratch.shared_folder(FakeSession(None))
+
+
+def test_a_workbench_leaves_no_table_behind(spark, tmp_path, monkeypatch, small_dir):
+    from checks.star import star_tables
+    from stockloom import Workbench
+
+    monkeypatch.setattr(scratch, "_written", {})
+    monkeypatch.setattr(scratch, "shared_folder", lambda session: str(tmp_path))
+    with Workbench(star_tables(spark, small_dir)) as bench:
+        assert bench.overview().count() == 5
+        assert list(tmp_path.iterdir())
+    assert not list(tmp_path.iterdir())
+
+
+def test_one_company_cuts_every_table_that_names_it(spark, small_dir):
+    from checks.star import star_tables
+    from stockloom import sales_fact
+
+    tables = star_tables(spark, small_dir)
+    alone = sales_fact(tables, "ASIA")
+    every = sales_fact(tables).where("company = 'ASIA'")
+    assert sorted(alone.collect(), key=str) == sorted(every.collect(), key=str)
+    written = [f for f in alone.inputFiles() if "/production-" in f or "/marketing-" in f]
+    sides = [spark.read.parquet(f) for f in written]
+    assert sides and all({r.company for r in side.select("company").distinct().collect()} <= {"ASIA"} for side in sides)
