@@ -7,11 +7,11 @@ descent, and a logistic curve turns its margins into scores.
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Sequence
 from dataclasses import dataclass
 
 import numpy as np
+import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
 from .common import word_blocks
@@ -110,14 +110,19 @@ def fit(texts: Sequence[str | None], labels: Sequence[int], cost: float = COST,
     if not len(labels) or positive.all() or not positive.any():
         share = (positive.sum() + 1) / (len(labels) + 2)
         return Model({}, 0.0, 0.0, float(np.log(share / (1 - share))))
-    # The n-grams of one text at a time: those of all texts at once would fill the driver.
-    counts: Counter = Counter()
-    for text in texts:
-        counts.update(ngrams(text))
-    vocabulary = sorted(gram for gram, n in counts.items() if n >= LEAST_TEXTS)
-    del counts
-    number = {gram: i for i, gram in enumerate(vocabulary)}
-    rows = [np.array(sorted(number[g] for g in ngrams(t) if g in number), dtype=np.int64) for t in texts]
+    # Counted by hash: the n-grams themselves, nearly all of which occur once, would fill
+    # the driver. Only those that occur often enough are kept.
+    digest = xxhash.xxh64_intdigest
+    every = np.sort(np.concatenate([np.array([digest(g) for g in ngrams(t)], dtype=np.uint64) for t in texts]))
+    least = every[LEAST_TEXTS - 1 :]
+    frequent = set(np.unique(least[least == every[: len(least)]]).tolist())
+    del every, least
+    number: dict[bytes, int] = {}
+    rows = [
+        np.array(sorted(number.setdefault(g, len(number)) for g in sorted(ngrams(t)) if digest(g) in frequent), dtype=np.int64)
+        for t in texts
+    ]
+    vocabulary = list(number)
     size = len(vocabulary)
 
     def ratio_of(chosen) -> np.ndarray:
