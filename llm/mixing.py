@@ -104,7 +104,8 @@ def mixed(df: DataFrame, key: str = "doc_id", text: str = "text", source: str =
     """
     taken = copies(df, key, text, source).groupBy(key).agg(F.sum("copies").alias("n"), F.count(F.lit(1)).alias("rows"))
     taken = keep(taken.where("n > 0"), "taken").select(F.col(key).alias("__key"), F.col("n").alias("__n"), F.col("rows").alias("__rows"))
-    once, shared = taken.where("__rows = 1"), taken.where("__rows > 1")
+    # Merged whatever the size: the keys grow with the documents.
+    once, shared = taken.where("__rows = 1").hint("merge"), taken.where("__rows > 1").hint("merge")
     single = df.join(once, df[key].eqNullSafe(once["__key"])).withColumn("__times", F.col("__n"))
     if shared.isEmpty():
         rows = single
