@@ -182,13 +182,13 @@ _ANSWER = "level int, bucket int, chunk bigint, first binary, second binary, cou
 
 
 def _split(level: int, chunk: int, keys: np.ndarray, first: np.ndarray, second: np.ndarray | None, buckets: int) -> pa.RecordBatch:
-    """Sorted keys and what comes with them, cut into equal ranges of the hash."""
-    edges = np.array([(i << 64) // buckets for i in range(1, buckets)], dtype=np.uint64)
-    cuts = np.searchsorted(keys, edges).tolist()
+    """Sorted keys and what comes with them, cut into equal ranges of the hash (under 2**32 of
+    them). The work grows with the keys, not with the ranges."""
+    place = (keys >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)
+    cuts = np.flatnonzero(np.concatenate(([True], place[1:] != place[:-1]))).tolist() if len(keys) else []
     rows = [
-        (level, bucket, chunk, _pack_keys(keys[a:b]), _pack(first[a:b]), None if second is None else _pack(second[a:b]))
-        for bucket, (a, b) in enumerate(zip([0, *cuts], [*cuts, len(keys)]))
-        if b > a
+        (level, int(place[a]), chunk, _pack_keys(keys[a:b]), _pack(first[a:b]), None if second is None else _pack(second[a:b]))
+        for a, b in zip(cuts, [*cuts[1:], len(keys)])
     ]
     kinds = [pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary()]
     names = [field.split()[0] for field in _ASKED.split(", ")]
