@@ -131,12 +131,14 @@ def training_sample(df: DataFrame, key: str, text: str, label: str, per_label: i
     """At most ``per_label`` texts of each language, those with the lowest hash of the key.
 
     Only keys and labels are ranked, and Spark cuts each partition to the wanted number
-    before the exchange; the texts of the chosen keys are then fetched.
+    before the exchange; the texts of the chosen keys are then fetched. Of rows that share a
+    key and a label, the first text in order stands for all.
     """
     order = Window.partitionBy("label").orderBy("draw", "key")
     ranked = (
         df.where(F.col(label).isNotNull() & F.col(text).isNotNull())
         .select(F.col(key).alias("key"), F.col(label).alias("label"), F.xxhash64(F.col(key)).alias("draw"))
+        .distinct()
         .withColumn("place", F.row_number().over(order))
         .where(F.col("place") <= per_label)
     )
@@ -146,6 +148,9 @@ def training_sample(df: DataFrame, key: str, text: str, label: str, per_label: i
         .select(F.col(key).alias("key"), F.col(text).alias("text"), F.col(label).alias("label"))
         # per_label rows for each language: bounded by the two parameters.
         .join(F.broadcast(chosen), "key")
+        # Rows that share a key count once, so that what comes to the driver is bounded as well.
+        .groupBy("key", "draw", "label")
+        .agg(F.min("text").alias("text"))
         .collect()
     )
     rows.sort(key=lambda r: (r.draw, r.text, r.label))

@@ -158,12 +158,14 @@ def train(
 ) -> Model:
     """Fit on at most ``sample`` labelled documents, those with the lowest hash of the key.
 
-    Labels other than 0 and 1 are ignored. The keys are drawn from the labels alone;
-    the texts of these few are then fetched.
+    Labels other than 0 and 1 are ignored, and equal labels of a document count once. The
+    keys are drawn from the labels alone; the texts of these few are then fetched. Of
+    documents that share a key, the first text in order stands for all.
     """
     chosen = (
         labels.where(F.col(label).isin(0, 1))
         .select(F.col(key).alias("key"), F.col(label).cast("int").alias("label"), F.xxhash64(F.col(key)).alias("draw"))
+        .distinct()
         .orderBy("draw", "key", "label")
         .limit(sample)
     )
@@ -171,6 +173,9 @@ def train(
         documents.select(F.col(key).alias("key"), F.col(text).alias("text"))
         # At most ``sample`` rows.
         .join(F.broadcast(chosen), "key")
+        # Documents that share a key count once: no more rows than labels come to the driver.
+        .groupBy("key", "draw", "label")
+        .agg(F.min("text").alias("text"))
         .collect()
     )
     rows.sort(key=lambda r: (r.draw, r.key, r.text or "", r.label))
