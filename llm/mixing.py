@@ -100,7 +100,8 @@ def copies(df: DataFrame, key: str = "doc_id", text: str = "text", source: str =
 def mixed(df: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
     """The rows of the mix: each document as often as it is taken, with all its columns.
 
-    Rows with the same key share the copies of that key, one after the other.
+    Rows with the same key share the copies of that key, one after the other in the order
+    of a hash of text and source.
     """
     taken = copies(df, key, text, source).groupBy(key).agg(F.sum("copies").alias("n"), F.count(F.lit(1)).alias("rows"))
     taken = keep(taken.where("n > 0"), "taken").select(F.col(key).alias("__key"), F.col("n").alias("__n"), F.col("rows").alias("__rows"))
@@ -110,10 +111,23 @@ def mixed(df: DataFrame, key: str = "doc_id", text: str = "text", source: str =
     if shared.isEmpty():
         rows = single
     else:
-        turn = F.row_number().over(Window.partitionBy("__key").orderBy(*[F.col(c) for c in (text, source)]))
-        several = df.join(shared, df[key].eqNullSafe(shared["__key"])).withColumn("__turn", turn)
+        # One key may hold any share of the rows: they are numbered in slices, not in a window
+        # over the key. The rows' own numbers are written first, so that they stay the same.
+        several = df.join(shared, df[key].eqNullSafe(shared["__key"]))
+        several = keep(several.withColumn("__row", F.monotonically_increasing_id()), "shared_keys")
+        narrow = several.select(
+            "__row",
+            F.col("__key").isNull().alias("no_name"),
+            F.coalesce(F.col("__key").cast("string"), F.lit("")).alias("name"),
+            F.xxhash64(text).alias("text_hash"),
+            F.xxhash64(source).alias("source_hash"),
+        )
+        group = ["no_name", "name"]
+        ordered = in_order(narrow, [*group, "text_hash", "source_hash", "__row"], "shared_keys_in_order")
+        turns = along_order(ordered, group, running={"turn": F.lit(1)}).select("__row", F.col("turn").alias("__turn"))
         even, rest = F.floor(F.col("__n") / F.col("__rows")), F.col("__n") % F.col("__rows")
-        several = several.withColumn("__times", even + (F.col("__turn") <= rest).cast("bigint")).drop("__turn")
+        several = several.join(turns, "__row").withColumn("__times", even + (F.col("__turn") <= rest).cast("bigint"))
+        several = several.select(*single.columns)
         rows = single.unionByName(several)
     rows = rows.where("__times > 0").withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__times").cast("int"))))
     return rows.select(*[F.col(f"`{c}`") for c in df.columns])

@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from checks.compare import difference
-from llm import ann, chat, ctph, katz, mixing, queries as q, simhash, warc
+from llm import ann, chat, ctph, katz, language, mixing, quality, queries as q, simhash, warc
 from llm.common import fold_of
 
 from . import tables
@@ -193,6 +193,31 @@ def test_mix_rows(spark):
     assert counts == +want
 
 
+def test_mix_of_a_key_on_many_rows(spark):
+    """Null keys and one repeated key on most rows: their copies are shared out along the rows."""
+    docs = spark.range(400).select(
+        F.when(F.col("id") % 4 == 0, F.col("id")).when(F.col("id") % 4 == 1, -1).alias("doc_id"),
+        F.format_string("word %d", F.col("id") % 50).alias("text"), F.lit("a").alias("source"), F.col("id").alias("turn"),
+    )
+    taken = collections.Counter()
+    for r in mixing.copies(docs).collect():
+        taken[r.doc_id] += r.copies
+    rows = mixing.mixed(docs).collect()
+    assert collections.Counter(r.doc_id for r in rows) == +taken
+    # A row is taken as often as the others of its key, or once more.
+    for key, of_key in ((None, 200), (-1, 100)):
+        times = collections.Counter(r.turn for r in rows if r.doc_id == key)
+        assert set(times.values()) <= {taken[key] // of_key, taken[key] // of_key + 1}
+
+
+def test_samples_of_a_key_on_many_rows(spark):
+    docs = spark.range(500).select(F.lit(7).cast("bigint").alias("doc_id"), F.format_string("text %03d", "id").alias("text"), F.lit("en").alias("lang"))
+    assert language.training_sample(docs, "doc_id", "text", "lang") == [("text 000", "en")]
+    labels = spark.createDataFrame([(7, 1)] * 3, "doc_id long, quality int")
+    # One text of class 1: the smoothed share is 2 / 3.
+    assert quality.train(docs, labels).score("anything") == pytest.approx(2 / 3)
+
+
 def test_mix_is_near_its_targets_whatever_the_slices(spark):
     docs = spark.range(3000).select(
         F.col("id").alias("doc_id"), F.expr("repeat('w ', cast(1 + id * 7919 % 50 as int))").alias("text"),
