@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from stockloom import (
     company_list,
     company_overview,
+    demand_by_round,
     demand_features,
     demand_matrix,
     demand_timeline,
@@ -25,6 +26,7 @@ from stockloom import (
     profile_numeric,
     profile_text,
     requirement_recap,
+    sales_by_round,
     sales_fact,
     sales_matrix,
     write_report,
@@ -69,7 +71,7 @@ def test_overview(rounds):
 
 
 def test_matrices_leave_gaps_empty(rounds):
-    assert rows(demand_matrix(rounds), "company", "round", "p", "q") == [
+    assert rows(demand_matrix(rounds, ["p", "q"]), "company", "round", "p", "q") == [
         ("A", 1, 4.0, None),
         ("A", 2, 2.0, 1.0),
         ("A", 3, 6.0, None),
@@ -77,7 +79,20 @@ def test_matrices_leave_gaps_empty(rounds):
         ("B", 2, 1.0, None),
     ]
     assert sales_matrix(rounds, ["q"]).columns == ["company", "round", "q"]
-    assert rows(sales_matrix(rounds).where("round = 2"), "company", "p", "q") == [("A", 10.0, 5.0), ("B", 3.0, None)]
+    assert rows(sales_matrix(rounds, ["p", "q"]).where("round = 2"), "company", "p", "q") == [("A", 10.0, 5.0), ("B", 3.0, None)]
+
+
+def test_long_form_has_every_product(rounds):
+    assert rows(demand_by_round(rounds), "company", "round", "product", "demand") == [
+        ("A", 1, "p", 4.0),
+        ("A", 2, "p", 2.0),
+        ("A", 2, "q", 1.0),
+        ("A", 3, "p", 6.0),
+        ("B", 1, "p", 2.0),
+        ("B", 2, "p", 1.0),
+    ]
+    of_round = rows(sales_by_round(rounds).where("round = 2"), "company", "product", "net_sales")
+    assert of_round == [("A", "p", 10.0), ("A", "q", 5.0), ("B", "p", 3.0)]
 
 
 def test_last_stock_is_the_one_after_the_first_line_of_the_last_round(rounds):
