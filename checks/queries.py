@@ -121,7 +121,7 @@ def _prepared_features(spark: SparkSession, sf_dir: str, gaps: bool = False) ->
 
 
 def _forecast(model: str) -> Query:
-    return lambda spark, sf_dir: forecast(_kept(spark, sf_dir), model).lines.drop("line_no")
+    return lambda spark, sf_dir: forecast(_kept(spark, sf_dir), model).all_lines().drop("line_no")
 
 
 def _forecast_checks(models: tuple[str, ...]) -> Query:
@@ -132,7 +132,7 @@ def _forecast_checks(models: tuple[str, ...]) -> Query:
         encoded = prepare_training(features)
         found = None
         for model in models:
-            lines = forecast_encoded(encoded, model).lines
+            lines = forecast_encoded(encoded, model).all_lines()
             found = lines if found is None else found.unionByName(lines)
         error = F.avg(F.abs(F.col("demand") - F.col("prediction")))
         return found.join(mean, "company").groupBy("company", "model").agg(
@@ -164,7 +164,7 @@ def _ridge_optimality(spark: SparkSession, sf_dir: str) -> DataFrame:
         flat = F.abs(F.col("pull") + weights[F.col("k")]) <= 1e-5 * (F.col("size") + 1)
         found.append(keep(sums.select(F.lit(row.company).alias("company"), "k", flat.alias("is_optimal")), "gradients"))
 
-    forecast_encoded(encoded, "ridge", on_fit=look)
+    forecast_encoded(encoded, "ridge", on_fit=look).all_lines()
     gradients = reduce(DataFrame.unionByName, found)
     # Slots follow the numbers, text by text, as many as the company has training categories less one.
     slots = encoded.categories.where("slot >= 0")
@@ -191,7 +191,7 @@ def _ridge_optimality(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _planning_identities(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The indicators of a ridge forecast: what does not depend on it, and how the rest hangs together."""
     features = _kept(spark, sf_dir)
-    by_product = planning.product_forecast(forecast(features, "ridge").lines)
+    by_product = planning.product_forecast(forecast(features, "ridge").all_lines())
     indicators = planning.planning_indicators(product_rounds(features), by_product)
     ahead, stock, price, unit = (F.col(c) for c in ("forecast_demand", "available_stock", "forecast_price", "mean_unit_cost"))
     cover = F.when(ahead != 0, F.rint(stock / ahead * 100 * 10) / 10).otherwise(0.0)

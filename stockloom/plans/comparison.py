@@ -11,7 +11,8 @@ from .planning import planning_indicators, product_forecast
 
 def company_comparison(rounds: DataFrame, forecast: Forecast) -> DataFrame:
     """Error metrics and planning totals, one row per company."""
-    indicators = planning_indicators(rounds, product_forecast(forecast.lines))
+    lines = forecast.all_lines()
+    indicators = planning_indicators(rounds, product_forecast(lines))
     totals = indicators.groupBy("company").agg(
         F.count(F.lit(1)).alias("products"),
         F.sum("forecast_demand").alias("forecast_demand"),
@@ -20,7 +21,7 @@ def company_comparison(rounds: DataFrame, forecast: Forecast) -> DataFrame:
             for c in ("available_stock", "planned_production", "forecast_revenue", "forecast_margin")
         ],
     )
-    return forecast_metrics(forecast.lines).join(totals, "company").orderBy("company")
+    return forecast_metrics(lines).join(totals, "company").orderBy("company")
 
 
 def model_comparison(features: DataFrame, models: tuple[str, ...] = tuple(MODELS)) -> DataFrame:
@@ -28,6 +29,6 @@ def model_comparison(features: DataFrame, models: tuple[str, ...] = tuple(MODELS
     encoded = prepare_training(features)
     lines = None
     for model in models:
-        scored = forecast_encoded(encoded, model).lines
+        scored = forecast_encoded(encoded, model).all_lines()
         lines = scored if lines is None else lines.unionByName(scored)
     return forecast_metrics(lines).orderBy("company", "model")

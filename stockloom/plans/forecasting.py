@@ -86,6 +86,12 @@ class Forecast:
     skipped: list
     failed: dict
 
+    def all_lines(self) -> DataFrame:
+        """``lines``, if no fit failed; otherwise an error that names the companies."""
+        if self.failed:
+            raise RuntimeError(f"the fit failed: {'; '.join(f'{c}: {why}' for c, why in self.failed.items())}")
+        return self.lines
+
 
 def forecast_metrics(lines: DataFrame, keys: tuple[str, ...] = ("company", "model")) -> DataFrame:
     """Mean absolute error and R² of the test rows.
