@@ -73,8 +73,14 @@ def _of_sales(report: Callable[[DataFrame], DataFrame]) -> Query:
 
 
 def _products(report: Callable[[DataFrame, list], DataFrame]) -> Callable[[DataFrame], DataFrame]:
-    """A matrix of the products of the test data."""
-    return lambda rounds: report(rounds, [f"Brand#{i}" for i in range(1, 26)])
+    """A matrix of all products in the data, in the order of their numbers."""
+
+    def query(rounds: DataFrame) -> DataFrame:
+        rounds = keep(rounds, "sales_rounds")
+        names = [row.product for row in rounds.select("product").distinct().collect()]
+        return report(rounds, sorted(names, key=lambda name: (len(name or ""), name or "")))
+
+    return query
 
 
 def _of_rounds(report: Callable[[DataFrame], DataFrame]) -> Query:
