@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import ann, bpe, chat, ctph, katz, language, mixing, quality, simhash, warc
+from . import ann, bpe, chat, ctph, hard_negatives, katz, language, mixing, quality, simhash, token_counts, warc
 from .common import fold_of, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -95,6 +95,24 @@ def op10_nbsvm_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     ).select("*", (F.col("score") >= GOOD).cast("int").alias("predicted"))
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Anchors are the rows whose id is divisible by 100; every seventh row changes its label first.
+
+    Nulls, ties, repeated rows, empty tables and extra columns: see ``hard_negatives``.
+    """
+    relabelled = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", relabelled.alias("label"), "embedding")
+    return hard_negatives.hard_negatives(rows, F.col("id") % 100 == 0)
+
+
+def op13_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of every document, from a cache that starts empty: a run's work does not depend on
+    earlier runs. Nulls, repeated rows, empty tables and extra columns: see ``counted``."""
+    import public_tokenizers
+
+    return token_counts.counted(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 def queries() -> dict[str, Query]:
     return {
         "op1_simhash": op1_simhash,
@@ -107,6 +125,8 @@ def queries() -> dict[str, Query]:
         "op8_katz": op8_katz,
         "op9_ctph": op9_ctph,
         "op10_nbsvm_quality": op10_nbsvm_quality,
+        "op11_hard_negatives": op11_hard_negatives,
+        "op13_token_counts": op13_token_counts,
     }
 
 
@@ -186,5 +206,33 @@ FROM written GROUP BY conv_id
 """
 
 
+#: Every score by brute force. Shorter vectors end in zeros.
+HARD_NEGATIVES_SQL = """
+WITH usable AS (
+  SELECT DISTINCT vec_id AS id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+         list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS HUGEINT)) AS codes
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), anchors AS (SELECT * FROM usable WHERE id % 100 = 0),
+scored AS (
+  SELECT a.id AS anchor_id, a.codes AS anchor_codes, a.label AS anchor_label, r.id, r.codes, r.label,
+         CAST(coalesce(list_sum(list_transform(range(1, least(len(a.codes), len(r.codes)) + 1), lambda i: a.codes[i] * r.codes[i])), 0) AS BIGINT) AS score
+  FROM anchors a, usable r
+), positives AS (
+  SELECT * FROM scored WHERE label = anchor_label AND id <> anchor_id
+  QUALIFY row_number() OVER (PARTITION BY anchor_id, anchor_codes, anchor_label ORDER BY score DESC, id) <= 5
+), negatives AS (
+  SELECT p.anchor_id, p.id AS positive_id, p.score AS positive_score, n.id AS negative_id, n.score AS negative_score,
+         row_number() OVER (PARTITION BY p.anchor_id, p.anchor_codes, p.anchor_label, p.id, p.codes ORDER BY n.score DESC, n.id) AS rank
+  FROM positives p JOIN scored n
+    ON n.anchor_id = p.anchor_id AND n.anchor_codes = p.anchor_codes AND n.anchor_label = p.anchor_label
+   AND n.label <> p.anchor_label AND 30 * p.score <= 100 * n.score AND 100 * n.score <= 90 * p.score
+)
+SELECT anchor_id, positive_id, CAST(rank AS INTEGER) AS rank, negative_id, positive_score, negative_score
+FROM negatives WHERE rank <= 10
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op2_warc": WARC_SQL, "op6_mixing": MIXING_SQL, "op7_chat": CHAT_SQL}
+    return {"op2_warc": WARC_SQL, "op6_mixing": MIXING_SQL, "op7_chat": CHAT_SQL, "op11_hard_negatives": HARD_NEGATIVES_SQL}
