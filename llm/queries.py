@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import ann, bpe, chat, ctph, hard_negatives, katz, language, mixing, quality, simhash, token_counts, warc
+from . import ann, bpe, chat, collocations, ctph, hard_negatives, katz, language, mixing, quality, simhash, token_counts, warc
 from .common import fold_of, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -105,6 +105,11 @@ def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hard_negatives.hard_negatives(rows, F.col("id") % 100 == 0)
 
 
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nulls, ties, repeated rows, empty tables and extra columns: see ``collocations``."""
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
 def op13_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tokens of every document, from a cache that starts empty: a run's work does not depend on
     earlier runs. Nulls, repeated rows, empty tables and extra columns: see ``counted``."""
@@ -126,6 +131,7 @@ def queries() -> dict[str, Query]:
         "op9_ctph": op9_ctph,
         "op10_nbsvm_quality": op10_nbsvm_quality,
         "op11_hard_negatives": op11_hard_negatives,
+        "op12_collocations": op12_collocations,
         "op13_token_counts": op13_token_counts,
     }
 
@@ -233,6 +239,47 @@ SELECT anchor_id, positive_id, CAST(rank AS INTEGER) AS rank, negative_id, posit
 FROM negatives WHERE rank <= 10
 """
 
+#: Every phrase of up to four words at every place; all products are 128 bits wide.
+COLLOCATIONS_SQL = r"""
+WITH pieces AS (
+  SELECT row_number() OVER () AS piece, lang, words
+  FROM (SELECT coalesce(lang, 'und') AS lang,
+               unnest(list_transform(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                 '[.,;:!?\x0A-\x0D]'), lambda p: regexp_extract_all(p, '[^\x20\x09]+'))) AS words
+        FROM documents) AS cut
+), placed AS (
+  SELECT lang, w AS w1, lead(w) OVER following AS w2, lead(w, 2) OVER following AS w3, lead(w, 3) OVER following AS w4
+  FROM (SELECT piece, lang, unnest(words) AS w, generate_subscripts(words, 1) AS i FROM pieces) AS tokens
+  WINDOW following AS (PARTITION BY piece ORDER BY i)
+), grams AS (
+  SELECT lang, [w1] AS gram, 1 AS m FROM placed
+  UNION ALL SELECT lang, [w1, w2], 2 FROM placed WHERE w2 IS NOT NULL
+  UNION ALL SELECT lang, [w1, w2, w3], 3 FROM placed WHERE w3 IS NOT NULL
+  UNION ALL SELECT lang, [w1, w2, w3, w4], 4 FROM placed WHERE w4 IS NOT NULL
+), f AS (
+  SELECT lang, gram, m, CAST(count(*) AS HUGEINT) AS f FROM grams GROUP BY lang, gram, m
+), sizes AS (SELECT lang, CAST(sum(f) AS BIGINT) AS n FROM f WHERE m = 1 GROUP BY lang),
+candidates AS (SELECT lang, gram, m, f AS a FROM f WHERE m >= 2 AND f >= 30),
+cuts AS (SELECT lang, gram, m, a, unnest(range(1, m)) AS k FROM candidates),
+scored AS (
+  SELECT c.lang, c.gram, c.a, l.f AS l, r.f AS r, (2000000 * c.a) // (l.f + r.f) AS score
+  FROM cuts c JOIN f l ON l.lang = c.lang AND l.gram = c.gram[1:c.k] JOIN f r ON r.lang = c.lang AND r.gram = c.gram[c.k + 1:c.m]
+  QUALIFY row_number() OVER (PARTITION BY c.lang, c.gram ORDER BY score, c.k) = 1
+), parts AS (
+  SELECT lang, gram[i:i + s - 1] AS gram, max(a) AS longer
+  FROM (SELECT lang, gram, a, m, unnest(range(1, m)) AS i FROM candidates) AS starts, (VALUES (2), (3)) AS lengths(s)
+  WHERE s < m AND i + s - 1 <= m GROUP BY ALL
+), kept AS (
+  SELECT s.* FROM scored s WHERE NOT EXISTS (
+    SELECT 1 FROM parts p WHERE p.lang = s.lang AND p.gram = s.gram AND 100 * p.longer >= 80 * s.a)
+)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, array_to_string(gram, ' ')) AS rank,
+       array_to_string(gram, ' ') AS phrase, CAST(a AS BIGINT) AS a, CAST(l AS BIGINT) AS l, CAST(r AS BIGINT) AS r, n,
+       CAST(score AS BIGINT) AS score
+FROM kept JOIN sizes USING (lang)
+QUALIFY rank <= 2000
+"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_warc": WARC_SQL, "op6_mixing": MIXING_SQL, "op7_chat": CHAT_SQL, "op11_hard_negatives": HARD_NEGATIVES_SQL}
+    return {"op2_warc": WARC_SQL, "op6_mixing": MIXING_SQL, "op7_chat": CHAT_SQL, "op11_hard_negatives": HARD_NEGATIVES_SQL, "op12_collocations": COLLOCATIONS_SQL}

@@ -36,7 +36,7 @@ def test_empty_tables(spark, empty, name):
     assert [r.conv_id for r in rows] == [-1] if name == "op7_chat" else rows == []
 
 
-@pytest.mark.parametrize("name", [n for n in q.queries() if n not in ("op2_warc", "op4_hilbert_neighbours", "op7_chat")])
+@pytest.mark.parametrize("name", [n for n in q.queries() if n not in ("op2_warc", "op4_hilbert_neighbours", "op7_chat", "op11_hard_negatives", "op12_collocations")])
 def test_one_row_per_document(spark, awkward, name):
     rows = q.queries()[name](spark, awkward).collect()
     want = sorted(r.doc_id is None or r.doc_id for r in tables.documents(spark).select("doc_id").collect())
