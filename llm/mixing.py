@@ -101,33 +101,27 @@ def mixed(df: DataFrame, key: str = "doc_id", text: str = "text", source: str =
     """The rows of the mix: each document as often as it is taken, with all its columns.
 
     Rows with the same key share the copies of that key, one after the other in the order
-    of a hash of text and source.
+    of a hash of text and source. Columns may have any names.
     """
-    taken = copies(df, key, text, source).groupBy(key).agg(F.sum("copies").alias("n"), F.count(F.lit(1)).alias("rows"))
-    taken = keep(taken.where("n > 0"), "taken").select(F.col(key).alias("__key"), F.col("n").alias("__n"), F.col("rows").alias("__rows"))
+    # Inside, a row is one struct: its columns cannot clash with those made here.
+    rows = df.select(F.struct("*").alias("doc"), F.col(key).alias("key"), F.xxhash64(text).alias("text_hash"), F.xxhash64(source).alias("source_hash"))
+    taken = copies(df, key, text, source).groupBy(F.col(key).alias("taken_key")).agg(F.sum("copies").alias("n"), F.count(F.lit(1)).alias("rows"))
+    taken = keep(taken.where("n > 0"), "taken")
     # Merged whatever the size: the keys grow with the documents.
-    once, shared = taken.where("__rows = 1").hint("merge"), taken.where("__rows > 1").hint("merge")
-    single = df.join(once, df[key].eqNullSafe(once["__key"])).withColumn("__times", F.col("__n"))
-    if shared.isEmpty():
-        rows = single
-    else:
+    once, shared = taken.where("rows = 1").hint("merge"), taken.where("rows > 1").hint("merge")
+    found = rows.join(once, rows["key"].eqNullSafe(once["taken_key"])).select("doc", F.col("n").alias("times"))
+    if not shared.isEmpty():
         # One key may hold any share of the rows: they are numbered in slices, not in a window
         # over the key. The rows' own numbers are written first, so that they stay the same.
-        several = df.join(shared, df[key].eqNullSafe(shared["__key"]))
-        several = keep(several.withColumn("__row", F.monotonically_increasing_id()), "shared_keys")
+        several = rows.join(shared, rows["key"].eqNullSafe(shared["taken_key"])).drop("taken_key")
+        several = keep(several.withColumn("row", F.monotonically_increasing_id()), "shared_keys")
         narrow = several.select(
-            "__row",
-            F.col("__key").isNull().alias("no_name"),
-            F.coalesce(F.col("__key").cast("string"), F.lit("")).alias("name"),
-            F.xxhash64(text).alias("text_hash"),
-            F.xxhash64(source).alias("source_hash"),
+            "row", F.col("key").isNull().alias("no_name"), F.coalesce(F.col("key").cast("string"), F.lit("")).alias("name"), "text_hash", "source_hash"
         )
         group = ["no_name", "name"]
-        ordered = in_order(narrow, [*group, "text_hash", "source_hash", "__row"], "shared_keys_in_order")
-        turns = along_order(ordered, group, running={"turn": F.lit(1)}).select("__row", F.col("turn").alias("__turn"))
-        even, rest = F.floor(F.col("__n") / F.col("__rows")), F.col("__n") % F.col("__rows")
-        several = several.join(turns, "__row").withColumn("__times", even + (F.col("__turn") <= rest).cast("bigint"))
-        several = several.select(*single.columns)
-        rows = single.unionByName(several)
-    rows = rows.where("__times > 0").withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__times").cast("int"))))
-    return rows.select(*[F.col(f"`{c}`") for c in df.columns])
+        ordered = in_order(narrow, [*group, "text_hash", "source_hash", "row"], "shared_keys_in_order")
+        turns = along_order(ordered, group, running={"turn": F.lit(1)}).select("row", "turn")
+        even, rest = F.floor(F.col("n") / F.col("rows")), F.col("n") % F.col("rows")
+        found = found.unionByName(several.join(turns, "row").select("doc", (even + (F.col("turn") <= rest).cast("bigint")).alias("times")))
+    found = found.where("times > 0").select("doc", F.explode(F.sequence(F.lit(1), F.col("times").cast("int"))).alias("copy"))
+    return found.select("doc.*")

@@ -32,10 +32,13 @@ def ngrams(text: str | None) -> set[bytes]:
     is a feature whatever the word. A null or empty text has one n-gram, the empty one.
     """
     found: set[bytes] = set()
-    for i, block in enumerate(word_blocks(text, carry=2)):
+    seen = 0
+    for block in word_blocks(text, carry=2):
         marked = [_AGAIN if b == a else b for a, b in zip(block, block[1:])]
-        if i == 0 or len(block) < 2:
+        if seen < 2:
+            # All words so far have been carried on: the block begins with the text's first word.
             marked = block[:1] + marked
+        seen += len(block) - min(seen, 2)
         found.update(marked)
         found.update(map(b" ".join, set(zip(marked, marked[1:]))))
     return found or {b""}

@@ -54,8 +54,12 @@ def simhash(text: str | None, shingle: int = SHINGLE) -> int:
     """
     counts, total = np.zeros(64, dtype=np.int64), 0
     digest = xxhash.xxh64_intdigest
-    for block in word_blocks(text, carry=shingle - 1, fold=True):
-        if 0 < len(block) < shingle and total == 0:
+    blocks = word_blocks(text, carry=shingle - 1, fold=True)
+    block: list[bytes] | None = next(blocks)
+    while block is not None:
+        following = next(blocks, None)
+        if following is None and 0 < len(block) < shingle and total == 0:
+            # The last block holds every word there is: fewer than a shingle are carried on.
             runs = [b" ".join(block)]
         else:
             runs = map(b" ".join, zip(*[block[i:] for i in range(shingle)]))
@@ -65,6 +69,7 @@ def simhash(text: str | None, shingle: int = SHINGLE) -> int:
             bits = np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
             counts += bits.sum(axis=0, dtype=np.int64)
         total += len(hashes)
+        block = following
     return int.from_bytes(np.packbits(counts * 2 > total, bitorder="little").tobytes(), "little")
 
 

@@ -7,6 +7,7 @@ import random
 import numpy as np
 import pyarrow as pa
 import pytest
+import xxhash
 from hypothesis import given, settings, strategies as st
 
 from llm import ann, bpe, chat, common, ctph, katz, language, quality, simhash, warc
@@ -117,6 +118,31 @@ def test_long_texts_give_the_same(monkeypatch):
     assert (simhash.simhash(text), quality.ngrams(text), language.grams(text).tolist(), ctph.fingerprint(text)) == whole
 
 
+_WORD = "z" * 50
+
+
+@pytest.mark.parametrize("text", [
+    _WORD, f"{_WORD} b", f"b {_WORD}", f"{_WORD} b c", f"b {_WORD} c", f"b c {_WORD}", f"{_WORD} {_WORD}", f"{_WORD} b c d", f"{_WORD}  ",
+    f"a b c {_WORD} d e {_WORD}", f" {_WORD} {_WORD} {_WORD} b", "",
+])
+def test_words_longer_than_a_block(text, monkeypatch):
+    whole = simhash.simhash(text), quality.ngrams(text)
+    cut = lambda t, carry, fold=False: common.word_blocks(t, carry, fold, chars=40)
+    monkeypatch.setattr(simhash, "word_blocks", cut)
+    monkeypatch.setattr(quality, "word_blocks", cut)
+    assert (simhash.simhash(text), quality.ngrams(text)) == whole
+
+
+def test_words_beyond_a_million_characters():
+    """By definition, with a real block's length: at the start, in the middle, at the end."""
+    long = "Q" * (2**20 + 5)
+    for words in ([long, "b"], [long, "b", "c"], [long, "b", "c", "d"], ["a", long, "c", "d"], ["a", "b", "c", long], [long]):
+        folded = [w.lower().encode() for w in words]
+        runs = [b" ".join(folded[i : i + 3]) for i in range(max(1, len(folded) - 2))]
+        hashes = [xxhash.xxh64_intdigest(r, 42) for r in runs]
+        assert simhash.simhash(" ".join(words)) == sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
+
+
 @given(st.text("abc", max_size=64), st.text("abc", max_size=64))
 @settings(max_examples=150, deadline=None)
 def test_edit_distance(a, b):
