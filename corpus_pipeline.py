@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from llm import bpe, language, minhash, mixing, quality, queries as llm_queries
+from llm import bpe, language, mixing, quality, queries as llm_queries, simhash
 from llm.common import fold_of, table
 from stockloom.sources.scratch import keep
 
@@ -19,7 +19,8 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     """Documents in one of the languages that the labelled ones are in.
 
     Texts that are null or have no letter go. The score decides nothing: it is no probability,
-    and low for short texts.
+    and low for short texts. Repeated rows and null ids are rows like any other; an empty table
+    stays empty, and extra columns stay.
     """
     folds, left_out = llm_queries.LANGUAGE_FOLD
     model = language.train(docs.where(fold_of(F.col("doc_id"), folds) != left_out))
@@ -28,7 +29,11 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier accepts."""
+    """Documents that the quality classifier accepts.
+
+    Null and empty texts have a score like any other. Repeated rows and ids stay or go
+    together; an empty table stays empty, and extra columns stay.
+    """
     folds, left_out = llm_queries.QUALITY_FOLD
     labels = table(spark, sf_dir, "labels").where(fold_of(F.col("doc_id"), folds) != left_out)
     model = quality.train(docs, labels)
@@ -38,27 +43,36 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest id of each group of near duplicates.
 
-    Rows are told apart by a number of their own, so ids may repeat or be null. A row
-    without an id stays only if its group has none; equal ids go by a hash of the text.
+    Groups are those of ``op1_simhash``: fingerprints of three-word shingles, linked at
+    three or fewer differing bits. Rows are told apart by a number of their own, so ids may
+    repeat or be null. A row without an id stays only if its group has none; equal ids go by
+    a hash of the text. Null and empty texts are a group; extra columns stay, whatever their names.
     """
-    # The numbers are written first, so that they stay the same.
-    numbered = keep(docs.withColumn("__row", F.monotonically_increasing_id()), "numbered")
+    # The rows are written with their numbers first, so that these stay the same.
+    numbered = keep(docs.select(F.struct("*").alias("doc"), F.monotonically_increasing_id().alias("row")), "numbered")
+    doc_id, text = F.col("doc.doc_id"), F.col("doc.text")
+    name = F.struct(doc_id.isNull().alias("no_id"), doc_id.alias("doc_id"), F.xxhash64(text).alias("text_hash"), "row")
+    groups = simhash.near_duplicates(numbered.select(name.alias("name"), text.alias("text")), "name")
+    kept = keep(groups.where("name.row = component_id.row").select("name.row"), "kept_rows")
     # Merged whatever the size: the rows grow with the documents.
-    groups = minhash.groups(numbered, "__row").hint("merge")
-    rank = F.struct(F.col("doc_id").isNull(), "doc_id", "text_hash", "__row")
-    named = numbered.select("__row", "doc_id", F.xxhash64("text").alias("text_hash"))
-    named = named.join(groups, named["__row"] == groups["row"])
-    kept = keep(named.groupBy("root").agg(F.min_by("__row", rank).alias("__row")).select("__row"), "kept_rows")
-    return numbered.join(kept.hint("merge"), "__row", "left_semi").select(docs.columns)
+    return numbered.join(kept.hint("merge"), "row", "left_semi").select("doc.*")
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it."""
+    """Each document as often as the mix takes it.
+
+    Texts without words and null sources: see ``mixing.copies``; repeated and null ids: see
+    ``mixing.mixed``. An empty table stays empty, and extra columns stay.
+    """
     return mixing.mixed(docs)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Number of tokens and digests of each document."""
+    """Number of tokens and digests of each document.
+
+    Null texts are empty. Every row has its result, repeated and null ids too; an empty
+    table gives an empty one, and other columns are not read.
+    """
     return bpe.digests(docs, *llm_queries.vocabulary())
 
 
