@@ -355,6 +355,68 @@ union all
 {slots}"""
 
 
+def _forecast_ridge(features: str) -> str:
+    """The closed form: centred sums of products with 1 on the diagonal, eliminated column by column."""
+    p = len(FEATURE_NUMBERS)
+    measures = ", ".join(
+        f"{total(c)} / count({c}) as {c}_mean, case when stddev_pop({c}) = 0 then 1 else stddev_pop({c}) end as {c}_std"
+        for c in FEATURE_NUMBERS
+    )
+    scaled = ", ".join(f"(m.{c} - {c}_mean) / {c}_std" for c in FEATURE_NUMBERS)
+    slots = ",\n".join(
+        f"""{c}_slots as (
+  select company, {c}, row_number() over (partition by company order by {c}) - 2 as slot
+  from (select distinct company, {c} from marked where not is_test)
+)"""
+        for c in ("product", "area")
+    )
+    return f"""with recursive {features.strip().removeprefix('with').removeprefix('WITH')},
+{LAST_ROUNDS},
+{MARKED},
+measures as (select company, {measures} from marked where not is_test group by company),
+{slots},
+coded as (
+  select row_number() over () as line, m.company, m.product, m."round", m.demand, m.is_test, [{scaled}] as x,
+         coalesce(p.slot, -1) as product_slot, coalesce(a.slot, -1) as area_slot
+  from marked m join measures using (company)
+  left join product_slots p on p.company = m.company and p.product = m.product
+  left join area_slots a on a.company = m.company and a.area = m.area
+), widths as (select company, max(slot) + 1 as products from product_slots group by company),
+entries as (
+  select line, company, is_test, demand, unnest(range(1, {p + 1})) as k, unnest(x) as v from coded
+  union all select line, company, is_test, demand, {p + 1} + product_slot, 1.0 from coded where product_slot >= 0
+  union all select line, company, is_test, demand, {p + 1} + products + area_slot, 1.0 from coded join widths using (company) where area_slot >= 0
+), sums as (
+  select company, k, sum(v) as s, sum(v * demand) as sy from entries where not is_test group by company, k
+), sizes as (select company, count(*) as lines, avg(demand) as my from coded where not is_test group by company),
+products as (
+  select a.company, a.k as i, b.k as j, sum(a.v * b.v) as g
+  from entries a join entries b on a.line = b.line where not a.is_test group by 1, 2, 3
+), matrix as (
+  select a.company, a.k as i, list(coalesce(g, 0) - a.s * b.s / lines + case when a.k = b.k then 1 else 0 end order by b.k) || [any_value(a.sy - a.s * my)] as r
+  from sums a join sums b on b.company = a.company join sizes on sizes.company = a.company
+  left join products p on p.company = a.company and p.i = a.k and p.j = b.k
+  group by a.company, a.k
+), systems as (select company, list(r order by i) as r, list(i order by i) as names, count(*) as n from matrix group by company),
+reduced as (
+  select company, names, n, cast(0 as bigint) as k, r from systems
+  union all
+  select company, names, n, k + 1, list_transform(range(1, n + 1), lambda i: list_transform(range(1, n + 2), lambda j:
+           case when i = k + 1 then r[i][j] / r[k + 1][k + 1] else r[i][j] - r[i][k + 1] * r[k + 1][j] / r[k + 1][k + 1] end))
+  from reduced where k < n
+), weights as (
+  select company, unnest(names) as k, unnest(list_transform(r, lambda row: row[n + 1])) as w from reduced where k = n
+), intercepts as (
+  select company, any_value(my) - sum(w * s) / any_value(lines) as w
+  from weights join sums using (company, k) join sizes using (company) group by company
+), found as (
+  select line, sum(v * w) as ahead from entries join weights using (company, k) where is_test group by line
+)
+select company, product, "round", 'ridge' as model, demand, round_even(greatest(ahead + w, 0), 6) as prediction,
+       cast(floor(greatest(ahead + w, 0)) as bigint) as forecast
+from coded join found using (line) join intercepts using (company)"""
+
+
 def _forecast_checks(planned: str, models: tuple[str, ...]) -> str:
     """What must hold for any model: a prediction for each line of the last round, none below
     0, forecasts that are their whole part, and no larger error than the training mean's."""
@@ -441,6 +503,7 @@ from indicators""",
 select company, product, available_stock, forecast_price, mean_unit_cost,
        true as planned_is_lack, true as revenue_is_value, true as margin_is_rest, true as cover_is_share
 from indicators""",
+        "forecast_ridge": _forecast_ridge(features),
         "ridge_optimality": _ridge_optimality(features),
         "forecast_checks": _forecast_checks(planned, ("ridge", "forest")),
         "forecast_checks_boosting": _forecast_checks(planned, ("boosting",)),

@@ -8,9 +8,7 @@ as one, so that SQL can state the same. The models have queries of their own, an
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import reduce
 
-from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from stockloom.functions.expressions import round_half_even, whole_units
@@ -21,6 +19,7 @@ from stockloom.plans import comparison, exploration, planning
 from stockloom.plans.fact import sales_fact
 from stockloom.plans.features import demand_features, running_stock
 from stockloom.plans.forecasting import forecast, forecast_encoded, forecast_metrics, prepare_training
+from stockloom.plans.ridge import predicted, ridge_weights
 from stockloom.sources.reports import write_report
 from stockloom.sources.scratch import keep, new_path
 
@@ -130,6 +129,12 @@ def _forecast(model: str) -> Query:
     return lambda spark, sf_dir: forecast(_kept(spark, sf_dir), model).all_lines().drop("line_no")
 
 
+def _forecast_ridge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Six decimals: the order of sums decides on the last digits of a double."""
+    lines = _forecast("ridge")(spark, sf_dir)
+    return lines.withColumn("prediction", round_half_even("prediction", 6))
+
+
 def _forecast_checks(models: tuple[str, ...]) -> Query:
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
         features = _kept(spark, sf_dir)
@@ -155,43 +160,25 @@ def _ridge_optimality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """For each company and feature slot: is the gradient of the penalised loss 0 at the fitted weights?
 
     The gradient for slot k is sum(x_k * (prediction - demand)) + weight_k; it counts as 0 below
-    a hundred-thousandth of sum(|x_k * demand|) + 1.
+    a billionth of sum(|x_k * demand|) + 1.
     """
     encoded = prepare_training(_kept(spark, sf_dir))
-    found: list[DataFrame] = []
-
-    def look(row, fitted, lines) -> None:
-        error = F.col("prediction") - F.col("demand")
-        each = fitted.transform(lines).select("demand", error.alias("error"), F.posexplode(vector_to_array("features")).alias("k", "x"))
-        weights = F.array(*[F.lit(float(w)) for w in fitted.stages[-1].coefficients])
-        sums = each.groupBy("k").agg(
-            F.sum(F.col("x") * F.col("error")).alias("pull"), F.sum(F.abs(F.col("x") * F.col("demand"))).alias("size")
-        )
-        flat = F.abs(F.col("pull") + weights[F.col("k")]) <= 1e-5 * (F.col("size") + 1)
-        found.append(keep(sums.select(F.lit(row.company).alias("company"), "k", flat.alias("is_optimal")), "gradients"))
-
-    forecast_encoded(encoded, "ridge", on_fit=look).all_lines()
-    gradients = reduce(DataFrame.unionByName, found)
-    # Slots follow the numbers, text by text, as many as the company has training categories less one.
-    slots = encoded.categories.where("slot >= 0")
-    widths = slots.groupBy("company", "column").agg(F.count(F.lit(1)).alias("width"))
-    texts = F.array(*[F.lit(t) for t in encoded.texts])
-    earlier = widths.select("company", F.col("column").alias("other"), F.col("width").alias("before"))
-    offsets = (
-        widths.join(earlier, "company")
-        .where(F.array_position(texts, F.col("other")) < F.array_position(texts, F.col("column")))
-        .groupBy("company", "column")
-        .agg(F.sum("before").alias("offset"))
+    train = encoded.lines.where(~F.col("is_test"))
+    scored = predicted(train, encoded, ridge_weights(encoded))
+    numbers = [F.struct(F.lit(c).alias("feature"), F.lit(0).alias("slot"), F.col(f"{c}_scaled").alias("x")) for c in encoded.numbers]
+    texts = [F.struct(F.lit(c).alias("feature"), F.col(f"{c}_slot").alias("slot"), F.lit(1.0).alias("x")) for c in encoded.texts]
+    each = scored.select("company", "demand", (F.col("prediction") - F.col("demand")).alias("error"), F.inline(F.array(*numbers, *texts)))
+    sums = each.where("slot >= 0").groupBy("company", "feature", "slot").agg(
+        F.sum(F.col("x") * F.col("error")).alias("pull"), F.sum(F.abs(F.col("x") * F.col("demand"))).alias("size")
     )
-    named = slots.join(offsets, ["company", "column"], "left").select(
-        "company",
-        (F.lit(len(encoded.numbers)) + F.coalesce("offset", F.lit(0)) + F.col("slot")).cast("int").alias("k"),
-        F.concat_ws("=", "column", "value").alias("feature"),
-    )
-    numbers = gradients.where(F.col("k") < len(encoded.numbers)).select(
-        "company", "k", F.array(*[F.lit(c) for c in encoded.numbers])[F.col("k")].alias("feature")
+    weights = ridge_weights(encoded).where("feature is not null").select("company", "feature", "slot", "weight")
+    flat = F.abs(F.col("pull") + F.col("weight")) <= 1e-9 * (F.col("size") + 1)
+    names = encoded.categories.select("company", F.col("column").alias("feature"), "slot", "value")
+    return (
+        sums.join(weights, ["company", "feature", "slot"], "left")
+        .join(names, ["company", "feature", "slot"], "left")
+        .select("company", F.concat_ws("=", "feature", "value").alias("feature"), F.coalesce(flat, F.lit(False)).alias("is_optimal"))
     )
-    return gradients.join(named.unionByName(numbers), ["company", "k"], "left").select("company", "feature", "is_optimal")
 
 
 def _planning_identities(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -270,7 +257,7 @@ def queries() -> dict[str, Query]:
         "ridge_optimality": _ridge_optimality,
         "forecast_checks": _forecast_checks(("ridge", "forest")),
         "forecast_checks_boosting": _forecast_checks(("boosting",)),
-        "forecast_ridge": _forecast("ridge"),
+        "forecast_ridge": _forecast_ridge,
         "forecast_forest": _forecast("forest"),
         "forecast_boosting": _forecast("boosting"),
         "company_comparison": _company_comparison,

@@ -55,7 +55,7 @@ def exact_sum(value: Column | str) -> Column:
     """
     whole = F.sum(units(value)).cast("decimal(20,0)")
     parts = F.sum(millionths(value)).cast("decimal(20,0)")
-    rest = F.sum(residue(value)).cast("decimal(20,18)")
+    rest = F.sum(residue(value)).cast("decimal(38,18)")
     total = whole + parts * F.lit(MILLIONTH) + rest
     return F.coalesce(total.cast("decimal(38,17)"), F.lit(0).cast("decimal(38,17)"))
 

@@ -8,34 +8,17 @@ from dataclasses import dataclass
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import OneHotEncoder, VectorAssembler
-from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
+from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
 from pyspark.sql import Column, DataFrame, Row, functions as F
 
 from ..functions.expressions import at_least_zero, whole_units
 from ..operators.encoding import NO_SLOT, TARGET, Encoded, encode
 from ..sources.scratch import enable_checkpoints, keep, new_path
+from . import ridge
 
-RIDGE_PENALTY = 1.0
-RIDGE_ITERATIONS = 1000
 _COLUMNS = {"featuresCol": "features", "labelCol": TARGET, "predictionCol": "prediction"}
 
 
-def _ridge(statistics: Row, size: int):
-    # The estimator divides the squared error by the row count and works on a
-    # label divided by its deviation, so the penalty has to be put on that scale.
-    # The iteration takes the sample's deviation. It holds one vector of the
-    # features' size, whatever their number.
-    return LinearRegression(
-        elasticNetParam=0.0,
-        standardization=False,
-        regParam=RIDGE_PENALTY * statistics.target_sample_std / statistics.n_train,
-        solver="l-bfgs",
-        maxIter=RIDGE_ITERATIONS,
-        tol=1e-10,
-        **_COLUMNS,
-    )
-
-
 def _forest(statistics: Row, size: int):
     return RandomForestRegressor(
         numTrees=100,
@@ -68,7 +51,8 @@ def _folder(company: Column) -> Column:
     return F.hex(F.xxhash64(company))
 
 
-MODELS = {"ridge": _ridge, "forest": _forest, "boosting": _boosting}
+#: Ridge is fitted for all companies at once, so it has no estimator of its own.
+MODELS = {"ridge": None, "forest": _forest, "boosting": _boosting}
 
 
 @dataclass(frozen=True)
@@ -149,10 +133,11 @@ def forecast_encoded(
 ) -> Forecast:
     """Like ``forecast``, on lines that are already encoded.
 
-    Each fit is a distributed job over the company's lines; several companies
-    are fitted at the same time. Only the statistics, one row per company, come
-    to the driver. A fit that fails is reported and leaves the others alone. ``on_fit``
-    is called with the company's statistics, the fitted pipeline and its training lines.
+    Ridge is fitted for all companies in one job. Each fit of another model is a distributed
+    job over the company's lines; several companies are fitted at the same time. Only the
+    statistics, one row per company, come to the driver. A fit that fails is reported and
+    leaves the others alone. ``on_fit`` is called with the company's statistics, the fitted
+    pipeline and its training lines; ridge has no pipeline and does not call it.
     """
     _check_model(model)
     spark = encoded.lines.sparkSession
@@ -163,6 +148,8 @@ def forecast_encoded(
     if not ready:
         which = f"company {company}" if company is not None else "any company"
         raise ValueError(f"the lines of {which} cannot be split into training and test rounds")
+    if model == "ridge":
+        return _ridge_forecast(encoded, skipped)
     slots = _slot_counts(encoded)
 
     path = new_path(spark, "forecast_lines")
@@ -185,6 +172,19 @@ def forecast_encoded(
     return Forecast(spark.read.schema(f"{schema}, fit int").parquet(path).drop("fit"), skipped, failed)
 
 
+def _ridge_forecast(encoded: Encoded, skipped: list) -> Forecast:
+    weights = ridge.ridge_weights(encoded, ridge.ROUNDS)
+    failed = {
+        row.company: f"ridge did not settle within {ridge.ROUNDS} rounds"
+        for row in weights.where(~F.col("settled")).select("company").distinct().collect()
+    }
+    weights = weights.where("settled")
+    if failed and weights.isEmpty():
+        raise RuntimeError(f"no fit succeeded; the first failure: {next(iter(failed.values()))}")
+    scored = ridge.predicted(encoded.lines.where("is_test"), encoded, weights)
+    return Forecast(keep(_forecast_lines(scored, "ridge"), "forecast_lines"), skipped, failed)
+
+
 def _slot_counts(encoded: Encoded) -> dict:
     if encoded.categories is None:
         return {}
@@ -212,8 +212,6 @@ def _fit_one(lines: DataFrame, encoded: Encoded, row: Row, slots: dict, model: s
     stages.append(MODELS[model](row, size))
 
     fitted = Pipeline(stages=stages).fit(lines.where(~F.col("is_test")))
-    if model == "ridge" and fitted.stages[-1].summary.totalIterations >= RIDGE_ITERATIONS:
-        raise RuntimeError(f"ridge did not settle within {RIDGE_ITERATIONS} iterations")
     if on_fit is not None:
         on_fit(row, fitted, lines.where(~F.col("is_test")))
     scored = _forecast_lines(fitted.transform(lines.where(F.col("is_test"))), model)

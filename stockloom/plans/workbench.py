@@ -60,7 +60,7 @@ class Workbench:
         return self._forecasts[model]
 
     def metrics(self, model: str) -> DataFrame:
-        return forecast_metrics(self.forecast(model).lines)
+        return forecast_metrics(self.forecast(model).all_lines())
 
     def companies(self) -> DataFrame:
         return exploration.company_list(self.tables.sales)
@@ -93,7 +93,7 @@ class Workbench:
         return exploration.last_round_stock(self.rounds)
 
     def product_forecast(self, model: str) -> DataFrame:
-        return planning.product_forecast(self.forecast(model).lines)
+        return planning.product_forecast(self.forecast(model).all_lines())
 
     def indicators(self, model: str) -> DataFrame:
         return planning.planning_indicators(self.rounds, self.product_forecast(model))

@@ -55,3 +55,21 @@ def test_sums_drop_nothing(spark):
     df = spark.createDataFrame([("a", 1e-7)] * 10 + [("b", 1.4e-6)] * 10 + [("c", 0.1)] * 10, "g string, x double")
     got = {r.g: (r.s, r.m) for r in df.groupBy("g").agg(exact_sum("x").cast("double").alias("s"), exact_mean("x").alias("m")).collect()}
     assert got == {"a": (1e-6, pytest.approx(1e-7)), "b": (1.4e-5, pytest.approx(1.4e-6)), "c": (1.0, 0.1)}
+
+
+def test_sums_of_very_many_values(spark):
+    """What lies below the millionths may add up to over a hundred: the sum of 300 million values,
+    made of their residues times their number."""
+    value = 0.12345649
+    df = spark.createDataFrame([(value,)] * 4, "x double")
+    one = df.limit(1).agg(exact_sum("x").alias("s")).first().s
+    assert float(one) == value
+    from stockloom.functions import expressions as e
+
+    plain = e.residue
+    try:
+        e.residue = lambda v: plain(v) * 300e6
+        total = df.agg(exact_sum("x").alias("s")).first().s
+    finally:
+        e.residue = plain
+    assert float(total) == pytest.approx(4 * (0.123456 + 0.49e-6 * 300e6), abs=1e-6)

@@ -21,3 +21,13 @@ def test_failed_fits_are_errors(monkeypatch):
             registered[name](None, "")
     with pytest.raises(RuntimeError, match="A: out of memory"):
         comparison.company_comparison(None, failed)
+
+
+def test_workbench_tells_of_failed_fits(monkeypatch):
+    from stockloom.plans import workbench
+
+    monkeypatch.setattr(workbench.Workbench, "forecast", lambda self, model: Forecast(None, [], {"A": "out of memory"}))
+    bench = workbench.Workbench(None)
+    for report in (bench.metrics, bench.product_forecast):
+        with pytest.raises(RuntimeError, match="A: out of memory"):
+            report("ridge")

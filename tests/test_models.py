@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from stockloom import forecast, forecast_metrics, model_comparison
 from stockloom.operators.encoding import NO_SLOT, encode
-from stockloom.plans import forecasting
+from stockloom.plans import forecasting, ridge
 from stockloom.plans.forecasting import forecast_encoded, prepare_training
 from stockloom.sources.scratch import keep
 
@@ -33,7 +33,7 @@ def company_rows(features, company):
 
 
 def test_ridge_that_does_not_settle_is_told(features, monkeypatch):
-    monkeypatch.setattr(forecasting, "RIDGE_ITERATIONS", 1)
+    monkeypatch.setattr(ridge, "ROUNDS", 0)
     with pytest.raises(RuntimeError, match="settle"):
         forecast(features, "ridge")
 
@@ -41,6 +41,7 @@ def test_ridge_that_does_not_settle_is_told(features, monkeypatch):
 def test_any_company_name_and_a_failing_one(features, monkeypatch):
     named = features.withColumn("company", F.when(F.col("company") == "A", "").otherwise(F.col("company")))
     assert {r.company for r in forecast(named, "ridge").lines.select("company").distinct().collect()} == {"", "B"}
+    named = named.where("round > 3")
     whole = forecasting._fit_one
 
     def failing(lines, encoded, row, *rest):
@@ -49,7 +50,7 @@ def test_any_company_name_and_a_failing_one(features, monkeypatch):
         whole(lines, encoded, row, *rest)
 
     monkeypatch.setattr(forecasting, "_fit_one", failing)
-    result = forecast(named, "ridge")
+    result = forecast(named, "forest")
     assert result.failed == {"": "no fit"}
     assert {r.company for r in result.lines.select("company").distinct().collect()} == {"B"}
 
@@ -71,10 +72,43 @@ def test_ridge_is_the_closed_form(features):
         weights = np.linalg.solve(centred.T @ centred + np.eye(x.shape[1]), centred.T @ (y - y.mean()))
         want = np.clip(y.mean() + (matrix(test) - x.mean(axis=0)) @ weights, 0, None)
         got = scored[scored["company"] == company].sort_values("line_no")
-        np.testing.assert_allclose(got["prediction"], want, atol=1e-6, rtol=0)
+        np.testing.assert_allclose(got["prediction"], want, atol=1e-9, rtol=0)
         assert list(got["forecast"]) == [int(v) for v in got["prediction"]]
 
 
+def test_ridge_takes_the_same_jobs_for_any_number_of_companies(spark, features):
+    def jobs(companies: int) -> int:
+        copies = features.where("company = 'B'").crossJoin(spark.range(companies).withColumnRenamed("id", "copy"))
+        encoded = prepare_training(keep(copies.withColumn("company", F.concat("company", F.col("copy"))).drop("copy"), "copies"))
+        tracker, group = spark.sparkContext.statusTracker(), f"ridge {companies}"
+        spark.sparkContext.setJobGroup(group, "")
+        try:
+            lines = forecast_encoded(encoded, "ridge").lines
+            assert lines.select("company").distinct().count() == companies
+            return len(tracker.getJobIdsForGroup(group))
+        finally:
+            spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+
+    assert jobs(1) == jobs(12)
+
+
+def test_ridge_of_features_that_hang_together(spark):
+    """Equal columns, a number that is constant, and many categories: the penalty still decides."""
+    draw = np.random.default_rng(8)
+    x = draw.normal(size=400)
+    rows = [("A", f"p{i % 90}", 1 + i // 100, i, "N", float(x[i]), float(2 * x[i]), float(3 * x[i] + i % 90)) for i in range(400)]
+    features = spark.createDataFrame(rows, COLUMNS)
+    encoded = prepare_training(features, ("cost", "net_sales", "product", "area"))
+    weights = {(r.feature, r.slot): r.weight for r in ridge.ridge_weights(encoded).collect()}
+    lines = encoded.lines.where("not is_test").toPandas()
+    matrix = np.stack([lines["cost_scaled"], lines["net_sales_scaled"], *[lines["product_slot"] == s for s in range(89)]], axis=1).astype(float)
+    centred, y = matrix - matrix.mean(axis=0), lines["demand"].to_numpy()
+    want = np.linalg.solve(centred.T @ centred + np.eye(91), centred.T @ (y - y.mean()))
+    got = [weights["cost", 0], weights["net_sales", 0], *[weights["product", s] for s in range(89)]]
+    np.testing.assert_allclose(got, want, atol=1e-9, rtol=0)
+    assert weights[None, 0] == pytest.approx(y.mean() - matrix.mean(axis=0) @ want, abs=1e-9)
+
+
 @pytest.mark.parametrize("model", ["forest", "boosting"])
 def test_trees_beat_the_mean(features, model):
     one = features.where("company = 'A'")
