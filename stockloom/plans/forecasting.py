@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+import json
 from collections.abc import Callable
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
@@ -14,6 +16,7 @@ from pyspark.sql import Column, DataFrame, Row, functions as F
 from ..functions.expressions import at_least_zero, whole_units
 from ..operators.encoding import NO_SLOT, TARGET, Encoded, encode
 from ..sources.scratch import enable_checkpoints, keep, new_path
+from ..sources.store import Store
 from . import ridge
 
 _COLUMNS = {"featuresCol": "features", "labelCol": TARGET, "predictionCol": "prediction"}
@@ -77,6 +80,33 @@ class Forecast:
         return self.lines
 
 
+@dataclass(frozen=True)
+class Ledger:
+    """What became of each company's fit, in a folder that outlasts the session.
+
+    A fit that ended has an entry, written after its lines: the company and why it failed,
+    if it did. A rerun fits what has no entry or failed; lines without an entry are
+    written over.
+    """
+
+    store: Store
+    folder: str
+
+    def _entry(self, company: str) -> str:
+        return f"{self.folder}/_ended/{fit_name(company)}.json"
+
+    def succeeded(self, company: str) -> bool:
+        entry = self.store.read(self._entry(company))
+        return entry is not None and json.loads(entry)["failure"] is None
+
+    def record(self, company: str, failure: str | None) -> None:
+        self.store.write(self._entry(company), json.dumps({"company": company, "failure": failure}))
+
+
+def fit_name(company: str) -> str:
+    return hashlib.sha256(company.encode()).hexdigest()[:32]
+
+
 def forecast_metrics(lines: DataFrame, keys: tuple[str, ...] = ("company", "model")) -> DataFrame:
     """Mean absolute error and R² of the test rows.
 
@@ -130,6 +160,7 @@ def forecast_encoded(
     company: str | None = None,
     parallelism: int = 8,
     on_fit: Callable[[Row, PipelineModel, DataFrame], None] | None = None,
+    ledger: Ledger | None = None,
 ) -> Forecast:
     """Like ``forecast``, on lines that are already encoded.
 
@@ -137,7 +168,9 @@ def forecast_encoded(
     job over the company's lines; several companies are fitted at the same time. Only the
     statistics, one row per company, come to the driver. A fit that fails is reported and
     leaves the others alone. ``on_fit`` is called with the company's statistics, the fitted
-    pipeline and its training lines; ridge has no pipeline and does not call it.
+    pipeline and its training lines; ridge has no pipeline and does not call it. With a
+    ``ledger``, fits that succeeded in an earlier run are not repeated; it must be the
+    ledger of these very lines and this model. Ridge is one job and needs none.
     """
     _check_model(model)
     spark = encoded.lines.sparkSession
@@ -152,24 +185,27 @@ def forecast_encoded(
         return _ridge_forecast(encoded, skipped)
     slots = _slot_counts(encoded)
 
-    path = new_path(spark, "forecast_lines")
+    path = ledger.folder if ledger else new_path(spark, "forecast_lines")
     failed: dict = {}
 
-    def fit(place: tuple[int, Row]) -> None:
-        number, row = place
+    def fit(row: Row) -> None:
+        if ledger and ledger.succeeded(row.company):
+            return
         own = (F.col(_FOLDER) == _folder(F.lit(row.company))) & (F.col("company") == row.company)
         try:
-            _fit_one(encoded.lines.where(own), encoded, row, slots.get(row.company, {}), model, f"{path}/fit={number}", on_fit)
+            _fit_one(encoded.lines.where(own), encoded, row, slots.get(row.company, {}), model, f"{path}/fit={fit_name(row.company)}", on_fit)
         except Exception as failure:  # any fit may fail; what failed is told
-            failed[row.company] = str(failure).splitlines()[0]
+            failed[row.company] = (str(failure).splitlines() or [type(failure).__name__])[0]
+        if ledger:
+            ledger.record(row.company, failed.get(row.company))
 
     with ThreadPoolExecutor(max_workers=max(1, min(parallelism, len(ready)))) as pool:
-        list(pool.map(fit, enumerate(ready)))
+        list(pool.map(fit, ready))
     if len(failed) == len(ready):
         raise RuntimeError(f"no fit succeeded; the first failure: {next(iter(failed.values()))}")
     lines = _forecast_lines(encoded.lines.withColumn("prediction", F.lit(0.0)), model)
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in lines.schema.fields)
-    return Forecast(spark.read.schema(f"{schema}, fit int").parquet(path).drop("fit"), skipped, failed)
+    return Forecast(spark.read.schema(f"{schema}, fit string").parquet(path).drop("fit"), skipped, failed)
 
 
 def _ridge_forecast(encoded: Encoded, skipped: list) -> Forecast:
@@ -215,7 +251,7 @@ def _fit_one(lines: DataFrame, encoded: Encoded, row: Row, slots: dict, model: s
     if on_fit is not None:
         on_fit(row, fitted, lines.where(~F.col("is_test")))
     scored = _forecast_lines(fitted.transform(lines.where(F.col("is_test"))), model)
-    scored.write.parquet(path)
+    scored.write.mode("overwrite").parquet(path)
 
 
 def _forecast_lines(scored: DataFrame, model: str) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from dataclasses import fields
 from functools import cached_property
 
 from pyspark.sql import DataFrame
@@ -9,25 +11,41 @@ from pyspark.sql import DataFrame
 from ..operators.encoding import Encoded
 from ..operators.rollup import product_rounds
 from ..sources.scratch import keep, release
+from ..sources.store import Store
 from ..sources.tables import Tables
 from . import comparison, exploration, planning
 from .fact import sales_fact
 from .features import demand_features
-from .forecasting import Forecast, forecast_encoded, forecast_metrics, prepare_training
+from .forecasting import Forecast, Ledger, forecast_encoded, forecast_metrics, prepare_training
 
 
 class Workbench:
     """Keeps the fact's features, their rollup and the fitted forecasts.
 
     Every result holds all companies; ``where(company == ...)`` gives one. With
-    ``company``, only its lines are read and computed from the start.
+    ``company``, only its lines are read and computed from the start. With ``store``, a
+    shared folder, features, rounds and fits outlast the session: a later workbench on the
+    same input files finds them, and one on changed files builds them anew.
     """
 
-    def __init__(self, tables: Tables, company: str | None = None):
+    def __init__(self, tables: Tables, company: str | None = None, store: str | None = None):
         self.tables = tables
         self.company = company
+        self.store = Store(tables.sales.sparkSession, store) if store else None
         self._forecasts: dict[str, Forecast] = {}
 
+    @cached_property
+    def _places(self) -> dict[str, str | None]:
+        """The stored tables' folders; all of them depend on the five tables and the company."""
+        sources = [getattr(self.tables, field.name) for field in fields(self.tables)]
+        features = self.store.name_of("features", sources, {"company": self.company})
+        return {step: features and features.replace("/features-", f"/{step}-") for step in ("features", "rounds", "fits")}
+
+    def _stored(self, step: str, build: Callable[[], DataFrame]) -> DataFrame:
+        if self.store is None:
+            return keep(build(), step)
+        return self.store.table(self._places[step], build, lambda df: keep(df, step))
+
     def __enter__(self) -> Workbench:
         return self
 
@@ -41,14 +59,16 @@ class Workbench:
 
     @cached_property
     def features(self) -> DataFrame:
-        features = keep(demand_features(self.fact, self.company), "features")
+        features = self._stored("features", lambda: demand_features(self.fact, self.company))
         if self.company is not None and features.isEmpty():
             raise ValueError(f"no usable lines for company {self.company}")
         return features
 
     @cached_property
     def rounds(self) -> DataFrame:
-        return product_rounds(self.features)
+        if self.store is None:
+            return product_rounds(self.features)
+        return self._stored("rounds", lambda: product_rounds(self.features))
 
     @cached_property
     def encoded(self) -> Encoded:
@@ -56,7 +76,9 @@ class Workbench:
 
     def forecast(self, model: str) -> Forecast:
         if model not in self._forecasts:
-            self._forecasts[model] = forecast_encoded(self.encoded, model, self.company)
+            place = self._places["fits"] if self.store else None
+            ledger = Ledger(self.store, f"{place}/{model}") if place else None
+            self._forecasts[model] = forecast_encoded(self.encoded, model, self.company, ledger=ledger)
         return self._forecasts[model]
 
     def metrics(self, model: str) -> DataFrame:
