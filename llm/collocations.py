@@ -1,18 +1,20 @@
 """Phrase collocations: counts by broadcast double-array tries, scores by the weakest cut.
 
 Texts become shards: one row per task and language, with the words as numbers into the
-shard's own list of words and a mark wherever a piece ends. Words are counted over all
-shards; those that reach the threshold get an id, and each shard learns the ids of its
-words. So no list of all words is held anywhere.
+shard's own list of words and a mark wherever a piece ends. Between shards a word goes by
+a 64-bit hash of language and word, so that no list of all words is held anywhere. Two
+words with one hash would spoil the counts: all words are looked through for that, and
+another hash is taken if it happens.
 
 Then, for phrases of one word, two words and so on: the candidates are cut in blocks of
 bounded size, a task makes a double-array trie of each block, and the tries are broadcast
 one after the other. For each trie a shard advances the states of all its positions at
 once, level by level, and counts the accepting ones by ``bincount``; Spark sums the
-counts of the shards. In the same pass the words that follow an accepted phrase are
-counted, and phrases that are prolonged often enough are the next candidates: their
-beginning and their last word are frequent, and so is every part of them, since a part
-occurs at least as often. No other phrase can reach the threshold.
+counts of the shards. In the same pass an accepted phrase is prolonged by the word that
+follows it, if the phrase that begins one word later is a candidate as well; those that are
+prolonged often enough are the next candidates. Every part of them is frequent, and no
+other phrase can reach the threshold. Whether a phrase is a candidate is looked up in a
+bitmap of its hash, of a fixed size: it may say yes too often, which costs time only.
 
 A broadcast is one trie, of at most about ``block`` phrases; the number of passes grows
 with the candidates. Nothing else comes to the driver but counts.
@@ -20,13 +22,15 @@ with the candidates. Nothing else comes to the driver but counts.
 
 from __future__ import annotations
 
+import itertools
 import re
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from stockloom.sources.scratch import keep
@@ -42,13 +46,19 @@ COVERED = 80
 SCALE, TOP = 2_000_000, 2000
 #: Tokens of a shard, characters that are split at a time, phrases of a trie.
 SHARD, BLOCK_CHARS, BLOCK = 1 << 22, 1 << 20, 1 << 19
+#: Positions of a shard that are looked at together, rows of counts that are handed over together.
+POSITIONS, ROWS = 1 << 19, 1 << 16
+#: The bitmap of candidates has 2 to the power of so many bits.
+FILTER_BITS = 26
 UNKNOWN = "und"
+#: Goes into the words' hashes, with a number that changes if two words have the same.
+SALT = "words "
 
 # 0xFF is in no UTF-8 text: it stands for the end of a piece.
 _END = b"\xff"
 _FOLDED = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ.,;:!?\n\x0b\x0c\r", b"abcdefghijklmnopqrstuvwxyz" + _END * 10)
 _GAP = re.compile(rb"[\x20\x09\xff]")
-_SHARD = "shard long, lang string, tokens long, own long, words array<binary>, counts array<long>, ids binary"
+_SHARD = "lang string, tokens long, own long, words array<binary>, counts array<long>, names binary, ids binary"
 
 
 def token_blocks(text: bytes | None, chars: int = BLOCK_CHARS) -> Iterator[list[bytes]]:
@@ -82,26 +92,28 @@ class _Open:
         self.size += len(words)
 
 
-def _shards(df: DataFrame, text: str, lang: str, size: int, longest: int) -> DataFrame:
+def word_names(salt: str, lang: str, words: Iterable[bytes]) -> np.ndarray:
+    """The hashes that stand for words; the same as Spark's ``xxhash64`` of salt, language and word."""
+    seed = xxhash.xxh64_intdigest(lang.encode(), xxhash.xxh64_intdigest(salt.encode(), 42))
+    return np.array([xxhash.xxh64_intdigest(word, seed) for word in words], dtype=np.uint64)
+
+
+def _shards(df: DataFrame, text: str, lang: str, size: int, longest: int, salt: str) -> DataFrame:
     """Every token is the first of phrases in just one shard; a shard that ends inside a
     text has some tokens beyond its own, which the next shard begins with."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
-
-        part, made, held = TaskContext.get().partitionId(), 0, 0
+        held = 0
         open_: dict[str, _Open] = {}
 
         def closed(name: str, beyond: int) -> pa.RecordBatch:
-            nonlocal made
             shard = open_.pop(name)
             ids = np.concatenate(shard.ids)
             own = len(ids) - beyond
             counts = np.bincount(ids[:own], minlength=len(shard.numbers))
-            tokens = own - counts[0]
-            made += 1
-            values = [[part << 32 | made], [name], [int(tokens)], [own], [list(shard.numbers)], [counts.tolist()], [ids.tobytes()]]
-            kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.list_(pa.binary()), pa.list_(pa.int64()), pa.binary()]
+            names = word_names(salt, name, shard.numbers)
+            values = [[name], [int(own - counts[0])], [own], [list(shard.numbers)], [counts.tolist()], [names.tobytes()], [ids.tobytes()]]
+            kinds = [pa.string(), pa.int64(), pa.int64(), pa.list_(pa.binary()), pa.list_(pa.int64()), pa.binary(), pa.binary()]
             return pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(values, kinds)], names=[f.split()[0] for f in _SHARD.split(", ")])
 
         for batch in batches:
@@ -130,32 +142,16 @@ def _shards(df: DataFrame, text: str, lang: str, size: int, longest: int) -> Dat
     return keep(rows.mapInArrow(run, _SHARD), "phrase_shards")
 
 
-def _known(shards: DataFrame, least: int) -> tuple[DataFrame, DataFrame]:
-    """Frequent words (lang, word, id), and shards with word ids: own, words (ids, in ascending
-    order) and ids (places in these, -1 for what is not frequent)."""
-    entries = shards.select("shard", "lang", F.posexplode(F.arrays_zip("words", "counts")).alias("at", "entry"))
-    entries = entries.where("at > 0").select("shard", "lang", "at", F.col("entry.words").alias("word"), F.col("entry.counts").alias("n"))
-    words = entries.groupBy("lang", "word").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
-    # Written, so that the ids stay.
-    words = keep(words.select("lang", "word", F.monotonically_increasing_id().alias("id")), "phrase_words")
-    of_shard = entries.join(words, ["lang", "word"]).groupBy("shard").agg(F.collect_list(F.struct("at", "id")).alias("known"))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(batch.num_rows):
-                row = batch.slice(i, 1)
-                own, known, raw = (row.column(k)[0] for k in range(3))
-                at, word = (known.values.field(k).to_numpy() for k in range(2))
-                order = np.argsort(word)
-                place = np.full(int(at.max()) + 2, -1, dtype=np.int32)
-                place[at[order]] = np.arange(len(order), dtype=np.int32)
-                ids = np.frombuffer(raw.as_buffer(), dtype=np.int32)
-                ids = place[np.minimum(ids, len(place) - 1)]
-                values = [pa.array([own.as_py()], pa.int64()), pa.array([word[order].tobytes()]), pa.array([ids.tobytes()])]
-                yield pa.RecordBatch.from_arrays(values, names=["own", "words", "ids"])
-
-    joined = shards.select("shard", "own", "ids").join(of_shard, "shard").select("own", "known", "ids")
-    return words, keep(joined.mapInArrow(run, "own long, words binary, ids binary"), "phrase_coded")
+def _counted_words(df: DataFrame, text: str, lang: str, size: int, longest: int) -> tuple[DataFrame, DataFrame]:
+    """Shards, and all words with their names and counts: lang, word, name, n."""
+    for number in itertools.count():
+        salt = f"{SALT}{number}"
+        shards = _shards(df, text, lang, size, longest, salt)
+        entries = shards.select("lang", F.posexplode(F.arrays_zip("words", "counts")).alias("at", "entry")).where("at > 0")
+        words = entries.groupBy("lang", F.col("entry.words").alias("word")).agg(F.sum("entry.counts").alias("n"))
+        named = keep(words.withColumn("name", F.xxhash64(F.lit(salt), "lang", "word")), "phrase_words")
+        if named.groupBy("name").count().where("count > 1").isEmpty():
+            return shards, named
 
 
 def _tries(candidates: DataFrame, depth: int, blocks: int) -> DataFrame:
@@ -188,62 +184,108 @@ def _tries(candidates: DataFrame, depth: int, blocks: int) -> DataFrame:
     return keep(dealt.repartition(blocks, "block").sortWithinPartitions("block").mapInArrow(run, "block int, trie binary"), "phrase_tries")
 
 
-def _pass(shards: DataFrame, trie, prolong: bool) -> DataFrame:
-    """Over all shards: occurrences of each phrase of the trie (next -1), and of each phrase with
-    each frequent word after it."""
+def _slots(columns: list[np.ndarray], bits: int) -> np.ndarray:
+    """The bit that stands for each phrase, given as one array of names per word."""
+    mixed = np.zeros(len(columns[0]), dtype=np.uint64)
+    for names in columns:
+        mixed = (mixed ^ names.view(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
+        mixed ^= mixed >> np.uint64(29)
+    return mixed >> np.uint64(64 - bits)
+
+
+def _bitmap(candidates: DataFrame, depth: int, bits: int) -> np.ndarray:
+    """Words of 64 bits, in which the bits of all candidates are set. Its size is fixed."""
+    columns = [f"w{m}" for m in range(1, depth + 1)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = trie.value
+        for batch in batches:
+            slots = _slots([batch.column(m).to_numpy() for m in range(depth)], bits)
+            values = (slots >> np.uint64(6)).view(np.int64), (np.uint64(1) << (slots & np.uint64(63))).view(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(v) for v in values], names=["place", "bits"])
+
+    found = candidates.select(*columns).mapInArrow(run, "place long, bits long").groupBy("place").agg(F.bit_or("bits").alias("bits")).toArrow()
+    bitmap = np.zeros(1 << (bits - 6), dtype=np.int64)
+    bitmap[found.column("place").to_numpy()] = found.column("bits").to_numpy()
+    return bitmap.view(np.uint64)
+
+
+def _pass(shards: DataFrame, trie, candidates, bits: int, prolong: bool) -> DataFrame:
+    """Over all shards: occurrences of each phrase of the trie (next null), and of each phrase
+    with a word after it, where the phrase from its second word on may be a candidate."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, bitmap = trie.value, candidates.value
+        depth = known.depth
         for batch in batches:
             for i in range(batch.num_rows):
-                own, words, ids = (batch.column(k)[i] for k in range(3))
-                words = np.frombuffer(words.as_buffer(), dtype=np.int64)
-                ids = np.frombuffer(ids.as_buffer(), dtype=np.int32).astype(np.int64)
-                of_word = np.append(known.symbols(words), -1)
-                at, phrase = known.accept(of_word[ids], own.as_py())
-                counts = np.bincount(phrase, minlength=len(known.names))
+                own, names, ids = (batch.column(k)[i] for k in range(3))
+                names = np.frombuffer(names.as_buffer(), dtype=np.int64)
+                ids = np.frombuffer(ids.as_buffer(), dtype=np.int32)
+                of_word = known.symbols(names)
+                of_word[0] = -1  # the end of a piece
+                counts, keys = np.zeros(len(known.names), dtype=np.int64), []
+                # A slice of positions at a time, so that a long shard needs little memory.
+                for start in range(0, own.as_py(), POSITIONS):
+                    stop = min(own.as_py(), start + POSITIONS)
+                    at, phrase = known.accept(of_word[ids[start : stop + depth - 1]], stop - start)
+                    counts += np.bincount(phrase, minlength=len(counts))
+                    if not prolong:
+                        continue
+                    at += start
+                    inside = at + depth < len(ids)
+                    at, phrase = at[inside], phrase[inside]
+                    slots = _slots([names[ids[at + m]] for m in range(1, depth + 1)], bits)
+                    following = ids[at + depth]
+                    safe = (following > 0) & (bitmap[slots >> np.uint64(6)] >> (slots & np.uint64(63)) & np.uint64(1)).astype(bool)
+                    keys.append(phrase[safe] * np.int64(len(names)) + following[safe])
                 seen = np.flatnonzero(counts)
-                found = [(known.names[seen], np.full(len(seen), -1), counts[seen])]
-                if prolong:
-                    after = at + known.depth
-                    inside = after < len(ids)
-                    after, phrase = ids[after[inside]], phrase[inside]
-                    phrase, after = phrase[after >= 0], after[after >= 0]
-                    keys, times = np.unique(phrase * np.int64(len(words) + 1) + after, return_counts=True)
-                    found.append((known.names[keys // (len(words) + 1)], words[keys % (len(words) + 1)], times))
-                for a, b, c in found:
-                    yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (a, b, c)], names=["name", "next", "n"])
-
-    return shards.mapInArrow(run, "name long, next long, n long").groupBy("name", "next").agg(F.sum("n").alias("n"))
-
-
-def phrase_counts(shards: DataFrame, words: DataFrame, longest: int, least: int, block: int) -> list[DataFrame]:
-    """For each number of words the frequent phrases: w1, w2, ... (word ids) and f."""
+                yield from counted(known.names[seen], None, counts[seen])
+                if keys:
+                    keys, times = np.unique(np.concatenate(keys), return_counts=True)
+                    yield from counted(known.names[keys // len(names)], names[keys % len(names)], times)
+
+    def counted(name: np.ndarray, following: np.ndarray | None, n: np.ndarray) -> Iterator[pa.RecordBatch]:
+        for start in range(0, len(name), ROWS):
+            part = slice(start, start + ROWS)
+            after = pa.nulls(len(name[part]), pa.int64()) if following is None else pa.array(following[part])
+            yield pa.RecordBatch.from_arrays([pa.array(name[part]), after, pa.array(n[part], pa.int64())], names=["name", "next", "n"])
+
+    rows = shards.select("own", "names", "ids").mapInArrow(run, "name long, next long, n long")
+    return rows.groupBy("name", "next").agg(F.sum("n").alias("n"))
+
+
+def phrase_counts(shards: DataFrame, words: DataFrame, longest: int, least: int, block: int, bits: int = FILTER_BITS) -> list[DataFrame]:
+    """For each number of words the frequent phrases: w1, w2, ... (names of words) and f."""
     spark = shards.sparkSession
-    candidates, found = words.select(F.col("id").alias("name"), F.col("id").alias("w1")), []
+    candidates = keep(words.where(F.col("n") >= least).select("name", F.col("name").alias("w1")), "phrase_candidates")
+    found = []
     for depth in range(1, longest + 1):
         names = [f"w{m}" for m in range(1, depth + 1)]
         n = candidates.count()
         blocks = max(1, -(-n // block))
         counted = []
         tries = _tries(candidates, depth, blocks) if n else None
+        bitmap = spark.sparkContext.broadcast(_bitmap(candidates, depth, bits) if depth < longest else None)
         for number in range(blocks if n else 0):
             row = tries.where(F.col("block") == number).first()
             if row is None:
                 continue
             trie = spark.sparkContext.broadcast(double_array.Trie.read(row.trie))
-            counts = _pass(shards, trie, depth < longest).where((F.col("next") < 0) | (F.col("n") >= least))
+            counts = _pass(shards, trie, bitmap, bits, depth < longest).where(F.col("n") >= least)
             counted.append(keep(counts, "phrase_counts"))
             trie.destroy()
+        bitmap.destroy()
         if counted:
             counts = reduce(DataFrame.unionByName, counted)
         else:
             counts = spark.createDataFrame([], "name long, next long, n long")
-        frequent = counts.where((F.col("next") < 0) & (F.col("n") >= least))
+        frequent = counts.where(F.col("next").isNull())
         found.append(keep(candidates.join(frequent, "name").select(*names, F.col("n").alias("f")), "phrase_frequent"))
-        longer = candidates.join(counts.where("next >= 0").select("name", "next"), "name")
-        longer = longer.select(F.monotonically_increasing_id().alias("name"), *names, F.col("next").alias(f"w{depth + 1}"))
-        candidates = keep(longer, "phrase_candidates") if depth < longest else None
+        if depth < longest:
+            longer = candidates.join(counts.where("next is not null").select("name", "next"), "name")
+            # Written, so that the numbers that name the phrases stay.
+            longer = longer.select(F.monotonically_increasing_id().alias("name"), *names, F.col("next").alias(f"w{depth + 1}"))
+            candidates = keep(longer, "phrase_candidates")
     return found
 
 
@@ -286,11 +328,12 @@ def collocations(
     """
     if not 2 <= longest <= 8:
         raise ValueError("phrases have 2 to 8 words")
-    shards = _shards(df, text, lang, shard, longest)
-    words, coded = _known(shards, least)
-    counts = phrase_counts(coded, words, longest, least, block)
+    shards, words = _counted_words(df, text, lang, shard, longest)
+    words = words.where(F.col("n") >= least)
+    counts = phrase_counts(shards, words, longest, least, block)
     every = [f"w{m}" for m in range(1, longest + 1)]
-    padded = lambda names: [F.col(w) if w in names else F.lit(-1).cast("bigint").alias(w) for w in every]
+    none = F.lit(0).cast("bigint")  # beside the number of words, which tells how many names count
+    padded = lambda names: [F.lit(len(names)).alias("words"), *[F.col(w) if w in names else none.alias(w) for w in every]]
 
     scored, inside = [], []
     for size in range(2, longest + 1):
@@ -304,18 +347,19 @@ def collocations(
         for part in range(2, size):
             for first in range(size - part + 1):
                 moved = [F.col(w).alias(every[m]) for m, w in enumerate(own[first : first + part])]
-                rest = [F.lit(-1).cast("bigint").alias(w) for w in every[part:]]
-                inside.append(counts[size - 1].select(*moved, *rest, F.col("f").alias("longer")))
+                rest = [none.alias(w) for w in every[part:]]
+                inside.append(counts[size - 1].select(F.lit(part).alias("words"), *moved, *rest, F.col("f").alias("longer")))
     scored = reduce(DataFrame.unionByName, scored)
     if inside:
-        longer = reduce(DataFrame.unionByName, inside).groupBy(*every).agg(F.max("longer").alias("longer"))
-        scored = scored.join(longer, every, "left").where(
+        longer = reduce(DataFrame.unionByName, inside).groupBy("words", *every).agg(F.max("longer").alias("longer"))
+        scored = scored.join(longer, ["words", *every], "left").where(
             F.col("longer").isNull() | (F.col("longer").cast("decimal(20,0)") * 100 < F.col("a").cast("decimal(20,0)") * covered)
         )
-    scored = keep(scored.select(*every, "a", "cut.score", "cut.l", "cut.r").withColumn("name", F.monotonically_increasing_id()), "phrase_scored")
+    scored = keep(scored.select("words", *every, "a", "cut.score", "cut.l", "cut.r").withColumn("name", F.monotonically_increasing_id()), "phrase_scored")
 
-    spelled = scored.select("name", F.posexplode(F.array(*every)).alias("at", "id")).where("id >= 0").join(words, "id")
-    spelled = spelled.groupBy("name").agg(
+    names = F.slice(F.array(*every), F.lit(1), F.col("words"))
+    spelled = scored.select(F.col("name").alias("phrase_name"), F.posexplode(names).alias("at", "name")).join(words, "name")
+    spelled = spelled.groupBy(F.col("phrase_name").alias("name")).agg(
         F.first("lang").alias("lang"),
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", F.col("word").cast("string").alias("word")))), lambda x: x["word"]), " ").alias("phrase"),
     )

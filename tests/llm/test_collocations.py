@@ -40,8 +40,13 @@ def test_tokens(chars):
     assert [*c.token_blocks(None)] == [*c.token_blocks(b"")] == []
 
 
-@pytest.mark.parametrize("shard, block", [(3000, 200), (1 << 22, 1 << 19)])
-def test_shards_and_blocks_of_any_size(spark, shard, block):
+@pytest.mark.parametrize("shard, block, bits", [(3000, 200, 6), (1 << 22, 1 << 19, 26)])
+def test_shards_and_blocks_of_any_size(spark, monkeypatch, shard, block, bits):
+    """Six bits are all set: then the bitmap says yes to every phrase."""
+    monkeypatch.setattr(c.phrase_counts, "__defaults__", (bits,))
+    if bits == 6:
+        monkeypatch.setattr(c, "POSITIONS", 100)
+        monkeypatch.setattr(c, "ROWS", 50)
     docs = spark.read.parquet(f"{SMALL}/documents.parquet").repartition(2)
     found = c.collocations(docs, shard=shard, block=block).toPandas()
     want = tables.sql(SMALL, q.COLLOCATIONS_SQL)
@@ -58,6 +63,31 @@ def test_texts_longer_than_a_shard(spark, tmp_path, monkeypatch):
     assert len(want) and difference(found, want) is None
 
 
+def test_names_are_sparks_hash(spark):
+    from pyspark.sql import functions as F
+
+    df = spark.createDataFrame([(b"word",), ("É".encode(),), (b"",)], "word binary")
+    rows = df.select("word", F.xxhash64(F.lit("s"), F.lit("en"), "word").alias("name")).collect()
+    assert [r.name for r in rows] == c.word_names("s", "en", [bytes(r.word) for r in rows]).view(np.int64).tolist()
+
+
+def test_another_hash_if_two_words_have_one(spark, tmp_path, monkeypatch):
+    """With a hash of one bit for the first salt, all words collide; the second salt counts."""
+    from pyspark.sql import functions as F
+
+    df = spark.createDataFrame([(1, "a b c. " * 40, "en")], "doc_id long, text string, lang string")
+    df.write.parquet(f"{tmp_path}/documents.parquet")
+    plain, salts = F.xxhash64, []
+
+    def weak(salt, *columns):
+        salts.append(salt)
+        return F.lit(1).cast("bigint") if len(salts) == 1 else plain(salt, *columns)
+
+    monkeypatch.setattr(c.F, "xxhash64", lambda *cols: weak(*cols) if len(cols) == 3 and cols[1:] == ("lang", "word") else plain(*cols))
+    found = c.collocations(df).toPandas()
+    assert len(salts) == 2 and difference(found, tables.sql(str(tmp_path), q.COLLOCATIONS_SQL)) is None
+
+
 def test_products_beyond_64_bits(spark):
     """A cut's product may have over 19 digits, and a quotient just below a whole number stays below."""
     from pyspark.sql import functions as F
