@@ -30,6 +30,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
@@ -45,7 +46,7 @@ COVERED = 80
 #: A cut's score is this many times a / (l + r); results per language.
 SCALE, TOP = 2_000_000, 2000
 #: Tokens of a shard, characters that are split at a time, phrases of a trie.
-SHARD, BLOCK_CHARS, BLOCK = 1 << 22, 1 << 20, 1 << 19
+SHARD, BLOCK_CHARS, BLOCK = 1 << 21, 1 << 20, 1 << 19
 #: Positions of a shard that are looked at together, rows of counts that are handed over together.
 POSITIONS, ROWS = 1 << 19, 1 << 16
 #: The bitmap of candidates has 2 to the power of so many bits.
@@ -209,9 +210,10 @@ def _bitmap(candidates: DataFrame, depth: int, bits: int) -> np.ndarray:
     return bitmap.view(np.uint64)
 
 
-def _pass(shards: DataFrame, trie, candidates, bits: int, prolong: bool) -> DataFrame:
+def _pass(shards: DataFrame, trie, candidates, bits: int, prolong: bool, least: int) -> DataFrame:
     """Over all shards: occurrences of each phrase of the trie (next null), and of each phrase
-    with a word after it, where the phrase from its second word on may be a candidate."""
+    with a word after it, where the phrase from its second word on may be a candidate; counts
+    of ``least`` and more."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, bitmap = trie.value, candidates.value
@@ -239,19 +241,43 @@ def _pass(shards: DataFrame, trie, candidates, bits: int, prolong: bool) -> Data
                     safe = (following > 0) & (bitmap[slots >> np.uint64(6)] >> (slots & np.uint64(63)) & np.uint64(1)).astype(bool)
                     keys.append(phrase[safe] * np.int64(len(names)) + following[safe])
                 seen = np.flatnonzero(counts)
-                yield from counted(known.names[seen], None, counts[seen])
+                yield from counted(seen, None, None, counts[seen])
                 if keys:
                     keys, times = np.unique(np.concatenate(keys), return_counts=True)
-                    yield from counted(known.names[keys // len(names)], names[keys % len(names)], times)
+                    following = keys % len(names)
+                    yield from counted(keys // len(names), of_word[following], names[following], times)
 
-    def counted(name: np.ndarray, following: np.ndarray | None, n: np.ndarray) -> Iterator[pa.RecordBatch]:
-        for start in range(0, len(name), ROWS):
+    def counted(phrase: np.ndarray, symbol: np.ndarray | None, name: np.ndarray | None, n: np.ndarray) -> Iterator[pa.RecordBatch]:
+        # Small numbers shuffle in half the bytes: a word goes by its symbol if this trie has one.
+        for start in range(0, len(phrase), ROWS):
             part = slice(start, start + ROWS)
-            after = pa.nulls(len(name[part]), pa.int64()) if following is None else pa.array(following[part])
-            yield pa.RecordBatch.from_arrays([pa.array(name[part]), after, pa.array(n[part], pa.int64())], names=["name", "next", "n"])
-
-    rows = shards.select("own", "names", "ids").mapInArrow(run, "name long, next long, n long")
-    return rows.groupBy("name", "next").agg(F.sum("n").alias("n"))
+            if symbol is None:
+                after = [pa.nulls(len(phrase[part]), pa.int64())] * 2
+            else:
+                has_one = symbol[part] >= 0
+                after = [pa.array(symbol[part], pa.int64(), mask=~has_one), pa.array(name[part], pa.int64(), mask=has_one)]
+            yield pa.RecordBatch.from_arrays([pa.array(phrase[part], pa.int64()), *after, pa.array(n[part], pa.int64())], names=["phrase", "symbol", "next", "n"])
+
+    def spelled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = trie.value
+        for batch in batches:
+            symbol = batch.column(1)
+            of_symbol = pa.array(known.words[symbol.fill_null(0).to_numpy(zero_copy_only=False)], pa.int64())
+            after = pc.if_else(symbol.is_valid(), of_symbol, batch.column(2))
+            names = pa.array(known.names[batch.column(0).to_numpy()], pa.int64())
+            yield pa.RecordBatch.from_arrays([names, after, batch.column(3)], names=["name", "next", "n"])
+
+    rows = shards.select("own", "names", "ids").mapInArrow(run, "phrase long, symbol long, next long, n long")
+    summed = rows.groupBy("phrase", "symbol", "next").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
+    # A row is a whole shard: one at a time goes to Python, not all of a task.
+    conf, setting = shards.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = conf.get(setting)
+    conf.set(setting, 1)
+    try:
+        summed = keep(summed, "phrase_sums")
+    finally:
+        conf.set(setting, before)
+    return summed.mapInArrow(spelled, "name long, next long, n long")
 
 
 def phrase_counts(shards: DataFrame, words: DataFrame, longest: int, least: int, block: int, bits: int = FILTER_BITS) -> list[DataFrame]:
@@ -271,7 +297,7 @@ def phrase_counts(shards: DataFrame, words: DataFrame, longest: int, least: int,
             if row is None:
                 continue
             trie = spark.sparkContext.broadcast(double_array.Trie.read(row.trie))
-            counts = _pass(shards, trie, bitmap, bits, depth < longest).where(F.col("n") >= least)
+            counts = _pass(shards, trie, bitmap, bits, depth < longest, least)
             counted.append(keep(counts, "phrase_counts"))
             trie.destroy()
         bitmap.destroy()
