@@ -48,7 +48,9 @@ SCALE, TOP = 2_000_000, 2000
 #: Tokens of a shard, characters that are split at a time, phrases of a trie.
 SHARD, BLOCK_CHARS, BLOCK = 1 << 21, 1 << 20, 1 << 19
 #: Positions of a shard that are looked at together, rows of counts that are handed over together.
-POSITIONS, ROWS = 1 << 19, 1 << 16
+POSITIONS, ROWS = 1 << 17, 1 << 16
+#: Texts that are handed to Python together: a batch is held several times, in the JVM too.
+TEXTS = 256
 #: The bitmap of candidates has 2 to the power of so many bits.
 FILTER_BITS = 26
 UNKNOWN = "und"
@@ -76,6 +78,17 @@ def token_blocks(text: bytes | None, chars: int = BLOCK_CHARS) -> Iterator[list[
         start = end
 
 
+def _keep_by(rows: int, df: DataFrame, name: str) -> DataFrame:
+    """``keep``, with so many rows in a batch for Python."""
+    conf, setting = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = conf.get(setting)
+    conf.set(setting, rows)
+    try:
+        return keep(df, name)
+    finally:
+        conf.set(setting, before)
+
+
 class _Open:
     """A shard in the making. Number 0 is the end of a piece."""
 
@@ -140,7 +153,7 @@ def _shards(df: DataFrame, text: str, lang: str, size: int, longest: int, salt:
             yield closed(name, 0)
 
     rows = df.select(F.coalesce(F.col(lang), F.lit(UNKNOWN)).alias("lang"), F.col(text).cast("binary").alias("text"))
-    return keep(rows.mapInArrow(run, _SHARD), "phrase_shards")
+    return _keep_by(TEXTS, rows.mapInArrow(run, _SHARD), "phrase_shards")
 
 
 def _counted_words(df: DataFrame, text: str, lang: str, size: int, longest: int) -> tuple[DataFrame, DataFrame]:
@@ -270,13 +283,7 @@ def _pass(shards: DataFrame, trie, candidates, bits: int, prolong: bool, least:
     rows = shards.select("own", "names", "ids").mapInArrow(run, "phrase long, symbol long, next long, n long")
     summed = rows.groupBy("phrase", "symbol", "next").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
     # A row is a whole shard: one at a time goes to Python, not all of a task.
-    conf, setting = shards.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = conf.get(setting)
-    conf.set(setting, 1)
-    try:
-        summed = keep(summed, "phrase_sums")
-    finally:
-        conf.set(setting, before)
+    summed = _keep_by(1, summed, "phrase_sums")
     return summed.mapInArrow(spelled, "name long, next long, n long")
 
 
