@@ -33,9 +33,12 @@ MAGIC = b"\x1f\x8b\x08"
 #: Fixed values of the format.
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 _DATE = "1970-01-01T00:00:00Z"
+_VERSION = b"WARC/1."
 #: A file is closed beyond so many bytes; a range has so many.
 FILE_BYTES, RANGE_BYTES = 256 << 20, 8 << 20
-_CHUNK, _LONGEST_HEADER = 1 << 16, 1 << 20
+_CHUNK = 1 << 16
+#: A task reads at least one range and, of a large archive, about so many.
+RANGES_PER_TASK = 128
 
 
 def payload_digest(payload: bytes) -> str:
@@ -136,7 +139,7 @@ class _Range:
     """A byte range of a file, held in memory, and what follows it, read on demand."""
 
     def __init__(self, file, start: int, end: int):
-        self.file, self.start, self.end = file, start, end
+        self.file, self.start, self.end, self.size = file, start, end, file.size()
         self.held = file.read_at(end - start + len(MAGIC) - 1, start)
 
     def read(self, at: int) -> bytes:
@@ -174,20 +177,26 @@ class _Member:
         return b""
 
     def head(self) -> tuple[dict[str, str], bytes] | None:
-        """The WARC header fields and what was decoded behind them; None if this is no record."""
-        got = b""
+        """The WARC header fields and what was decoded behind them; None if this is no record.
+
+        Headers may have any length. Once the version line is decoded this is a record, and
+        what ends or breaks before its header does is an error.
+        """
+        got, looked = bytearray(), 0
         try:
-            while b"\r\n\r\n" not in got:
+            while (end := got.find(b"\r\n\r\n", looked)) < 0:
+                looked = max(0, len(got) - 3)
                 part = self.more()
                 got += part
-                if not part or len(got) > _LONGEST_HEADER or not (got.startswith(b"WARC/1.") or b"WARC/1.".startswith(got)):
+                if not got.startswith(_VERSION) and (not part or not _VERSION.startswith(got)):
                     return None
+                if not part:
+                    raise ValueError("a record ends inside its header")
         except (zlib.error, ValueError):
+            if got.startswith(_VERSION):
+                raise
             return None
-        if not got.startswith(b"WARC/1."):
-            return None
-        head, _, rest = got.partition(b"\r\n\r\n")
-        return _fields(head), rest
+        return _fields(bytes(got[:end])), bytes(got[end + 4 :])
 
 
 def _fields(head: bytes) -> dict[str, str]:
@@ -196,7 +205,8 @@ def _fields(head: bytes) -> dict[str, str]:
 
 
 _READ = (
-    "record_id string, record_type string, url string, refers_to string, payload_bytes bigint, payload_digest string, payload binary"
+    "record_id string, record_type string, url string, refers_to string, payload_bytes bigint, payload_digest string, payload binary, "
+    "path string"
 )
 
 
@@ -204,14 +214,20 @@ def records_in(file, path: str, start: int, end: int, payload: bool) -> Iterator
     """The records that start in a byte range.
 
     The digest of a response is computed from its payload and held against its header; that
-    of a revisit, and its length, are those of the payload it refers to.
+    of a revisit, and its length, are those of the payload it refers to. Records follow each
+    other without a gap, so whatever comes behind a record and is none is an error.
     """
     source = _Range(file, start, end)
-    at = source.candidate(start)
+    at, follows = source.candidate(start), False
     while at is not None:
         member = _Member(source, at)
-        found = member.head()
+        try:
+            found = member.head()
+        except (zlib.error, ValueError) as wrong:
+            raise ValueError(f"{path}: the record at byte {at} cannot be read: {wrong}") from wrong
         if found is None:
+            if follows:
+                raise ValueError(f"{path}: no record begins at byte {at}, where one ends")
             at = source.candidate(at + 1)
             continue
         fields, block = found
@@ -242,31 +258,42 @@ def records_in(file, path: str, start: int, end: int, payload: bool) -> Iterator
             if size != wanted or declared not in ("", digest):
                 raise ValueError(f"{path}: the record at byte {at} does not have the payload it declares")
         yield fields.get("warc-record-id"), kind, fields.get("warc-target-uri"), fields.get("warc-refers-to"), length, digest, content
-        at = source.candidate(member.end)
+        at, follows = source.candidate(member.end), True
+        if member.end < min(end, source.size) and at != member.end:
+            raise ValueError(f"{path}: no record begins at byte {member.end}, where one ends")
 
 
 def read(manifest: DataFrame, payload: bool = True, range_bytes: int = RANGE_BYTES) -> DataFrame:
-    """All records of the files in a manifest (path, bytes): ids, type, url, payload and its digest.
+    """All records of the files in a manifest (path, bytes): ids, type, url, payload and its digest,
+    and the path of the file.
 
     ``payload`` false leaves the payloads out (the digests are still computed from them).
-    A file that ends inside a record, or a payload that is not the one its header declares,
-    is an error.
+    Headers may have any length. A file of another size than the manifest has, one that ends
+    inside a record or has something between records, and a payload that is not the one its header
+    declares, are errors. An empty manifest has no records. ``complete`` holds the
+    records that were read against the manifest's numbers.
     """
-    starts = F.sequence(F.lit(0).cast("bigint"), F.greatest(F.col("bytes") - 1, F.lit(0)), F.lit(range_bytes).cast("bigint"))
-    ranges = manifest.where("bytes > 0").select("path", "bytes", F.explode(starts).alias("start"))
-    ranges = ranges.select("path", "start", F.least(F.col("start") + range_bytes, F.col("bytes")).alias("end"))
+    files = manifest.where("bytes > 0")
+    starts = F.sequence(F.lit(0).cast("bigint"), F.col("bytes") - 1, F.lit(range_bytes).cast("bigint"))
+    ranges = files.select("path", "bytes", F.explode(starts).alias("start"))
+    ranges = ranges.select("path", "bytes", "start", F.least(F.col("start") + range_bytes, F.col("bytes")).alias("end"))
+    # By number: adaptive execution would merge the tasks, as the rows that name the ranges are small.
+    n = files.agg(F.sum(F.ceil(F.col("bytes") / range_bytes))).first()[0] or 0
+    tasks = max(1, min(n, max(manifest.sparkSession.sparkContext.defaultParallelism * 4, n // RANGES_PER_TASK)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = [part.split()[0] for part in _READ.split(", ")]
-        kinds = [pa.string()] * 4 + [pa.int64(), pa.string(), pa.binary()]
+        kinds = [pa.string()] * 4 + [pa.int64(), pa.string(), pa.binary(), pa.string()]
         for batch in batches:
-            for path, start, end in zip(*[column(batch, c) for c in ("path", "start", "end")]):
+            for path, size, start, end in zip(*[column(batch, c) for c in ("path", "bytes", "start", "end")]):
                 store, place = fs.FileSystem.from_uri(path)
                 with store.open_input_file(place) as file:
+                    if file.size() != size:
+                        raise ValueError(f"{path}: {file.size()} bytes, but the manifest has {size}")
                     rows: list[tuple] = []
                     held = 0
                     for row in records_in(file, path, start, end, payload):
-                        rows.append(row)
+                        rows.append((*row, path))
                         held += len(row[-1] or b"")
                         if len(rows) >= 1000 or held > 1 << 23:
                             yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(zip(*rows), kinds)], names=names)
@@ -274,14 +301,28 @@ def read(manifest: DataFrame, payload: bool = True, range_bytes: int = RANGE_BYT
                     if rows:
                         yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(zip(*rows), kinds)], names=names)
 
-    return ranges.repartition("path", "start").mapInArrow(run, _READ)
+    return ranges.repartition(tasks, "path", "start").mapInArrow(run, _READ)
+
+
+def complete(records: DataFrame, manifest: DataFrame) -> None:
+    """An error unless each file of a manifest gave as many records as were written to it."""
+    found = records.groupBy("path").agg(F.count(F.lit(1)).alias("found"))
+    wrong = manifest.join(found, "path", "full").where("coalesce(found, 0) != coalesce(records, 0)").first()
+    if wrong is not None:
+        raise ValueError(f"{wrong.path}: {wrong.found or 0} records were read, {wrong.records or 0} written")
 
 
 def round_trip(pages: DataFrame, key: str = "page_id", url: str = "url", payload: str = "html") -> DataFrame:
-    """Write all pages to the shared folder and read the archives back, one row per record."""
+    """Write all pages to the shared folder and read the archives back, one row per record.
+
+    Fewer or more records than were written, in any file, are an error. A null payload is
+    empty, repeated rows and null keys are records like any other, and no page gives no row.
+    """
     manifest = write(pages, new_path(pages.sparkSession, "warc"), key, url, payload)
     page = lambda c: F.regexp_extract(c, r"^<urn:page:(-?\d+)>$", 1)
     number = lambda c: F.when(page(c) != "", page(c).cast("bigint"))
-    return read(manifest, payload=False).select(
+    records = keep(read(manifest, payload=False).drop("payload", "url"), "warc_records")
+    complete(records, manifest)
+    return records.select(
         number("record_id").alias(key), "payload_bytes", "payload_digest", "record_type", number("refers_to").alias("refers_to")
     )

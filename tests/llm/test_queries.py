@@ -255,6 +255,21 @@ def test_warc_payloads(spark):
     assert bytes(read["<urn:page:5>"].payload) == b"" and read["<urn:page:4>"].record_type == "revisit"
 
 
+def test_warc_files_are_held_against_the_manifest(spark):
+    from stockloom.sources.scratch import new_path
+
+    manifest = warc.write(tables.pages(spark).repartition(3), new_path(spark, "warc"))
+    records = warc.read(manifest, payload=False, range_bytes=700)
+    # Adaptive execution does not merge the tasks that read.
+    assert records.rdd.getNumPartitions() > 1
+    warc.complete(records, manifest)
+    with pytest.raises(ValueError, match="records were read"):
+        warc.complete(records, manifest.withColumn("records", F.col("records") + 1))
+    with pytest.raises(Exception, match="but the manifest has"):
+        warc.read(manifest.withColumn("bytes", F.col("bytes") + 1)).collect()
+    assert warc.read(manifest.limit(0)).count() == 0
+
+
 def _plain_katz(docs, training):
     texts = [(t or "").encode().lower().split() + [b" end"] for _, t in docs]
     one, two, follows = collections.Counter(), collections.Counter(), collections.Counter()

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -218,6 +219,30 @@ def test_warc_damage_is_an_error(tmp_path):
         list(warc.records_in(file, "a", 0, path.stat().st_size, False))
 
 
+@pytest.mark.parametrize("width", [50, 1 << 12, 1 << 22])
+def test_warc_headers_of_any_length(tmp_path, width):
+    path = tmp_path / "a.warc.gz"
+    long = "http://x/" + "".join(random.Random(2).choices("abcdefgh", k=(1 << 20) + 5))
+    path.write_bytes(b"".join(warc.record(i, url, b"body") for i, url in enumerate(["http://x/a", long, "http://x/b"])))
+    size = path.stat().st_size
+    with pa.OSFile(str(path)) as file:
+        read = [r for start in range(0, size, width) for r in warc.records_in(file, "a", start, min(size, start + width), False)]
+    assert [r[2] for r in read] == ["http://x/a", long, "http://x/b"]
+
+
+@pytest.mark.parametrize("damage", [
+    lambda a, b: a + b[:60],  # ends inside a header
+    lambda a, b: a + b[:4],  # ends before the version line
+    lambda a, b: a + b"junk" + b,
+    lambda a, b: a + b[:30] + bytes([b[30] ^ 255]) + b[31:],
+])
+def test_warc_what_is_no_record_is_an_error(tmp_path, damage):
+    path = tmp_path / "a.warc.gz"
+    path.write_bytes(damage(warc.record(1, "http://x/a", b"x" * 500), warc.record(2, "http://x/" + "b" * 300, b"y" * 500)))
+    with pa.OSFile(str(path)) as file, pytest.raises((ValueError, zlib.error)):
+        list(warc.records_in(file, "a", 0, path.stat().st_size, False))
+
+
 def test_hilbert_visits_neighbours():
     grid = np.array([[x, y, z] for x in range(8) for y in range(8) for z in range(8)])
     order = np.argsort(ann.hilbert(grid, 3))
