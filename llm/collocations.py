@@ -23,21 +23,19 @@ with the candidates. Nothing else comes to the driver but counts.
 from __future__ import annotations
 
 import itertools
-import re
-from collections import defaultdict
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-import xxhash
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from stockloom.sources.scratch import keep
 
 from . import double_array
 from .common import column
+from .phrase_words import END, OpenShard, slots_of, token_blocks, word_names
 
 #: Words of a phrase, and the least number of occurrences.
 LONGEST, LEAST = 4, 30
@@ -46,7 +44,7 @@ COVERED = 80
 #: A cut's score is this many times a / (l + r); results per language.
 SCALE, TOP = 2_000_000, 2000
 #: Tokens of a shard, characters that are split at a time, phrases of a trie.
-SHARD, BLOCK_CHARS, BLOCK = 1 << 21, 1 << 20, 1 << 19
+SHARD, BLOCK_CHARS, BLOCK = 1 << 20, 1 << 20, 1 << 19
 #: Positions of a shard that are looked at together, rows of counts that are handed over together.
 POSITIONS, ROWS = 1 << 17, 1 << 16
 #: Texts that are handed to Python together: a batch is held several times, in the JVM too.
@@ -57,27 +55,9 @@ UNKNOWN = "und"
 #: Goes into the words' hashes, with a number that changes if two words have the same.
 SALT = "words "
 
-# 0xFF is in no UTF-8 text: it stands for the end of a piece.
-_END = b"\xff"
-_FOLDED = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ.,;:!?\n\x0b\x0c\r", b"abcdefghijklmnopqrstuvwxyz" + _END * 10)
-_GAP = re.compile(rb"[\x20\x09\xff]")
 _SHARD = "lang string, tokens long, own long, words array<binary>, counts array<long>, names binary, ids binary"
 
 
-def token_blocks(text: bytes | None, chars: int = BLOCK_CHARS) -> Iterator[list[bytes]]:
-    """Words of a text in lower case, and 0xFF where a piece ends, in lists of bounded length.
-
-    Once the ends of pieces are replaced, space and tab are the only white space left
-    that ``split`` knows.
-    """
-    folded, start = (text or b"").translate(_FOLDED), 0
-    while start < len(folded):
-        cut = _GAP.search(folded, start + chars) if len(folded) - start > chars else None
-        end = cut.start() if cut else len(folded)
-        yield folded[start:end].replace(_END, b" \xff ").split()
-        start = end
-
-
 def _keep_by(rows: int, df: DataFrame, name: str) -> DataFrame:
     """``keep``, with so many rows in a batch for Python."""
     conf, setting = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
@@ -89,36 +69,13 @@ def _keep_by(rows: int, df: DataFrame, name: str) -> DataFrame:
         conf.set(setting, before)
 
 
-class _Open:
-    """A shard in the making. Number 0 is the end of a piece."""
-
-    def __init__(self, before: list[bytes] = ()):
-        self.numbers: defaultdict = defaultdict()
-        self.numbers.default_factory = self.numbers.__len__
-        self.numbers[_END]
-        self.ids = []
-        self.size = 0
-        if before:
-            self.add(before)
-
-    def add(self, words: list[bytes]) -> None:
-        self.ids.append(np.fromiter(map(self.numbers.__getitem__, words), dtype=np.int32, count=len(words)))
-        self.size += len(words)
-
-
-def word_names(salt: str, lang: str, words: Iterable[bytes]) -> np.ndarray:
-    """The hashes that stand for words; the same as Spark's ``xxhash64`` of salt, language and word."""
-    seed = xxhash.xxh64_intdigest(lang.encode(), xxhash.xxh64_intdigest(salt.encode(), 42))
-    return np.array([xxhash.xxh64_intdigest(word, seed) for word in words], dtype=np.uint64)
-
-
 def _shards(df: DataFrame, text: str, lang: str, size: int, longest: int, salt: str) -> DataFrame:
     """Every token is the first of phrases in just one shard; a shard that ends inside a
     text has some tokens beyond its own, which the next shard begins with."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = 0
-        open_: dict[str, _Open] = {}
+        open_: dict[str, OpenShard] = {}
 
         def closed(name: str, beyond: int) -> pa.RecordBatch:
             shard = open_.pop(name)
@@ -133,7 +90,7 @@ def _shards(df: DataFrame, text: str, lang: str, size: int, longest: int, salt:
         for batch in batches:
             for name, body in zip(column(batch, "lang"), column(batch, "text")):
                 last: list[bytes] = []
-                for words in token_blocks(body):
+                for words in token_blocks(body, BLOCK_CHARS):
                     if held >= size:
                         # Room for more: what a phrase may reach beyond its first token goes on in a new shard.
                         for other in list(open_):
@@ -141,13 +98,13 @@ def _shards(df: DataFrame, text: str, lang: str, size: int, longest: int, salt:
                                 yield closed(other, 0)
                         if name in open_:
                             yield closed(name, len(last))
-                            open_[name] = _Open(last)
+                            open_[name] = OpenShard(last)
                         held = len(last)
-                    open_.setdefault(name, _Open()).add(words)
+                    open_.setdefault(name, OpenShard()).add(words)
                     held += len(words)
                     last = (last + words)[-(longest - 1) :] if longest > 1 else []
                 if name in open_:
-                    open_[name].add([_END])
+                    open_[name].add([END])
                     held += 1
         for name in list(open_):
             yield closed(name, 0)
@@ -198,22 +155,13 @@ def _tries(candidates: DataFrame, depth: int, blocks: int) -> DataFrame:
     return keep(dealt.repartition(blocks, "block").sortWithinPartitions("block").mapInArrow(run, "block int, trie binary"), "phrase_tries")
 
 
-def _slots(columns: list[np.ndarray], bits: int) -> np.ndarray:
-    """The bit that stands for each phrase, given as one array of names per word."""
-    mixed = np.zeros(len(columns[0]), dtype=np.uint64)
-    for names in columns:
-        mixed = (mixed ^ names.view(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
-        mixed ^= mixed >> np.uint64(29)
-    return mixed >> np.uint64(64 - bits)
-
-
 def _bitmap(candidates: DataFrame, depth: int, bits: int) -> np.ndarray:
     """Words of 64 bits, in which the bits of all candidates are set. Its size is fixed."""
     columns = [f"w{m}" for m in range(1, depth + 1)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            slots = _slots([batch.column(m).to_numpy() for m in range(depth)], bits)
+            slots = slots_of([batch.column(m).to_numpy() for m in range(depth)], bits)
             values = (slots >> np.uint64(6)).view(np.int64), (np.uint64(1) << (slots & np.uint64(63))).view(np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(v) for v in values], names=["place", "bits"])
 
@@ -223,10 +171,15 @@ def _bitmap(candidates: DataFrame, depth: int, bits: int) -> np.ndarray:
     return bitmap.view(np.uint64)
 
 
-def _pass(shards: DataFrame, trie, candidates, bits: int, prolong: bool, least: int) -> DataFrame:
+def _pass(shards: DataFrame, trie, step: int, candidates, bits: int, prolong: bool, least: int) -> DataFrame:
     """Over all shards: occurrences of each phrase of the trie (next null), and of each phrase
     with a word after it, where the phrase from its second word on may be a candidate; counts
-    of ``least`` and more."""
+    of ``least`` and more.
+
+    Phrase and word share one number, which shuffles in few bytes: the phrase's place times
+    ``step`` (one more than the trie's words), plus the word's symbol and one; nothing is added
+    for a phrase without a next word.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, bitmap = trie.value, candidates.value
@@ -249,39 +202,35 @@ def _pass(shards: DataFrame, trie, candidates, bits: int, prolong: bool, least:
                     at += start
                     inside = at + depth < len(ids)
                     at, phrase = at[inside], phrase[inside]
-                    slots = _slots([names[ids[at + m]] for m in range(1, depth + 1)], bits)
+                    slots = slots_of([names[ids[at + m]] for m in range(1, depth + 1)], bits)
                     following = ids[at + depth]
                     safe = (following > 0) & (bitmap[slots >> np.uint64(6)] >> (slots & np.uint64(63)) & np.uint64(1)).astype(bool)
                     keys.append(phrase[safe] * np.int64(len(names)) + following[safe])
                 seen = np.flatnonzero(counts)
-                yield from counted(seen, None, None, counts[seen])
+                yield from counted(seen * step, None, counts[seen])
                 if keys:
                     keys, times = np.unique(np.concatenate(keys), return_counts=True)
-                    following = keys % len(names)
-                    yield from counted(keys // len(names), of_word[following], names[following], times)
-
-    def counted(phrase: np.ndarray, symbol: np.ndarray | None, name: np.ndarray | None, n: np.ndarray) -> Iterator[pa.RecordBatch]:
-        # Small numbers shuffle in half the bytes: a word goes by its symbol if this trie has one.
-        for start in range(0, len(phrase), ROWS):
-            part = slice(start, start + ROWS)
-            if symbol is None:
-                after = [pa.nulls(len(phrase[part]), pa.int64())] * 2
-            else:
-                has_one = symbol[part] >= 0
-                after = [pa.array(symbol[part], pa.int64(), mask=~has_one), pa.array(name[part], pa.int64(), mask=has_one)]
-            yield pa.RecordBatch.from_arrays([pa.array(phrase[part], pa.int64()), *after, pa.array(n[part], pa.int64())], names=["phrase", "symbol", "next", "n"])
+                    phrase, following = np.divmod(keys, len(names))
+                    symbol = of_word[following]
+                    # A word without a symbol in this trie goes by its name.
+                    yield from counted(phrase * step + symbol + 1, pa.array(names[following], pa.int64(), mask=symbol >= 0), times)
+
+    def counted(key: np.ndarray, after: pa.Array | None, n: np.ndarray) -> Iterator[pa.RecordBatch]:
+        for start in range(0, len(key), ROWS):
+            part = key[start : start + ROWS]
+            name = pa.nulls(len(part), pa.int64()) if after is None else after.slice(start, len(part))
+            yield pa.RecordBatch.from_arrays([pa.array(part, pa.int64()), name, pa.array(n[start : start + ROWS], pa.int64())], names=["key", "next", "n"])
 
     def spelled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = trie.value
         for batch in batches:
-            symbol = batch.column(1)
-            of_symbol = pa.array(known.words[symbol.fill_null(0).to_numpy(zero_copy_only=False)], pa.int64())
-            after = pc.if_else(symbol.is_valid(), of_symbol, batch.column(2))
-            names = pa.array(known.names[batch.column(0).to_numpy()], pa.int64())
-            yield pa.RecordBatch.from_arrays([names, after, batch.column(3)], names=["name", "next", "n"])
-
-    rows = shards.select("own", "names", "ids").mapInArrow(run, "phrase long, symbol long, next long, n long")
-    summed = rows.groupBy("phrase", "symbol", "next").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
+            phrase, symbol = np.divmod(batch.column(0).to_numpy(), step)
+            of_symbol = pa.array(known.words[np.maximum(symbol - 1, 0)], pa.int64(), mask=symbol == 0)
+            names = pa.array(known.names[phrase], pa.int64())
+            yield pa.RecordBatch.from_arrays([names, pc.coalesce(of_symbol, batch.column(1)), batch.column(2)], names=["name", "next", "n"])
+
+    rows = shards.select("own", "names", "ids").mapInArrow(run, "key long, next long, n long")
+    summed = rows.groupBy("key", "next").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
     # A row is a whole shard: one at a time goes to Python, not all of a task.
     summed = _keep_by(1, summed, "phrase_sums")
     return summed.mapInArrow(spelled, "name long, next long, n long")
@@ -303,8 +252,9 @@ def phrase_counts(shards: DataFrame, words: DataFrame, longest: int, least: int,
             row = tries.where(F.col("block") == number).first()
             if row is None:
                 continue
-            trie = spark.sparkContext.broadcast(double_array.Trie.read(row.trie))
-            counts = _pass(shards, trie, bitmap, bits, depth < longest, least)
+            known = double_array.Trie.read(row.trie)
+            trie = spark.sparkContext.broadcast(known)
+            counts = _pass(shards, trie, len(known.words) + 1, bitmap, bits, depth < longest, least)
             counted.append(keep(counts, "phrase_counts"))
             trie.destroy()
         bitmap.destroy()
