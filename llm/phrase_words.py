@@ -18,7 +18,7 @@ _FOLDED = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ.,;:!?\n\x0b\x0c\r", b"abc
 _GAP = re.compile(rb"[\x20\x09\xff]")
 
 
-def token_blocks(text: bytes | None, chars: int) -> Iterator[list[bytes]]:
+def token_blocks(text: bytes | None, chars: int = 1 << 20) -> Iterator[list[bytes]]:
     """Words of a text in lower case, and 0xFF where a piece ends, in lists of bounded length.
 
     Once the ends of pieces are replaced, space and tab are the only white space left
