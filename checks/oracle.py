@@ -426,6 +426,30 @@ select company, model, count(*) as test_lines, true as at_least_zero, true as wh
 from last_demand cross join (values {named}) as m(model) group by 1, 2"""
 
 
+SPOILT = {
+    "NET_VALUE": ("product = 'Brand#13' and channel = 'BUILDING'", "'12,5'", "not a number"),
+    "COST": ("\"round\" % 7 = 0 and company = 'ASIA'", "'n/a'", "not a number"),
+    "SIM_ROUND": ("product = 'Brand#22' and channel = 'MACHINERY'", "cast(\"round\" as varchar) || '.5'", "not a whole number"),
+}
+
+
+def _csv_rejects() -> str:
+    cells = [
+        f"select 'sales' as table_name, '{field}' as field, {cell} as cell, '{reason}' as reason from sales where {where}"
+        for field, (where, cell, reason) in SPOILT.items()
+    ]
+    return "select table_name, field, cell, reason, count(*) as n from (" + " union all ".join(cells) + ") group by all"
+
+
+def _without_spoilt(sql: str) -> str:
+    """The same over the sales whose cells can be read."""
+    bad = " or ".join(f"coalesce({where}, false)" for where, _, _ in SPOILT.values())
+    every = "select * from view_once union all select * from view_once where taken_twice"
+    if sql.count(every) != 1:
+        raise ValueError("the sales are not where they were")
+    return sql.replace(every, f"select * from ({every}) where not ({bad})")
+
+
 def oracle_sql() -> dict[str, str]:
     from .queries import ONE_COMPANY
     from .star import VARIANTS
@@ -441,6 +465,8 @@ def oracle_sql() -> dict[str, str]:
     )
     feature_columns = base.fact_columns() + ", running_stock, demand_lag1, market_price_lag1, marketing_lag1, trend"
     sql = {
+        "csv_rejects": f"{base.upto_fact()}\n{_csv_rejects()}",
+        "csv_sales_lines": _without_spoilt(f"{base.upto_fact()}\nselect * from lines"),
         "sales_lines": f"{base.upto_fact()}\nselect * from lines",
         "production_by_round": f"{base.upto_fact()}\nselect * from production_by_round",
         "marketing_by_round": f"{base.upto_fact()}\nselect * from marketing_by_round",

@@ -20,10 +20,11 @@ from stockloom.plans.fact import sales_fact
 from stockloom.plans.features import demand_features, running_stock
 from stockloom.plans.forecasting import forecast, forecast_encoded, forecast_metrics, prepare_training
 from stockloom.plans.ridge import predicted, ridge_weights
+from stockloom.sources.rejects import Loaded, read_csv_tables
 from stockloom.sources.reports import write_report
 from stockloom.sources.scratch import keep, new_path
 
-from .star import VARIANTS, star_tables
+from .star import VARIANTS, raw_tables, star_tables
 
 ONE_COMPANY = "EUROPE"
 Query = Callable[[SparkSession, str], DataFrame]
@@ -206,6 +207,31 @@ def _report_export(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.schema(f"{schema}, model string").option("header", True).csv(path)
 
 
+def _from_csv(spark: SparkSession, sf_dir: str) -> Loaded:
+    """All tables as CSV files, in which some cells of the sales are spoilt; read back."""
+    raw = raw_tables(spark, sf_dir)
+    product, channel, rounds = F.col("MATERIAL_CODE"), F.col("DISTRIBUTION_CHANNEL"), F.col("SIM_ROUND")
+    spoilt = {
+        "NET_VALUE": F.when((product == "Brand#13") & (channel == "BUILDING"), "12,5"),
+        "COST": F.when((rounds % 7 == 0) & (F.col("SALES_ORGANIZATION") == "ASIA"), "n/a"),
+        "SIM_ROUND": F.when((product == "Brand#22") & (channel == "MACHINERY"), F.concat(rounds.cast("string"), F.lit(".5"))),
+    }
+    raw["sales"] = raw["sales"].withColumns({name: F.coalesce(cell, F.col(name).cast("string")) for name, cell in spoilt.items()})
+    root = new_path(spark, "csv_tables")
+    for name, df in raw.items():
+        df.write.option("header", True).csv(f"{root}/{name}")
+    return read_csv_tables(spark, root)
+
+
+def _csv_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rejects = _from_csv(spark, sf_dir).rejects
+    return rejects.groupBy("table_name", "field", "cell", "reason").agg(F.count(F.lit(1)).alias("n"))
+
+
+def _csv_sales_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return aggregates.sales_lines(_from_csv(spark, sf_dir).tables.sales)
+
+
 def _company_comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
     features = _kept(spark, sf_dir)
     return comparison.company_comparison(product_rounds(features), forecast(features, "ridge"))
@@ -253,6 +279,8 @@ def queries() -> dict[str, Query]:
         "prepared_features": _prepared_features,
         "prepared_features_with_gaps": lambda spark, sf_dir: _prepared_features(spark, sf_dir, gaps=True),
         "report_export": _report_export,
+        "csv_rejects": _csv_rejects,
+        "csv_sales_lines": _csv_sales_lines,
         "planning_identities": _planning_identities,
         "ridge_optimality": _ridge_optimality,
         "forecast_checks": _forecast_checks(("ridge", "forest")),

@@ -86,6 +86,11 @@ def _sales_view(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def star_tables(spark: SparkSession, sf_dir: str, variant: str = "base") -> Tables:
     """The five tables of one schema variant, lazily read and checked."""
+    return Tables.conform(**raw_tables(spark, sf_dir, variant))
+
+
+def raw_tables(spark: SparkSession, sf_dir: str, variant: str = "base") -> dict[str, DataFrame]:
+    """The same with the headers they come with."""
     read = partial(_read, spark, sf_dir)
     view = _sales_view(spark, sf_dir)
     sales = view.drop("AMOUNT", "COPY")
@@ -136,6 +141,4 @@ def star_tables(spark: SparkSession, sf_dir: str, variant: str = "base") -> Tabl
         sales = sales.drop("AREA", "NET_PRICE", "CONTRIBUTION_MARGIN", "MATERIAL_DESCRIPTION")
     elif variant != "base":
         raise ValueError(f"unknown variant: {variant}")
-    return Tables.conform(
-        sales=sales, production=production, inventory=inventory, market=market, marketing=marketing
-    )
+    return {"sales": sales, "production": production, "inventory": inventory, "market": market, "marketing": marketing}

@@ -41,6 +41,7 @@ from .plans.planning import (
 )
 from .plans.workbench import Workbench
 from .sources.contract import ContractError
+from .sources.rejects import Loaded, read_csv_tables
 from .sources.reports import write_report
 from .sources.scratch import release
 from .sources.tables import Tables, catalog_tables, read_tables
@@ -48,6 +49,7 @@ from .sources.tables import Tables, catalog_tables, read_tables
 __all__ = [
     "ContractError",
     "Forecast",
+    "Loaded",
     "MODELS",
     "Tables",
     "Workbench",
@@ -79,6 +81,7 @@ __all__ = [
     "profile_numeric",
     "profile_sales_text",
     "profile_text",
+    "read_csv_tables",
     "read_tables",
     "release",
     "requirement_recap",
