@@ -277,6 +277,12 @@ def _matrix(measure: str) -> str:
     return f'select company, "round", {sums} from features group by 1, 2'
 
 
+def _matrix_blocks(measure: str, width: int) -> str:
+    place = "dense_rank() over (partition by company order by product) - 1"
+    return f"""select company, "round", cast(({place}) // {width} as integer) as block, product, {measure}
+from (select company, "round", product, {total(measure)} as {measure} from features group by all)"""
+
+
 def _median(values: str) -> str:
     """The median of a sorted list."""
     return f"({values}[(len({values}) + 1) // 2] + {values}[len({values}) // 2 + 1]) / 2"
@@ -480,6 +486,8 @@ def oracle_sql() -> dict[str, str]:
 select company, count(distinct "round") as rounds, count(distinct product) as products, count(*) as records
 from features group by company""",
         "demand_matrix": f"{features}\n{_matrix('demand')}",
+        "demand_matrix_blocks": f"{features}\n{_matrix_blocks('demand', 10)}",
+        "sales_matrix_blocks": f"{features}\n{_matrix_blocks('net_sales', 10)}",
         "sales_matrix": f"{features}\n{_matrix('net_sales')}",
         "profile_numeric": f"{features}\n{_profile_numeric()}",
         "profile_text": f"{features}{_profile_text()}",

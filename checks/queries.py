@@ -83,6 +83,16 @@ def _products(report: Callable[[DataFrame, list], DataFrame]) -> Callable[[DataF
     return query
 
 
+def _unnested(measure: str, width: int) -> Callable[[DataFrame], DataFrame]:
+    """The cells of a matrix in blocks, one row each."""
+
+    def query(rounds: DataFrame) -> DataFrame:
+        blocks = exploration.matrix_blocks(keep(rounds, "sales_rounds"), measure, width)
+        return blocks.select("company", "round", "block", F.explode("cells").alias("product", measure))
+
+    return query
+
+
 def _of_rounds(report: Callable[[DataFrame], DataFrame]) -> Query:
     return lambda spark, sf_dir: report(_rounds(spark, sf_dir))
 
@@ -263,6 +273,8 @@ def queries() -> dict[str, Query]:
         "sales_by_round": _of_sales(exploration.sales_by_round),
         "demand_matrix": _of_sales(_products(exploration.demand_matrix)),
         "sales_matrix": _of_sales(_products(exploration.sales_matrix)),
+        "demand_matrix_blocks": _of_sales(_unnested("demand", 10)),
+        "sales_matrix_blocks": _of_sales(_unnested("net_sales", 10)),
         "profile_numeric": lambda spark, sf_dir: exploration.profile_numeric(_kept(spark, sf_dir)),
         "profile_text": _of_table(exploration.profile_sales_text, "sales"),
         "last_round_stock": _of_rounds(exploration.last_round_stock),

@@ -25,6 +25,7 @@ from .plans.exploration import (
     profile_sales_text,
     profile_text,
     sales_by_round,
+    matrix_blocks,
     sales_matrix,
 )
 from .plans.fact import sales_fact
@@ -89,6 +90,7 @@ __all__ = [
     "sales_by_round",
     "sales_fact",
     "sales_lines",
+    "matrix_blocks",
     "sales_matrix",
     "sales_rounds",
     "write_report",

@@ -8,6 +8,7 @@ from ..functions.expressions import exact_mean, round_half_even
 from ..operators import aggregates
 from ..operators.aggregates import LINE_KEYS
 from ..operators.encoding import long_form
+from ..operators.ordered import along_order, in_order
 from ..operators.quantiles import exact_quantiles
 from ..operators.rollup import first_lines, last_rounds
 from ..sources.contract import is_number
@@ -71,6 +72,25 @@ def sales_matrix(rounds: DataFrame, products: list) -> DataFrame:
     return _matrix(rounds, "net_sales", products)
 
 
+def matrix_blocks(rounds: DataFrame, measure: str, width: int = 1000) -> DataFrame:
+    """A matrix of any number of products: company, round, block and ``cells``, a map of product to value.
+
+    The products of a company stand in the order of their names, ``width`` to a block (from 0);
+    a round has a row for each block in which it has a product, and no cell where
+    there is none. The names are numbered in slices, so nothing is collected and no row outgrows
+    a block. Lines without a product are in no cell; no lines give no row.
+    """
+    if width < 1:
+        raise ValueError("a block has at least one product")
+    rounds = rounds.where(F.col("product").isNotNull())
+    names = in_order(rounds.select("company", "product").distinct(), ["company", "product"], "matrix_products")
+    places = along_order(names, ["company"], running={"place": F.lit(1)})
+    blocks = places.select("company", "product", F.floor((F.col("place") - 1) / width).cast("int").alias("block"))
+    sums = rounds.groupBy("company", "round", "product").agg(F.sum(measure).cast("double").alias("value"))
+    cells = F.map_from_entries(F.array_sort(F.collect_list(F.struct("product", "value"))))
+    return sums.join(blocks, ["company", "product"]).groupBy("company", "round", "block").agg(cells.alias("cells"))
+
+
 def numeric_columns(features: DataFrame, leave_out: tuple[str, ...] = NOT_PROFILED) -> list[str]:
     return [f.name for f in features.schema.fields if is_number(f.dataType) and f.name not in leave_out]
 

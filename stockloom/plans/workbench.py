@@ -105,6 +105,9 @@ class Workbench:
     def sales_matrix(self, products: list) -> DataFrame:
         return exploration.sales_matrix(self.rounds, products)
 
+    def matrix_blocks(self, measure: str, width: int = 1000) -> DataFrame:
+        return exploration.matrix_blocks(self.rounds, measure, width)
+
     def profile_numeric(self) -> DataFrame:
         return exploration.profile_numeric(self.features)
 

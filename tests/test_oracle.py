@@ -17,7 +17,7 @@ from checks.star import VARIANTS
 from stockloom import Workbench, planning_indicators, planning_table, product_forecast
 from stockloom.operators.aggregates import DELIVERED_KEY
 
-WITHOUT_SQL = {"forecast_ridge", "forecast_forest", "forecast_boosting", "company_comparison", "model_comparison"}
+WITHOUT_SQL = {"forecast_forest", "forecast_boosting", "company_comparison", "model_comparison"}
 
 
 @pytest.fixture(scope="module")
@@ -40,7 +40,7 @@ def test_exploration(duck, bench, name):
     check(duck, {"overview": "company_overview"}.get(name, name), getattr(bench, name)())
 
 
-@pytest.mark.parametrize("name", ["company_overview", "demand_matrix", "sales_matrix", "demand_by_round", "profile_text"])
+@pytest.mark.parametrize("name", ["company_overview", "demand_matrix", "sales_matrix", "demand_matrix_blocks", "sales_matrix_blocks", "demand_by_round", "profile_text"])
 def test_exploration_of_the_sales_alone(spark, duck, small_dir, name):
     report = queries()[name](spark, small_dir)
     check(duck, name, report)
@@ -79,7 +79,7 @@ def test_variants(spark, duck, small_dir, variant):
     check(duck, f"demand_features_{variant}", queries()[f"demand_features_{variant}"](spark, small_dir))
 
 
-@pytest.mark.parametrize("name", ["sales_lines", "marketing_by_round", "market_price_company", "opening_stock_global", "forecast_metrics", "prepared_features", "prepared_features_with_gaps", "production_by_round", "report_export", "planning_identities", "forecast_checks", "ridge_optimality"])
+@pytest.mark.parametrize("name", ["sales_lines", "marketing_by_round", "market_price_company", "opening_stock_global", "forecast_metrics", "prepared_features", "prepared_features_with_gaps", "production_by_round", "report_export", "planning_identities", "forecast_checks", "ridge_optimality", "csv_rejects", "csv_sales_lines"])
 def test_other_queries(spark, duck, small_dir, name):
     check(duck, name, queries()[name](spark, small_dir))
 
