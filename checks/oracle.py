@@ -432,6 +432,17 @@ select company, model, count(*) as test_lines, true as at_least_zero, true as wh
 from last_demand cross join (values {named}) as m(model) group by 1, 2"""
 
 
+def _trees(features: str, model: str, trees: int) -> str:
+    """As many trees as the model has; boosting's first one starts at the mean of all training lines."""
+    first = """, count_if(not is_test) as training_lines,
+  round_even(sum(demand) filter (not is_test) / count_if(not is_test), 6) as value""" if model == "boosting" else ""
+    return f"""{features},
+{LAST_ROUNDS},
+{MARKED}
+select company, '{model}' as model, count_if(is_test) as test_lines, true as walks_agree, {trees} as trees{first}
+from marked group by company"""
+
+
 SPOILT = {
     "NET_VALUE": ("product = 'Brand#13' and channel = 'BUILDING'", "'12,5'", "not a number"),
     "COST": ("\"round\" % 7 = 0 and company = 'ASIA'", "'n/a'", "not a number"),
@@ -541,6 +552,8 @@ from indicators""",
         "ridge_optimality": _ridge_optimality(features),
         "forecast_checks": _forecast_checks(planned, ("ridge", "forest")),
         "forecast_checks_boosting": _forecast_checks(planned, ("boosting",)),
+        "forest_trees": _trees(features, "forest", 100),
+        "boosting_trees": _trees(features, "boosting", 200),
         "demand_features_one_company": f"""{features}
 select {feature_columns} from features where company = '{ONE_COMPANY}'""",
     }

@@ -20,6 +20,7 @@ from stockloom.plans.fact import sales_fact
 from stockloom.plans.features import demand_features, running_stock
 from stockloom.plans.forecasting import forecast, forecast_encoded, forecast_metrics, prepare_training
 from stockloom.plans.ridge import predicted, ridge_weights
+from stockloom.plans.trees import fitted_trees, score_trees
 from stockloom.sources.rejects import Loaded, read_csv_tables
 from stockloom.sources.reports import write_report
 from stockloom.sources.scratch import keep, new_path
@@ -167,6 +168,29 @@ def _forecast_checks(models: tuple[str, ...]) -> Query:
     return query
 
 
+def _trees(model: str) -> Query:
+    """Each company's trees as a table: how many, where the first one starts, and whether all of
+    them, walked from that table, say of each line of the last round what the model said."""
+
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        encoded = prepare_training(_kept(spark, sf_dir))
+        trees = fitted_trees(encoded, model)
+        walked = score_trees(encoded.lines.where("is_test"), encoded, trees.nodes)
+        said = trees.forecast.all_lines().select("company", "line_no", F.col("prediction").alias("said"))
+        far = F.abs(F.greatest("prediction", F.lit(0.0)) - F.col("said")) > 1e-9 * (1 + F.col("said"))
+        lines = walked.join(said, ["company", "line_no"], "left").groupBy("company", "model").agg(
+            F.count(F.lit(1)).alias("test_lines"), F.bool_and(F.coalesce(~far, F.lit(False))).alias("walks_agree")
+        )
+        is_first = (F.col("tree") == 0) & (F.col("node") == 0)
+        first = [F.max(F.when(is_first, F.col(c))).alias(c) for c in ("training_lines", "value")]
+        roots = trees.nodes.groupBy("company").agg(F.countDistinct("tree").alias("trees"), *(first if model == "boosting" else []))
+        if model == "boosting":
+            roots = roots.withColumn("value", round_half_even("value", 6))
+        return lines.join(roots, "company")
+
+    return query
+
+
 def _ridge_optimality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """For each company and feature slot: is the gradient of the penalised loss 0 at the fitted weights?
 
@@ -297,6 +321,8 @@ def queries() -> dict[str, Query]:
         "ridge_optimality": _ridge_optimality,
         "forecast_checks": _forecast_checks(("ridge", "forest")),
         "forecast_checks_boosting": _forecast_checks(("boosting",)),
+        "forest_trees": _trees("forest"),
+        "boosting_trees": _trees("boosting"),
         "forecast_ridge": _forecast_ridge,
         "forecast_forest": _forecast("forest"),
         "forecast_boosting": _forecast("boosting"),

@@ -40,6 +40,7 @@ from .plans.planning import (
     product_forecast,
     requirement_recap,
 )
+from .plans.trees import FittedTrees, fitted_trees, score_trees
 from .plans.workbench import Workbench
 from .sources.contract import ContractError
 from .sources.rejects import Loaded, read_csv_tables
@@ -50,6 +51,7 @@ from .sources.tables import Tables, catalog_tables, read_tables
 __all__ = [
     "ContractError",
     "Forecast",
+    "FittedTrees",
     "Loaded",
     "MODELS",
     "Tables",
@@ -64,6 +66,7 @@ __all__ = [
     "demand_matrix",
     "demand_timeline",
     "financial_summary",
+    "fitted_trees",
     "forecast",
     "forecast_metrics",
     "forecast_vs_history",
@@ -93,5 +96,6 @@ __all__ = [
     "matrix_blocks",
     "sales_matrix",
     "sales_rounds",
+    "score_trees",
     "write_report",
 ]

@@ -17,6 +17,7 @@ from . import comparison, exploration, planning
 from .fact import sales_fact
 from .features import demand_features
 from .forecasting import Forecast, Ledger, forecast_encoded, forecast_metrics, prepare_training
+from .trees import FittedTrees, fitted_trees, score_trees
 
 
 class Workbench:
@@ -33,6 +34,7 @@ class Workbench:
         self.company = company
         self.store = Store(tables.sales.sparkSession, store) if store else None
         self._forecasts: dict[str, Forecast] = {}
+        self._trees: dict[str, FittedTrees] = {}
 
     @cached_property
     def _places(self) -> dict[str, str | None]:
@@ -76,11 +78,25 @@ class Workbench:
 
     def forecast(self, model: str) -> Forecast:
         if model not in self._forecasts:
-            place = self._places["fits"] if self.store else None
-            ledger = Ledger(self.store, f"{place}/{model}") if place else None
-            self._forecasts[model] = forecast_encoded(self.encoded, model, self.company, ledger=ledger)
+            self._forecasts[model] = forecast_encoded(self.encoded, model, self.company, ledger=self._ledger(model))
         return self._forecasts[model]
 
+    def _ledger(self, fits: str) -> Ledger | None:
+        place = self._places["fits"] if self.store else None
+        return Ledger(self.store, f"{place}/{fits}") if place else None
+
+    def fitted(self, model: str) -> FittedTrees:
+        """The forest or the boosted trees of each company, kept as a table; the model's reports use the same fit."""
+        if model not in self._trees:
+            ledger = self._ledger(f"{model}-trees")
+            self._trees[model] = fitted_trees(self.encoded, model, self.company, ledger=ledger)
+            self._forecasts[model] = self._trees[model].forecast
+        return self._trees[model]
+
+    def fitted_lines(self, model: str) -> DataFrame:
+        """All lines, those of the training rounds too, with what the trees say of them."""
+        return score_trees(self.encoded.lines, self.encoded, self.fitted(model).nodes)
+
     def metrics(self, model: str) -> DataFrame:
         return forecast_metrics(self.forecast(model).all_lines())
 

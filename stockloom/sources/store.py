@@ -81,6 +81,10 @@ class Store:
         at = self.spark._jvm.org.apache.hadoop.fs.Path(path)
         return at, at.getFileSystem(self.spark._jsc.hadoopConfiguration())
 
+    def exists(self, path: str) -> bool:
+        at, system = self._at(path)
+        return system.exists(at)
+
     def read(self, path: str) -> str | None:
         """A small text file, if it is there."""
         at, system = self._at(path)

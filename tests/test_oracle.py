@@ -79,7 +79,7 @@ def test_variants(spark, duck, small_dir, variant):
     check(duck, f"demand_features_{variant}", queries()[f"demand_features_{variant}"](spark, small_dir))
 
 
-@pytest.mark.parametrize("name", ["sales_lines", "marketing_by_round", "market_price_company", "opening_stock_global", "forecast_metrics", "prepared_features", "prepared_features_with_gaps", "production_by_round", "report_export", "planning_identities", "forecast_checks", "ridge_optimality", "csv_rejects", "csv_sales_lines"])
+@pytest.mark.parametrize("name", ["sales_lines", "marketing_by_round", "market_price_company", "opening_stock_global", "forecast_metrics", "prepared_features", "prepared_features_with_gaps", "production_by_round", "report_export", "planning_identities", "forecast_checks", "forest_trees", "ridge_optimality", "csv_rejects", "csv_sales_lines"])
 def test_other_queries(spark, duck, small_dir, name):
     check(duck, name, queries()[name](spark, small_dir))
 
