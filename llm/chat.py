@@ -44,7 +44,9 @@ class Layout:
 
     ``turns`` are (role, paths): the texts at the paths, those that are there, make one turn,
     joined by line breaks. With ``each``, every element of that list is a turn with its
-    role and text at the two paths of ``turns``. An empty ``each`` is the record itself.
+    role and text at the two paths of ``turns``. An empty ``each`` is the record itself. Without
+    ``role`` the elements are texts, of a user and an assistant in turn. ``beside`` are fields
+    that may be there too and add nothing: they repeat what the mapping reads, or describe it.
     """
 
     name: str
@@ -54,17 +56,22 @@ class Layout:
     each: str | None = None
     role: str = ""
     text: str = ""
+    beside: tuple[str, ...] = ()
 
 
+# Where fields of two layouts stand together, the one that says more is read: messages before a
+# prompt, instructions before a text that renders them.
 LAYOUTS = (
-    Layout("turn", ("role",), ("text",), each="", role="role", text="text"),
+    Layout("turn", ("role",), ("text",), each="", role="role", text="text", beside=("context",)),
     Layout("turn_text", ("text",), (), each="", role="role", text="text"),
-    Layout("messages", ("messages[].role",), ("messages[].content", "system"), (("system", ("system",)),), "messages", "role", "content"),
-    Layout("conversations", ("conversations[].from",), ("conversations[].value", "system"), (("system", ("system",)),), "conversations", "from", "value"),
-    Layout("prompt_response", ("prompt",), ("response", "system"), (("system", ("system",)), ("user", ("prompt",)), ("assistant", ("response",)))),
-    Layout("prompt_completion", ("prompt", "completion"), ("system",), (("system", ("system",)), ("user", ("prompt",)), ("assistant", ("completion",)))),
-    Layout("instruction", ("instruction",), ("input", "output", "system"), (("system", ("system",)), ("user", ("instruction", "input")), ("assistant", ("output",)))),
-    Layout("question_answer", ("question", "answer"), ("system",), (("system", ("system",)), ("user", ("question",)), ("assistant", ("answer",)))),
+    Layout("messages", ("messages[].role",), ("messages[].content", "system"), (("system", ("system",)),), "messages", "role", "content", ("prompt", "text")),
+    Layout("message_texts", ("messages[]",), ("system",), (("system", ("system",)),), "messages", beside=("prompt", "text")),
+    Layout("conversations", ("conversations[].from",), ("conversations[].value", "system"), (("system", ("system",)),), "conversations", "from", "value", ("prompt", "text")),
+    Layout("prompt_response", ("prompt",), ("response", "system"), (("system", ("system",)), ("user", ("prompt",)), ("assistant", ("response",))), beside=("text",)),
+    Layout("prompt_completion", ("prompt", "completion"), ("system",), (("system", ("system",)), ("user", ("prompt",)), ("assistant", ("completion",))), beside=("text",)),
+    Layout("instruction", ("instruction",), ("input", "output", "system"), (("system", ("system",)), ("user", ("instruction", "input")), ("assistant", ("output",))), beside=("text",)),
+    Layout("instruction_context", ("instruction",), ("context", "response", "system"), (("system", ("system",)), ("user", ("instruction", "context")), ("assistant", ("response",))), beside=("text",)),
+    Layout("question_answer", ("question", "answer"), ("context", "system"), (("system", ("system",)), ("user", ("context", "question")), ("assistant", ("answer",))), beside=("text",)),
 )
 
 
@@ -85,14 +92,15 @@ def fingerprint(paths) -> int:
 def _selections() -> dict[int, Layout]:
     found: dict[int, Layout] = {}
     for layout in LAYOUTS:
-        for n in range(len(layout.optional) + 1):
-            for some in combinations(layout.optional, n):
+        others = (*layout.optional, *layout.beside)
+        for n in range(len(others) + 1):
+            for some in combinations(others, n):
                 found.setdefault(fingerprint({*layout.required, *some}), layout)
     return found
 
 
 SELECTIONS = _selections()
-_KNOWN = frozenset(p for layout in LAYOUTS for p in (*layout.required, *layout.optional))
+_KNOWN = frozenset(p for layout in LAYOUTS for p in (*layout.required, *layout.optional, *layout.beside))
 
 
 def layout_of(record) -> Layout | None:
@@ -117,8 +125,12 @@ def turns_of(record) -> list[tuple[str, str]]:
         if texts:
             found.append((role, "\n".join(texts)))
     if layout.each is not None:
-        for item in record[layout.each] if layout.each else [record]:
-            if isinstance(item, dict):
+        for place, item in enumerate(record[layout.each] if layout.each else [record]):
+            if layout.each and not layout.role:
+                # A null is a turn that is not there; those after it keep their roles.
+                if item is not None:
+                    found.append((("user", ASSISTANT)[place % 2], _as_text(item)))
+            elif isinstance(item, dict):
                 role = _as_text(item.get(layout.role))
                 found.append((ROLES.get(role, role) if layout.each else role, _as_text(item.get(layout.text))))
     return found
@@ -160,11 +172,21 @@ def parse(formatted: str) -> Iterator[tuple[str, str]]:
         at = end + len(CLOSE)
 
 
+def _parsed(raw: str | None) -> tuple[object, list[tuple[str, str]]]:
+    """The value of a record's text (None if it is no JSON) and its turns."""
+    try:
+        value = json.loads(raw) if raw else None
+    except (ValueError, RecursionError):
+        value = None
+    return value, turns_of(value) if isinstance(value, dict) else []
+
+
 def pieces(df: DataFrame, keys: list[str], record: str = "record") -> DataFrame:
     """The formatted text of JSON records, in pieces: the keys, ``place`` (the turn's place in
     its record), ``piece``, ``loss_start`` and ``loss_end`` (characters within the piece).
 
-    Text that is no JSON object, and records whose fields select no mapping, have no pieces.
+    Text that is no JSON object, and records whose fields select no mapping, have no pieces:
+    they are the rows of ``unmapped``.
     """
     schema = T.StructType(
         [df.schema[k] for k in keys]
@@ -180,11 +202,7 @@ def pieces(df: DataFrame, keys: list[str], record: str = "record") -> DataFrame:
         for batch in batches:
             rows, out = [], [[], [], [], []]
             for row, raw in enumerate(column(batch, record)):
-                try:
-                    value = json.loads(raw) if raw else None
-                except ValueError:
-                    value = None
-                for place, turn in enumerate(turns_of(value) if isinstance(value, dict) else []):
+                for place, turn in enumerate(_parsed(raw)[1]):
                     rows.append(row)
                     for values, item in zip(out, (place, *piece_of(*turn))):
                         values.append(item)
@@ -197,6 +215,41 @@ def pieces(df: DataFrame, keys: list[str], record: str = "record") -> DataFrame:
     return df.select(*keys, record).mapInArrow(run, schema)
 
 
+def unmapped(df: DataFrame, keys: list[str], record: str = "record") -> DataFrame:
+    """The records without pieces: the keys, ``reason``, ``fingerprint`` and ``fields``.
+
+    The reason is ``no record`` (null or empty), ``no object`` (other JSON, or none) or ``no
+    layout``. Only the last has a fingerprint, 16 hex digits of all its field paths, and
+    these paths in order, one a line. Each row is in ``pieces`` or here.
+    """
+    names = ("reason", "fingerprint", "fields")
+    schema = T.StructType([df.schema[k] for k in keys] + [T.StructField(name, T.StringType()) for name in names])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows, out = [], []
+            for row, raw in enumerate(column(batch, record)):
+                value, turns = _parsed(raw)
+                if turns:
+                    continue
+                rows.append(row)
+                if isinstance(value, dict):
+                    paths = field_paths(value)
+                    out.append(("no layout", f"{fingerprint(paths):016x}", "\n".join(sorted(paths))))
+                else:
+                    out.append(("no object" if raw else "no record", None, None))
+            kept = [batch.column(i).take(pa.array(rows, pa.int64())) for i in range(len(keys))]
+            found = [pa.array([line[i] for line in out], pa.string()) for i in range(len(names))]
+            yield pa.RecordBatch.from_arrays(kept + found, names=[*keys, *names])
+
+    return df.select(*keys, record).mapInArrow(run, schema)
+
+
+def unmapped_layouts(df: DataFrame, record: str = "record") -> DataFrame:
+    """How many records were left out for each reason and set of fields."""
+    return unmapped(df, [], record).groupBy("reason", "fingerprint", "fields").agg(F.count(F.lit(1)).alias("records"))
+
+
 def formatted(parts: DataFrame, key: str, order: list[str]) -> DataFrame:
     """Key and whole ``formatted`` text, for conversations that fit into a value."""
     line = F.array_sort(F.collect_list(F.struct(*order, "place", "piece")))
