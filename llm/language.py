@@ -25,6 +25,7 @@ LONGEST = 3
 UNDETERMINED = "und"
 #: Bounds of the fit: training texts per language, and landmarks among them.
 PER_LANGUAGE, LANDMARKS = 250, 48
+SHARES = 32
 RIDGE = 1e-3
 #: Characters whose n-grams are sorted at a time.
 _PIECE = 1 << 20
@@ -130,15 +131,21 @@ def fit(texts: Sequence[str], languages: Sequence[str], landmarks: int = LANDMAR
 def training_sample(df: DataFrame, key: str, text: str, label: str, per_label: int = PER_LANGUAGE) -> list[tuple[str, str]]:
     """At most ``per_label`` texts of each language, those with the lowest hash of the key.
 
-    Only keys and labels are ranked, and Spark cuts each partition to the wanted number
-    before the exchange; the texts of the chosen keys are then fetched. Of rows that share a
+    Only keys and labels are ranked, in shares and then as a whole, and Spark cuts each
+    partition to the wanted number before the exchange; the texts of the chosen keys are then fetched. Of rows that share a
     key and a label, the first text in order stands for all.
     """
     order = Window.partitionBy("label").orderBy("draw", "key")
+    in_share = Window.partitionBy("label", "share").orderBy("draw", "key")
     ranked = (
         df.where(F.col(label).isNotNull() & F.col(text).isNotNull())
         .select(F.col(key).alias("key"), F.col(label).alias("label"), F.xxhash64(F.col(key)).alias("draw"))
         .distinct()
+        # A label's candidates grow with the partitions. They are ranked in shares first, so that the task
+        # with all of a label's gets per_label from each share, however many partitions there are.
+        .withColumn("share", F.pmod("draw", F.lit(SHARES)))
+        .withColumn("place", F.row_number().over(in_share))
+        .where(F.col("place") <= per_label)
         .withColumn("place", F.row_number().over(order))
         .where(F.col("place") <= per_label)
     )
