@@ -31,12 +31,12 @@ ONE_COMPANY = "EUROPE"
 Query = Callable[[SparkSession, str], DataFrame]
 
 
-def _fact(spark: SparkSession, sf_dir: str, variant: str = "base") -> DataFrame:
-    return sales_fact(star_tables(spark, sf_dir, variant))
+def _fact(spark: SparkSession, sf_dir: str, variant: str = "base", ordered: bool = False) -> DataFrame:
+    return sales_fact(star_tables(spark, sf_dir, variant, kept=True), ordered=ordered)
 
 
 def _features(spark: SparkSession, sf_dir: str, variant: str = "base") -> DataFrame:
-    return demand_features(_fact(spark, sf_dir, variant))
+    return demand_features(_fact(spark, sf_dir, variant, ordered=True))
 
 
 def _kept(spark: SparkSession, sf_dir: str, variant: str = "base") -> DataFrame:
@@ -197,7 +197,7 @@ def _ridge_optimality(spark: SparkSession, sf_dir: str) -> DataFrame:
     The gradient for slot k is sum(x_k * (prediction - demand)) + weight_k; it counts as 0 below
     a billionth of sum(|x_k * demand|) + 1.
     """
-    encoded = prepare_training(_kept(spark, sf_dir))
+    encoded = prepare_training(_kept(spark, sf_dir), by_company=False)
     train = encoded.lines.where(~F.col("is_test"))
     scored = predicted(train, encoded, ridge_weights(encoded))
     numbers = [F.struct(F.lit(c).alias("feature"), F.lit(0).alias("slot"), F.col(f"{c}_scaled").alias("x")) for c in encoded.numbers]
@@ -289,7 +289,7 @@ def queries() -> dict[str, Query]:
         "market_price_company": _of_table(aggregates.market_price, "market", "market_by_company"),
         "opening_stock": _of_table(aggregates.opening_stock, "inventory"),
         "opening_stock_global": _of_table(aggregates.opening_stock, "inventory", "inventory_global"),
-        "running_stock": lambda spark, sf_dir: running_stock(_fact(spark, sf_dir)).drop("line_no"),
+        "running_stock": lambda spark, sf_dir: running_stock(_fact(spark, sf_dir, ordered=True)).drop("line_no"),
         "company_list": _of_table(exploration.company_list, "sales"),
         "company_count": _of_table(exploration.company_count, "sales"),
         "company_overview": _of_sales(exploration.company_overview),
@@ -329,7 +329,7 @@ def queries() -> dict[str, Query]:
         "company_comparison": _company_comparison,
         "model_comparison": lambda spark, sf_dir: comparison.model_comparison(_kept(spark, sf_dir)),
         "demand_features_one_company": lambda spark, sf_dir: demand_features(
-            _fact(spark, sf_dir), ONE_COMPANY
+            _fact(spark, sf_dir, ordered=True), ONE_COMPANY
         ).drop("line_no"),
     }
     for variant in VARIANTS:

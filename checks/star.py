@@ -9,6 +9,7 @@ from functools import partial
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from stockloom.sources.scratch import keep
 from stockloom.sources.tables import Tables
 
 VARIANTS = (
@@ -51,23 +52,36 @@ def _places(spark: SparkSession, sf_dir: str, key: str, name: str) -> DataFrame:
     )
 
 
-def _sales_view(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _joined_lines(spark: SparkSession, sf_dir: str, supplier: DataFrame) -> DataFrame:
+    """The lines with what the other tables say of them. Orders meet their customers and lines
+    their suppliers first: the lines are the most rows, and only the joins to
+    orders and parts move them."""
     read = partial(_read, spark, sf_dir)
-    lineitem = read("lineitem")
     customer = read("customer").join(_places(spark, sf_dir, "c_nationkey", "customer_region"), "c_nationkey")
-    supplier = read("supplier").join(_places(spark, sf_dir, "s_nationkey", "supplier_region"), "s_nationkey")
-    part = read("part")
-    lines = (
-        lineitem.join(read("orders"), F.col("l_orderkey") == F.col("o_orderkey"))
+    orders = (
+        read("orders")
         .join(customer, F.col("o_custkey") == F.col("c_custkey"))
-        .join(part, F.col("l_partkey") == F.col("p_partkey"))
+        .select("o_orderkey", _quarter_no("o_orderdate").alias("quarter"), "c_mktsegment", "customer_region")
+    )
+    lines = (
+        read("lineitem")
         .join(supplier, F.col("l_suppkey") == F.col("s_suppkey"))
+        .withColumn("tax_pct", F.round(F.col("l_tax") * 100).cast("int"))
+        .select("l_orderkey", "l_partkey", "supplier_region", "l_linenumber", "l_quantity", "l_extendedprice", "tax_pct", "l_returnflag")
     )
+    return (
+        lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
+        .join(read("part"), F.col("l_partkey") == F.col("p_partkey"))
+        .drop("l_orderkey", "o_orderkey", "l_partkey", "p_partkey")
+    )
+
+
+def _sales_view(lines: DataFrame) -> DataFrame:
     line_no, flag = F.col("l_linenumber"), F.col("l_returnflag")
     quantity, cost = F.col("l_quantity"), F.col("l_quantity") * F.col("p_size")
     taken_twice = (line_no == 1) & (flag == "A")
     return lines.select(
-        _quarter_no("o_orderdate").alias("SIM_ROUND"),
+        F.col("quarter").alias("SIM_ROUND"),
         F.col("supplier_region").alias("SALES_ORGANIZATION"),
         F.col("p_brand").alias("MATERIAL_CODE"),
         F.col("c_mktsegment").alias("DISTRIBUTION_CHANNEL"),
@@ -79,24 +93,30 @@ def _sales_view(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(flag == "R", quantity - 1).otherwise(quantity).alias("QUANTITY_DELIVERED"),
         (F.col("l_extendedprice") - cost).alias("CONTRIBUTION_MARGIN"),
         F.col("p_type").alias("MATERIAL_DESCRIPTION"),
-        (quantity * F.round(F.col("l_tax") * 100).cast("int")).alias("AMOUNT"),
+        (quantity * F.col("tax_pct")).alias("AMOUNT"),
         F.explode(F.array_repeat(F.lit(1), F.when(taken_twice, 2).otherwise(1))).alias("COPY"),
     )
 
 
-def star_tables(spark: SparkSession, sf_dir: str, variant: str = "base") -> Tables:
-    """The five tables of one schema variant, lazily read and checked."""
-    return Tables.conform(**raw_tables(spark, sf_dir, variant))
+def star_tables(spark: SparkSession, sf_dir: str, variant: str = "base", kept: bool = False) -> Tables:
+    """The five tables of one schema variant, lazily read and checked. With ``kept``, the joined
+    lines that sales and marketing are made of are written first, and so are the suppliers'
+    regions, for callers that read both."""
+    return Tables.conform(**raw_tables(spark, sf_dir, variant, kept))
 
 
-def raw_tables(spark: SparkSession, sf_dir: str, variant: str = "base") -> dict[str, DataFrame]:
+def raw_tables(spark: SparkSession, sf_dir: str, variant: str = "base", kept: bool = False) -> dict[str, DataFrame]:
     """The same with the headers they come with."""
     read = partial(_read, spark, sf_dir)
-    view = _sales_view(spark, sf_dir)
+    supplier = read("supplier").join(_places(spark, sf_dir, "s_nationkey", "supplier_region"), "s_nationkey")
+    if kept:
+        # Spark takes the size of a join for the product of its sides and would move the lines for it.
+        supplier = keep(supplier, "supplier_regions")
+    lines = _joined_lines(spark, sf_dir, supplier)
+    view = _sales_view(keep(lines, "joined_lines") if kept else lines)
     sales = view.drop("AMOUNT", "COPY")
     marketing = view.select("SIM_ROUND", "SALES_ORGANIZATION", "AMOUNT")
 
-    supplier = read("supplier").join(_places(spark, sf_dir, "s_nationkey", "supplier_region"), "s_nationkey")
     production = (
         read("lineitem")
         .join(read("part"), F.col("l_partkey") == F.col("p_partkey"))

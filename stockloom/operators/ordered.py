@@ -26,11 +26,11 @@ def in_order(df: DataFrame, order: list[str], name: str) -> DataFrame:
 
     ``order`` must identify a row, so that no slice can outgrow the others. The
     result is written before it is used: the numbers have to stay the same for
-    every later step, and a lost executor must not draw new slice boundaries.
+    every later step, and a lost executor must not draw new slice boundaries. Rows that
+    are range-partitioned along ``order`` already are not moved again.
     """
     numbered = (
-        df.repartitionByRange(*order)
-        .sortWithinPartitions(*order)
+        df.sort(*order)
         .withColumn("line_no", F.monotonically_increasing_id())
         .withColumn("slice", F.shiftright("line_no", _RECORD_BITS).cast("int"))
     )

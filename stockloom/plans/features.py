@@ -20,11 +20,12 @@ def line_history(fact: DataFrame, company: str | None = None) -> DataFrame:
 
     Stock after a line is the first opening stock of the product plus everything
     produced minus everything demanded up to and including that line. ``line_no``
-    numbers the lines in their order and comes with the result.
+    numbers the lines in their order and comes with the result. A fact that is ordered
+    already brings its own.
     """
     if company is not None:
         fact = fact.where(F.col("company") == company)
-    ordered = in_order(fact, line_order(fact), "ordered_lines")
+    ordered = fact if {"line_no", "slice"} <= set(fact.columns) else in_order(fact, line_order(fact), "ordered_lines")
     # Summed as whole units and millionths, so that the slices do not show in
     # the last digits.
     history = along_order(

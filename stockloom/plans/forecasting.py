@@ -125,11 +125,17 @@ def forecast_metrics(lines: DataFrame, keys: tuple[str, ...] = ("company", "mode
     return sums.select(*keys, "test_lines", "mae", r2.alias("r2"))
 
 
-def prepare_training(features: DataFrame, columns: tuple[str, ...] | None = None) -> Encoded:
+def prepare_training(features: DataFrame, columns: tuple[str, ...] | None = None, by_company: bool = True) -> Encoded:
     """Encode once and lay the lines out by company, so that a model reads only
     the files of its own company. A company with many lines gets many files. Folders
-    are named by a hash, as not every name makes a folder (an empty one does not)."""
+    are named by a hash, as not every name makes a folder (an empty one does not).
+
+    Ridge reads all companies at once; for it alone, ``by_company=False`` leaves the lines where
+    they are. The features should be written already, as they are read several times.
+    """
     encoded = encode(features, columns)
+    if not by_company:
+        return encoded
     by_company = encoded.lines.withColumn(_FOLDER, _folder(F.col("company"))).hint("rebalance", _FOLDER)
     kept = keep(by_company, "encoded_lines", partition_by=(_FOLDER,))
     return Encoded(kept, encoded.statistics, encoded.categories, encoded.numbers, encoded.texts)
@@ -146,7 +152,7 @@ def forecast(
     _check_model(model)
     if company is not None:
         features = features.where(F.col("company") == company)
-    return forecast_encoded(prepare_training(features, columns), model, company, parallelism)
+    return forecast_encoded(prepare_training(features, columns, by_company=model != "ridge"), model, company, parallelism)
 
 
 def _check_model(model: str) -> None:

@@ -61,7 +61,8 @@ class Workbench:
 
     @cached_property
     def features(self) -> DataFrame:
-        features = self._stored("features", lambda: demand_features(self.fact, self.company))
+        fact = lambda: sales_fact(self.tables, self.company, ordered=True)
+        features = self._stored("features", lambda: demand_features(fact(), self.company))
         if self.company is not None and features.isEmpty():
             raise ValueError(f"no usable lines for company {self.company}")
         return features
