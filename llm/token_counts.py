@@ -17,10 +17,13 @@ was appended twice is read once.
 from __future__ import annotations
 
 import hashlib
+import json
 import os
+import re
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -34,6 +37,8 @@ from .common import column, in_groups
 FEW = 100_000
 #: Tokens beyond which a text is too long for the models in view.
 LIMIT = 1024
+#: Pieces of up to so many characters, and so many of them, are remembered with their counts by a worker.
+SHORT, REMEMBERED = 40, 400_000
 _CACHED = "digest binary, n_tokens bigint"
 
 
@@ -63,9 +68,86 @@ def _counter(path: str) -> Callable[[list[str]], list[int]]:
     tokenizer = Tokenizer.from_file(path)
     tokenizer.no_truncation()
     tokenizer.no_padding()
+    if _cuts_at_spaces(path):
+        return _by_pieces(tokenizer)
     return lambda texts: [len(found) for found in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
 
+def _cuts_at_spaces(path: str) -> bool:
+    """Whether the tokenizer always begins a new piece at a space that follows a visible ASCII
+    character: byte-level BPE with its own pattern, and no added token with a space."""
+    with open(path, "rb") as file:
+        about = json.load(file)
+    before, model = about.get("pre_tokenizer") or {}, about.get("model") or {}
+    return (
+        about.get("normalizer") is None
+        and before.get("type") == "ByteLevel"
+        and before.get("use_regex", True)
+        and not before.get("add_prefix_space", True)
+        and model.get("type") == "BPE"
+        and not any(model.get(k) for k in ("dropout", "continuing_subword_prefix", "end_of_word_suffix", "fuse_unk", "byte_fallback", "unk_token"))
+        and not any(t["lstrip"] or t["rstrip"] or t["single_word"] or t["normalized"] or " " in t["content"] for t in about.get("added_tokens") or [])
+    )
+
+
+def _by_pieces(tokenizer) -> Callable[[list[str]], list[int]]:
+    """Texts are cut where the tokenizer cuts them anyway, at a space after a visible ASCII character;
+    a short piece that occurs again among the texts at hand is remembered with its count. New short pieces are encoded together,
+    a space before each: a piece begins at a token that begins with a space."""
+    cut, counts = re.compile(r"(?<=[!-~]) "), {}
+    begins = np.zeros(max(tokenizer.get_vocab(with_added_tokens=True).values(), default=0) + 1, dtype=bool)
+    begins[[id for token, id in tokenizer.get_vocab(with_added_tokens=False).items() if token.startswith("\u0120")]] = True
+
+    def learn(pieces: list[str]) -> dict[str, int]:
+        # A few hundred at a time: long texts are slow to encode.
+        some = [pieces[i : i + 256] for i in range(0, len(pieces), 256)]
+        found = {}
+        for own, encoded in zip(some, tokenizer.encode_batch_fast([" " + " ".join(own) for own in some], add_special_tokens=False)):
+            ids = np.array(encoded.ids, dtype=np.int64)
+            starts = np.flatnonzero(begins[ids])
+            if len(starts) == len(own):
+                found.update(zip(own, np.diff(starts, append=len(ids)).tolist()))
+            else:  # a vocabulary with tokens across a piece's space
+                found.update((piece, len(e)) for piece, e in zip(own, tokenizer.encode_batch_fast([f" {p}" for p in own], add_special_tokens=False)))
+        return found
+
+    def count(texts: list[str]) -> list[int]:
+        totals, missed, whole, owners = [], {}, [], []
+        if len(counts) > REMEMBERED:
+            counts.clear()
+        for i, text in enumerate(texts):
+            first, *middle = cut.split(text)
+            if middle:
+                # The last piece may end in anything, and the first has no space before it.
+                last = middle.pop()
+                whole += [first, " " + last]
+                owners += [i, i]
+            else:
+                whole.append(first)
+                owners.append(i)
+            known = list(map(counts.get, middle))
+            if None in known:
+                for piece, n in zip(middle, known):
+                    if n is None:
+                        if len(piece) <= SHORT and " " not in piece:
+                            missed.setdefault(piece, []).append(i)
+                        else:
+                            whole.append(" " + piece)
+                            owners.append(i)
+                known = [n for n in known if n is not None]
+            totals.append(sum(known))
+        for piece, n in learn(list(missed)).items():
+            if len(missed[piece]) > 1:
+                counts[piece] = n
+            for i in missed[piece]:
+                totals[i] += n
+        for i, found in zip(owners, tokenizer.encode_batch_fast(whole, add_special_tokens=False)):
+            totals[i] += len(found)
+        return totals
+
+    return count
+
+
 def _encoded(texts: DataFrame, file: str) -> DataFrame:
     """Digest and number of tokens of each text."""
 
