@@ -66,6 +66,17 @@ def release(spark: SparkSession) -> None:
         folder.getFileSystem(configuration).delete(folder, True)
 
 
+def discard(kept: DataFrame) -> None:
+    """Delete what ``keep`` has written and nothing reads any more, before ``release`` does."""
+    spark = kept.sparkSession
+    written = _written.get(spark.sparkContext.applicationId, [])
+    folders = {file.rsplit("/", 1)[0] for file in kept.inputFiles()}
+    for path in [path for path in written if any(folder.endswith(path) for folder in folders)]:
+        folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+        written.remove(path)
+
+
 def keep(df: DataFrame, name: str, partition_by: tuple[str, ...] = ()) -> DataFrame:
     """Write a table once and go on with what was written."""
     spark = df.sparkSession
