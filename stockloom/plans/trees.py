@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+from pyspark.ml import PipelineModel
 from pyspark.sql import Column, DataFrame, Row, SparkSession, functions as F
 
 from ..operators.binned_trees import Bins, Tree
@@ -55,8 +56,11 @@ def fitted_trees(
     spark = encoded.lines.sparkSession
     path = f"{ledger.folder}/_trees" if ledger else new_path(spark, "tree_nodes")
 
-    def write(row: Row, fitted: FittedModel, lines: DataFrame) -> None:
-        own = _nodes(spark, row.company, model, fitted)
+    def write(row: Row, fitted: FittedModel | PipelineModel, lines: DataFrame) -> None:
+        if isinstance(fitted, FittedModel):
+            own = _nodes(spark, row.company, model, fitted)
+        else:
+            own = _pipeline_nodes(spark, encoded, row.company, model, fitted)
         own.write.mode("overwrite").parquet(f"{path}/fit={fit_name(row.company)}")
 
     result = forecast_encoded(encoded, model, company, parallelism, write, ledger)
@@ -72,7 +76,7 @@ def fitted_trees(
 def _nodes(spark: SparkSession, company: str, model: str, fitted: FittedModel) -> DataFrame:
     rows = []
     for number, tree in enumerate(fitted.trees):
-        own = (company, model, tree.depth, number, fitted.settings.weight(number))
+        own = (company, model, tree.depth, number, 1.0)
         rows += [(*own, *node) for node in _numbered(tree, fitted.bins)]
     return spark.createDataFrame(rows, _NODES)
 
@@ -102,6 +106,45 @@ def _numbered(tree: Tree, bins: Bins) -> list[tuple]:
     return found
 
 
+def _pipeline_nodes(spark: SparkSession, encoded: Encoded, company: str, model: str, fitted: PipelineModel) -> DataFrame:
+    """The nodes of one fitted pipeline, from the files in which Spark stores a model."""
+    path = new_path(spark, "fitted_model")
+    fitted.stages[-1].write().overwrite().save(path)
+    at = F.col("nodeData.split.featureIndex")
+    # The vector holds the numbers, then the places of each text.
+    feature, slot = F.lit(None).cast("string"), F.lit(None).cast("int")
+    start = len(encoded.numbers)
+    if len(fitted.stages) > 2:
+        encoder = fitted.stages[0]
+        for name, size in zip(encoder.getInputCols(), encoder.categorySizes):
+            here = (at >= start) & (at < start + size - 1)
+            feature = F.when(here, name.removesuffix("_slot")).otherwise(feature)
+            slot = F.when(here, at - start).otherwise(slot)
+            start += size - 1
+    for place, name in enumerate(encoded.numbers):
+        feature = F.when(at == place, name).otherwise(feature)
+    inner = at >= 0
+    ordered = F.col("nodeData.split.numCategories") < 0
+    values = F.col("nodeData.split.leftCategoriesOrThreshold")
+    weights = spark.read.parquet(f"{path}/treesMetadata").toDF("treeID", "about", "weight").select("treeID", "weight")
+    return spark.read.parquet(f"{path}/data").join(weights, "treeID").select(
+        F.lit(company).alias("company"),
+        F.lit(model).alias("model"),
+        F.lit(fitted.stages[-1].getMaxDepth()).alias("max_depth"),
+        F.col("treeID").alias("tree"),
+        "weight",
+        F.col("nodeData.id").alias("node"),
+        F.col("nodeData.rawCount").alias("training_lines"),
+        F.col("nodeData.prediction").alias("value"),
+        F.when(inner, feature).alias("feature"),
+        F.when(inner, slot).alias("slot"),
+        F.when(inner & ordered, values[0]).alias("threshold"),
+        F.when(inner & ~ordered, values).alias("left_values"),
+        F.when(inner, F.col("nodeData.leftChild")).alias("left"),
+        F.when(inner, F.col("nodeData.rightChild")).alias("right"),
+    )
+
+
 def score_trees(lines: DataFrame, encoded: Encoded, nodes: DataFrame) -> DataFrame:
     """``lines`` of this encoding with ``model`` and ``prediction``, as the trees have it.
 
