@@ -3,18 +3,21 @@
 The lines are binned once and written in blocks. A level of trees is one job over the blocks: each
 task adds up its lines per node and bin, the sums are added over the tasks, and the best
 split of each node comes to the driver. No line is moved, and a text is one column of slots,
-however many one-or-zero features its slots stand for. The rules are those of Spark's own
-``RandomForestRegressor``: candidates for thresholds from the same size of sample, variance as impurity.
+however many one-or-zero features its slots stand for. The rules are those of Spark's own trees
+(``RandomForestRegressor``, ``GBTRegressor``): candidates for thresholds from the same size of sample,
+variance as impurity, and pseudo-residuals of twice the error in boosting.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+import pickle
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
+from pyspark import RDD, StorageLevel
 from pyspark.sql import DataFrame, functions as F
 
 from ..sources.scratch import discard, keep
@@ -29,10 +32,24 @@ _TASK_BLOCKS = 2
 _TASK_LINES = 3_000_000
 #: The sums that a task holds at a time, for as many trees as fit.
 _SUMS_BYTES = 64 << 20
+#: Boosting on so many lines is one task's work, of some 22 bytes a line: jobs for each level would take longer.
+_ALONE_LINES = 1 << 20
+#: Rounds of boosting that are followed anew in each job, and those that Spark alone keeps before they are written.
+_ROUNDS_AHEAD, _ROUNDS_KEPT = 8, 48
 #: A spread or gain below this share of the sum of squares is rounding.
 _ROUNDING = 1e-14
 
+#: Splits often divide few lines alike, and the last digits decide. They are Spark's, too, of companies
+#: whose thresholds come from all lines, if lines times slots are no more than this.
+_FEW = 4 << 20
+#: So many of them are in memory at a time.
+_CELLS = 1 << 19
+#: An impurity below this is none, as in Spark's trees.
+_PURE = 2.0**-52
+
 _BLOCK = "first bigint, bins binary, target binary, numbers binary"
+_STATE = "bins binary, target binary, sum binary"
+_TREES = "tree int, grown binary"
 _SUMS = "tree int, first bigint, sums binary"
 _SPLIT = (
     "tree int, node int, n double, total double, feature int, cut int, flipped boolean, "
@@ -42,12 +59,16 @@ _SPLIT = (
 
 @dataclass(frozen=True)
 class Settings:
-    """Each tree has its own draw of the lines."""
+    """``rate`` is for boosting; without it, each tree has its own draw of the lines."""
 
     trees: int
     depth: int
     least: int
     seed: int = 42
+    rate: float | None = None
+
+    def weight(self, tree: int) -> float:
+        return self.rate if self.rate is not None and tree > 0 else 1.0
 
 
 @dataclass(frozen=True)
@@ -98,7 +119,8 @@ class Tree:
         self.feature = np.full(size, -1)
         self.cut = np.zeros(size, np.int64)
         self.flipped = np.zeros(size, bool)
-        self.n, self.total = np.zeros(size), np.zeros(size)
+        self.n, self.total, self.squares = np.zeros(size), np.zeros(size), np.zeros(size)
+        self.closed = np.zeros(size, bool)
 
     def split(self, start: int, row) -> None:
         """Take over what was found for a node of the level that starts at ``start``."""
@@ -109,11 +131,13 @@ class Tree:
         self.feature[i], self.cut[i], self.flipped[i] = row["feature"], row["cut"], row["flipped"]
         for child, side in ((2 * i + 1, "left"), (2 * i + 2, "right")):
             self.n[child], self.total[child] = row[f"{side}_n"], row[f"{side}_total"]
+            if f"{side}_closed" in row:
+                self.squares[child], self.closed[child] = row[f"{side}_squares"], row[f"{side}_closed"]
 
     def open(self, level: int) -> list[int]:
         """The nodes of a level that may be split, by their place in it."""
         start = (1 << level) - 1
-        return [j for j in range(1 << level) if level == 0 or self.feature[(start + j - 1) // 2] >= 0]
+        return [j for j in range(1 << level) if level == 0 or (self.feature[(start + j - 1) // 2] >= 0 and not self.closed[start + j])]
 
     def values(self) -> np.ndarray:
         """The value for each place of the last level: a leaf above it goes on to the left."""
@@ -364,18 +388,230 @@ def fit_trees(training: DataFrame, bins: Bins, settings: Settings, n: int = 0) -
     return list(trees.values())
 
 
-def predict_trees(lines: DataFrame, bins: Bins, trees: list[Tree]) -> DataFrame:
-    """The lines with ``prediction``, the mean of the trees."""
-    ready = [(tree, tree.values()) for tree in trees]
-    n_numbers = len(bins.numbers)
+class _Boosted:
+    """Lines in boosting: bins, target, and what the trees so far add up to."""
+
+    def __init__(self, bins: Bins, settings: Settings, n: int):
+        self.bins, self.settings = bins, settings
+        self.few = n <= SAMPLE and n * sum(bins.slots) <= _FEW
+        self.most = max(bins.widths) << (settings.depth - 1)
+
+    def of(self, block: tuple) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        seen, target, sum_ = block
+        sum_ = np.frombuffer(sum_, np.float64)
+        kind = np.float64 if len(target) == 8 * len(sum_) else np.float32
+        return np.frombuffer(seen, self.bins.kind).reshape(len(self.bins.widths), -1), np.frombuffer(target, kind), sum_
+
+    @staticmethod
+    def begun(seen: bytes, target: bytes) -> tuple:
+        """A block before the first tree. A target that single precision holds takes half the room."""
+        target = np.frombuffer(target, np.float64)
+        small = target.astype(np.float32)
+        return bytes(seen), (small if (small == target).all() else target).tobytes(), np.zeros(len(target)).tobytes()
+
+    def sums(self, blocks: Iterable, ahead: list, tree: Tree, level: int, number: int) -> np.ndarray | None:
+        """Per node and bin the lines, their pseudo-residuals and the squares; then, if few, per node and
+        slot, those of the lines without it. Each sum is taken line by line, as Spark's trees do, so
+        that equal sets of lines have equal sums."""
+        widths, nodes, most = self.bins.widths, 1 << level, self.most
+        size = nodes * (sum(widths) + self.few * sum(self.bins.slots))
+        found = None
+        for block in blocks:
+            seen, target, sum_ = self.of(self.moved_on(block, ahead))
+            found = np.zeros((3, size)) if found is None else found
+            n = len(sum_)
+            # What was found so far goes before the block's lines.
+            where, errors, squares = np.empty(most + n, np.intp), np.empty(most + n), np.empty(most + n)
+            np.subtract(target, sum_, out=errors[most:])
+            if number:
+                errors[most:] *= 2
+            np.multiply(errors[most:], errors[most:], out=squares[most:])
+            at = tree.places(seen, len(self.bins.numbers), level).astype(np.intp) if level else None
+            end = 0
+            for width, place in zip(widths, seen):
+                cells = nodes * width
+                start, end, first = end, end + cells, most - cells
+                where[first:most] = np.arange(cells)
+                if level:
+                    np.multiply(at, width, out=where[most:])
+                    where[most:] += place
+                else:
+                    where[most:] = place
+                found[0, start:end] += np.bincount(where[most:], minlength=cells)
+                for row, weights in ((1, errors), (2, squares)):
+                    weights[first:most] = found[row, start:end]
+                    found[row, start:end] = np.bincount(where[first:], weights[first:], minlength=cells)
+            for j in range(nodes if self.few else 0):
+                lines = np.flatnonzero(at == j) if level else np.arange(n)
+                self._add_lacks(found, end, j, nodes, seen[:, lines], errors[most + lines], squares[most + lines])
+        return found
+
+    def _add_lacks(self, found: np.ndarray, end: int, j: int, nodes: int, seen: np.ndarray, *weights: np.ndarray) -> None:
+        """To a node's sums of the lines without a slot."""
+        for k, places in zip(self.bins.slots, seen[len(self.bins.numbers) :]):
+            cells = np.s_[end + j * k : end + (j + 1) * k]
+            # One column more: numpy adds up row by row only where there are several columns.
+            slots, step = np.arange(k + 1), max(1, _CELLS // (k + 1))
+            for first in range(0, len(places), step):
+                lacks = places[first : first + step, None] != slots
+                found[0, cells] += np.count_nonzero(lacks[:, :k], axis=0)
+                rows = np.empty((len(lacks) + 1, k + 1))
+                for row, weight in enumerate(weights, 1):
+                    np.multiply(lacks, weight[first : first + step, None], out=rows[1:])
+                    rows[0, :k], rows[0, k] = found[row, cells], 0.0
+                    found[row, cells] = rows.sum(axis=0)[:k]
+            end += nodes * k
+
+    def moved_on(self, block: tuple, ahead: list[tuple[Tree, int]]) -> tuple:
+        """The block with what more trees add to its sum."""
+        if not ahead:
+            return block
+        seen, _, sum_ = self.of(block)
+        for tree, number in ahead:
+            added = tree.values()[tree.places(seen, len(self.bins.numbers), tree.depth)]
+            sum_ = sum_ + self.settings.weight(number) * added
+        return *block[:2], sum_.tobytes()
+
+    def grown(self, sums: Callable[[Tree, int, int], np.ndarray], number: int) -> Tree:
+        tree = Tree(self.settings.depth)
+        for level in range(tree.depth):
+            start, open_ = (1 << level) - 1, tree.open(level)
+            if not open_:
+                break
+            rows = boosted_splits(sums(tree, level, number), self.bins, tree, level, self.settings.least, self.few)
+            for j in open_:
+                tree.split(start, rows[j])
+        return tree
+
+    def in_one_task(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """All trees of a company whose lines one task reads."""
+        blocks = [
+            self.begun(seen.as_py(), target.as_py()) for batch in batches for seen, target in zip(batch.column("bins"), batch.column("target"))
+        ]
+        for number in range(self.settings.trees if blocks else 0):
+            tree = self.grown(lambda *about: self.sums(blocks, [], *about), number)
+            blocks = [self.moved_on(block, [(tree, number)]) for block in blocks]
+            columns = [pa.array([number], pa.int32()), pa.array([pickle.dumps(tree)], pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, ["tree", "grown"])
+
+
+def _spread(n: np.ndarray, total: np.ndarray, squares: np.ndarray) -> np.ndarray:
+    return np.where(n > 0, (squares - (total * total) / n) / n, 0.0)
+
+
+def boosted_splits(sums: np.ndarray, bins: Bins, tree: Tree, level: int, least: int, few: bool) -> list[dict]:
+    """The split of each node with the largest gain, by the steps of ``GBTRegressor``: of splits with
+    equal gain the first is taken, so sums and gains are made in the same order as there."""
+    nodes, start = 1 << level, (1 << level) - 1
+    features, cuts, lefts, rights, flips, end = [], [], [], [], [], 0
+    without, whole = nodes * sum(bins.widths), None
+    for f, width in enumerate(bins.widths):
+        here = sums[:, nodes * end : nodes * (end + width)].reshape(3, nodes, width)
+        end += width
+        before = here.cumsum(axis=2)
+        total = before[:, :, -1:]
+        whole = total if whole is None else whole
+        if f < len(bins.numbers):
+            left, right = before[:, :, :-1], total - before[:, :, :-1]
+            flipped = np.zeros(left.shape[1:], bool)
+        else:
+            has = here[:, :, :-1]
+            k = width - 1
+            lacks = sums[:, without : without + nodes * k].reshape(3, nodes, k) if few else whole - has
+            without += nodes * k
+            with np.errstate(divide="ignore", invalid="ignore"):
+                means = [np.where(side[0] > 0, side[1] / side[0], np.inf) for side in (lacks, has)]
+            flipped = means[1] < means[0]
+            left = np.where(flipped, has, lacks)
+            right = (lacks + has) - left
+        features += [f] * (width - 1)
+        cuts += range(width - 1)
+        for held, what in ((lefts, left), (rights, right), (flips, flipped)):
+            held.append(what)
+    own = np.s_[start : start + nodes]
+    rows = []
+    if features:
+        (ln, lt, ls), (rn, rt, rs) = np.concatenate(lefts, axis=2), np.concatenate(rights, axis=2)
+        flipped = np.concatenate(flips, axis=1)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            spread = _spread(tree.n[own], tree.total[own], tree.squares[own]) if level else _spread(*(a[:, 0] + b[:, 0] for a, b in ((ln, rn), (lt, rt), (ls, rs))))
+            left_spread, right_spread, n = _spread(ln, lt, ls), _spread(rn, rt, rs), ln + rn
+            gain = spread[:, None] - ln / n * left_spread - rn / n * right_spread
+            gain = np.where((ln >= least) & (rn >= least) & (gain >= 0), gain, -np.inf)
+        best = gain.argmax(axis=1)
+    for j in range(nodes):
+        # What the split above said of the node, or at the root what its first split adds up to.
+        own_sums = (tree.n[start + j], tree.total[start + j]) if level else (whole[0, 0, 0], whole[1, 0, 0])
+        row = {"node": j, "n": float(own_sums[0]), "total": float(own_sums[1]), "feature": -1, "cut": 0, "flipped": False}
+        if features and gain[j, (b := int(best[j]))] > 0:
+            row |= {"feature": features[b], "cut": cuts[b], "flipped": bool(flipped[j, b])}
+            for side, (n, total, squares, spread) in (("left", (ln, lt, ls, left_spread)), ("right", (rn, rt, rs, right_spread))):
+                row |= {f"{side}_n": float(n[j, b]), f"{side}_total": float(total[j, b]), f"{side}_squares": float(squares[j, b])}
+                row[f"{side}_closed"] = bool(abs(spread[j, b]) < _PURE)
+        rows.append(row)
+    return rows
+
+
+def boost_trees(training: DataFrame, bins: Bins, settings: Settings, n: int = 0) -> list[Tree]:
+    """Boosted trees on ``n`` lines. Few lines are one task's work; of many, each level of a tree is a job
+    over the blocks, which Spark keeps in memory (or on disk) with what the trees add up to."""
+    steps = _Boosted(bins, settings, n)
+    columns = [*bins.columns, F.col(TARGET).cast("double").alias(TARGET), F.col("line_no").cast("bigint").alias("line_no")]
+    blocks = training.select(*columns).mapInArrow(_to_blocks(bins), _BLOCK)
+    if n <= _ALONE_LINES:
+        grown = blocks.coalesce(1).mapInArrow(steps.in_one_task, _TREES).collect()
+        return [pickle.loads(row.grown) for row in sorted(grown, key=lambda row: row.tree)]
+    blocks = keep(blocks.select("bins", "target").repartition(_tasks(training, n)), "tree_blocks")
+    state = blocks.rdd.map(lambda row: steps.begun(row.bins, row.target)).persist(StorageLevel.MEMORY_AND_DISK)
+    before, trees, ahead = None, [], []
+    try:
+        for number in range(settings.trees):
+            tree = steps.grown(lambda *about: _all_sums(state, steps, ahead, about), number)
+            trees.append(tree)
+            ahead = [*ahead, (tree, number)]
+            if before is not None:
+                before.unpersist()
+                before = None
+            if len(ahead) < _ROUNDS_AHEAD or number + 1 == settings.trees:
+                continue
+            before, state, ahead = state, _moved(state, steps, ahead), []
+            if (number + 1) % _ROUNDS_KEPT == 0:
+                # What a lost executor held is made again from here on.
+                earlier, blocks = blocks, keep(training.sparkSession.createDataFrame(state, _STATE), "tree_blocks")
+                discard(earlier)
+                state = blocks.rdd.map(lambda row: (bytes(row.bins), bytes(row.target), bytes(row.sum)))
+            state.persist(StorageLevel.MEMORY_AND_DISK)
+    finally:
+        state.unpersist()
+        if before is not None:
+            before.unpersist()
+    discard(blocks)
+    return trees
+
+
+def _all_sums(state: RDD, steps: _Boosted, ahead: list, about: tuple) -> np.ndarray:
+    """The sums of all tasks, in the order of their parts: one row a task comes to the driver."""
+    parts = state.mapPartitions(lambda blocks: [steps.sums(blocks, ahead, *about)]).collect()
+    return sum(part for part in parts if part is not None)
+
+
+def _moved(state: RDD, steps: _Boosted, ahead: list) -> RDD:
+    return state.map(lambda block: steps.moved_on(block, ahead))
+
+
+def predict_trees(lines: DataFrame, bins: Bins, trees: list[Tree], settings: Settings | None = None) -> DataFrame:
+    """The lines with ``prediction``: the mean of a forest, the weighted sum of boosted trees."""
+    is_boosted = settings is not None and settings.rate is not None
+    ready = [(settings.weight(t) if is_boosted else 1.0, tree, tree.values()) for t, tree in enumerate(trees)]
+    n_numbers, share = len(bins.numbers), 1 if is_boosted else len(trees)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             seen = bins.of(batch)
             total = np.zeros(batch.num_rows)
-            for tree, values in ready:
-                total += values[tree.places(seen, n_numbers, tree.depth)]
-            yield batch.append_column("prediction", pa.array(total / len(ready)))
+            for weight, tree, values in ready:
+                total += weight * values[tree.places(seen, n_numbers, tree.depth)]
+            yield batch.append_column("prediction", pa.array(total / share))
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in lines.schema.fields)
     return lines.mapInArrow(run, f"{schema}, prediction double")

@@ -8,33 +8,15 @@ from collections.abc import Callable
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
-from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.feature import OneHotEncoder, VectorAssembler
-from pyspark.ml.regression import GBTRegressor
 from pyspark.sql import Column, DataFrame, Row, functions as F
 
 from ..functions.expressions import at_least_zero, whole_units
-from ..operators.binned_trees import Bins, Settings, Tree, find_bins, fit_trees, predict_trees
-from ..operators.encoding import NO_SLOT, TARGET, Encoded, encode
+from ..operators.binned_trees import Bins, Settings, Tree, boost_trees, find_bins, fit_trees, predict_trees
+from ..operators.encoding import TARGET, Encoded, encode
 from ..sources.scratch import enable_checkpoints, keep, new_path
 from ..sources.store import Store
 from . import ridge
 
-def _boosting() -> GBTRegressor:
-    return GBTRegressor(
-        maxIter=200,
-        stepSize=0.05,
-        maxDepth=3,
-        lossType="squared",
-        maxBins=128,
-        checkpointInterval=10,
-        seed=42,
-        featuresCol="features",
-        labelCol=TARGET,
-        predictionCol="prediction",
-    )
-
-
 _FOLDER = "company_folder"
 
 
@@ -46,7 +28,7 @@ def _folder(company: Column) -> Column:
 MODELS = {
     "ridge": None,
     "forest": Settings(trees=100, depth=5, least=5),
-    "boosting": _boosting,
+    "boosting": Settings(trees=200, depth=3, least=1, rate=0.05),
 }
 
 
@@ -166,7 +148,7 @@ def forecast_encoded(
     model: str,
     company: str | None = None,
     parallelism: int = 8,
-    on_fit: Callable[[Row, FittedModel | PipelineModel, DataFrame], None] | None = None,
+    on_fit: Callable[[Row, FittedModel, DataFrame], None] | None = None,
     ledger: Ledger | None = None,
 ) -> Forecast:
     """Like ``forecast``, on lines that are already encoded.
@@ -175,7 +157,7 @@ def forecast_encoded(
     jobs over the company's lines; several companies are fitted at the same time. Only the
     statistics, one row per company, come to the driver. A fit that fails is reported and
     leaves the others alone. ``on_fit`` is called with the company's statistics, the fitted
-    trees (of boosting, the pipeline) and its training lines; ridge does not call it. With a
+    trees and its training lines; ridge does not call it. With a
     ``ledger``, fits that succeeded in an earlier run are not repeated; it must be the
     ledger of these very lines and this model. Ridge is one job and needs none.
     """
@@ -240,39 +222,16 @@ def _slot_counts(encoded: Encoded) -> dict:
 def _fit_one(lines: DataFrame, encoded: Encoded, row: Row, slots: dict, model: str, path: str, on_fit=None) -> None:
     # A text with a single training category has no slot left: not a feature.
     texts = [c for c in encoded.texts if slots.get(c, 0) > 0]
-    if model == "boosting":
-        _fit_boosting(lines, encoded, row, texts, slots, path, on_fit)
-        return
     settings, training = MODELS[model], lines.where(~F.col("is_test"))
     bins = find_bins(training, row.n_train, encoded.numbers, texts, [slots[c] for c in texts], settings.seed)
-    trees = fit_trees(training, bins, settings, row.n_train)
+    fit = fit_trees if settings.rate is None else boost_trees
+    trees = fit(training, bins, settings, row.n_train)
     if on_fit is not None:
         on_fit(row, FittedModel(settings, bins, trees), training)
-    scored = predict_trees(lines.where(F.col("is_test")), bins, trees)
+    scored = predict_trees(lines.where(F.col("is_test")), bins, trees, settings)
     _forecast_lines(scored, model).write.mode("overwrite").parquet(path)
 
 
-def _fit_boosting(lines: DataFrame, encoded: Encoded, row: Row, texts: list[str], slots: dict, path: str, on_fit) -> None:
-    for c in texts:
-        # The encoder leaves out its last category; that place stands for
-        # everything without a slot. The count in the metadata saves a pass.
-        k = slots[c]
-        place = F.when(F.col(f"{c}_slot") == NO_SLOT, k).otherwise(F.col(f"{c}_slot")).cast("double")
-        about = {"ml_attr": {"type": "nominal", "name": f"{c}_slot", "num_vals": k + 1}}
-        lines = lines.withColumn(f"{c}_slot", place.alias(f"{c}_slot", metadata=about))
-    one_hot = [f"{c}_one_hot" for c in texts]
-    stages = [VectorAssembler(inputCols=[f"{c}_scaled" for c in encoded.numbers] + one_hot, outputCol="features")]
-    if texts:
-        stages.insert(0, OneHotEncoder(inputCols=[f"{c}_slot" for c in texts], outputCols=one_hot, dropLast=True))
-    stages.append(_boosting())
-
-    fitted = Pipeline(stages=stages).fit(lines.where(~F.col("is_test")))
-    if on_fit is not None:
-        on_fit(row, fitted, lines.where(~F.col("is_test")))
-    scored = _forecast_lines(fitted.transform(lines.where(F.col("is_test"))), "boosting")
-    scored.write.mode("overwrite").parquet(path)
-
-
 def _forecast_lines(scored: DataFrame, model: str) -> DataFrame:
     return scored.select(
         "company",

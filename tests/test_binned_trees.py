@@ -5,11 +5,11 @@ from __future__ import annotations
 import numpy as np
 import pytest
 from pyspark.ml.feature import OneHotEncoder, VectorAssembler
-from pyspark.ml.regression import DecisionTreeRegressor
+from pyspark.ml.regression import DecisionTreeRegressor, GBTRegressor
 from pyspark.sql import functions as F
 
 from stockloom.operators import binned_trees
-from stockloom.operators.binned_trees import Settings, draws, find_bins, fit_trees, predict_trees, thresholds
+from stockloom.operators.binned_trees import Settings, boost_trees, draws, find_bins, fit_trees, predict_trees, thresholds
 from stockloom.sources.scratch import keep, shared_folder
 
 NUMBERS, TEXTS, SLOTS = ["cost", "sales"], ["product", "area"], [3, 1]
@@ -120,3 +120,61 @@ def test_blocks_are_dealt_to_the_cores(spark, lines, monkeypatch):
     for one, other in zip(whole, dealt):
         np.testing.assert_array_equal(one.feature, other.feature)
         np.testing.assert_allclose(one.total, other.total, atol=1e-9)
+
+
+def _spark_s_boosting(lines, trees):
+    vectors = _vectors(lines)
+    model = GBTRegressor(labelCol="demand", maxIter=trees, stepSize=0.05, maxDepth=3, maxBins=128, seed=42).fit(vectors)
+    return _by_line(model.transform(vectors))
+
+
+def _by_line(scored):
+    return [row.prediction for row in scored.select("line_no", "prediction").orderBy("line_no").collect()]
+
+
+BOOSTING = Settings(trees=20, depth=3, least=1, rate=0.05)
+
+
+def test_boosting_is_sparks(spark, lines):
+    """Few lines and lines in whole numbers, whose splits often divide them alike: the same one is taken."""
+    few = lines.where("line_no < 60").selectExpr("line_no", "round(cost_scaled) cost_scaled", "round(sales_scaled) sales_scaled", "product_slot", "area_slot", "round(demand, 1) demand")
+    for some, n in ((lines, 900), (few, 60)):
+        some = keep(some.coalesce(1), "one_file")
+        bins = find_bins(some, n, NUMBERS, TEXTS, SLOTS, 42)
+        got = _by_line(predict_trees(some, bins, boost_trees(some, bins, BOOSTING, n), BOOSTING))
+        np.testing.assert_allclose(got, _spark_s_boosting(some, 20), atol=1e-9, rtol=0)
+
+
+def test_boosting_in_jobs_is_boosting_in_one_task(spark, lines, monkeypatch):
+    bins = find_bins(lines, 900, NUMBERS, TEXTS, SLOTS, 42)
+    alone = boost_trees(lines, bins, BOOSTING, 900)
+    for name, value in (("_ALONE_LINES", 0), ("_BLOCK_LINES", 30), ("_ROUNDS_AHEAD", 3), ("_ROUNDS_KEPT", 6)):
+        monkeypatch.setattr(binned_trees, name, value)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 30)
+    try:
+        dealt = boost_trees(lines, bins, BOOSTING, 900)
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert len(spark.sparkContext._jsc.getPersistentRDDs()) == 0
+    got, want = (_by_line(predict_trees(lines, bins, trees, BOOSTING)) for trees in (dealt, alone))
+    np.testing.assert_allclose(got, want, atol=1e-9, rtol=0)
+
+
+def test_small_companies_are_boosted_in_one_job(spark, lines):
+    """Jobs do not grow with the rounds."""
+    bins = find_bins(lines, 900, NUMBERS, TEXTS, SLOTS, 42)
+    tracker = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("boosting", "")
+    try:
+        boost_trees(lines, bins, BOOSTING, 900)
+        assert len(tracker.getJobIdsForGroup("boosting")) == 1
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+
+
+def test_boosting_of_a_constant(spark, lines):
+    same = lines.withColumn("demand", F.lit(7.0))
+    bins = find_bins(same, 900, NUMBERS, TEXTS, SLOTS, 42)
+    trees = boost_trees(same, bins, BOOSTING, 900)
+    assert len(trees) == 20 and all(tree.feature[0] < 0 for tree in trees)
+    assert set(_by_line(predict_trees(same, bins, trees, BOOSTING))) == {7.0}
