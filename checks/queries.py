@@ -241,9 +241,13 @@ def _report_export(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.schema(f"{schema}, model string").option("header", True).csv(path)
 
 
+#: A compressed CSV file is read by one task.
+_CSV_ROWS = 1_000_000
+
+
 def _from_csv(spark: SparkSession, sf_dir: str) -> Loaded:
-    """All tables as CSV files, in which some cells of the sales are spoilt; read back."""
-    raw = raw_tables(spark, sf_dir)
+    """All tables as compressed CSV files, in which some cells of the sales are spoilt; read back."""
+    raw = raw_tables(spark, sf_dir, kept=True)
     product, channel, rounds = F.col("MATERIAL_CODE"), F.col("DISTRIBUTION_CHANNEL"), F.col("SIM_ROUND")
     spoilt = {
         "NET_VALUE": F.when((product == "Brand#13") & (channel == "BUILDING"), "12,5"),
@@ -253,7 +257,7 @@ def _from_csv(spark: SparkSession, sf_dir: str) -> Loaded:
     raw["sales"] = raw["sales"].withColumns({name: F.coalesce(cell, F.col(name).cast("string")) for name, cell in spoilt.items()})
     root = new_path(spark, "csv_tables")
     for name, df in raw.items():
-        df.write.option("header", True).csv(f"{root}/{name}")
+        df.write.option("header", True).option("compression", "gzip").option("maxRecordsPerFile", _CSV_ROWS).csv(f"{root}/{name}")
     return read_csv_tables(spark, root)
 
 

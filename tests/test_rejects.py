@@ -5,10 +5,13 @@ from __future__ import annotations
 import json
 
 import pytest
+from pyspark.sql import functions as F
 
+from checks import queries, star
 from stockloom import ContractError
 from stockloom.sources.rejects import read_csv_tables, screen
 from stockloom.sources.contract import MARKETING, SALES
+from stockloom.sources.scratch import keep
 
 from . import tables
 
@@ -71,3 +74,26 @@ def test_more_bad_cells_than_allowed_are_an_error(spark, folder, tmp_path):
         read_csv_tables(spark, folder, most=1)
     loaded = read_csv_tables(spark, folder, most=2)
     assert loaded.rejects.count() == 2 and loaded.tables.marketing.count() == len(tables.MARKETING_ROWS)
+
+
+def test_the_query_s_csv_files_are_compressed_and_lines_joined_once(spark, small_dir, monkeypatch):
+    """What the CSV queries put on disk: files of a bounded number of rows, and the lines are moved for one join."""
+    seen = {}
+
+    def read(spark, root):
+        paths = {name: spark.read.option("header", True).csv(f"{root}/{name}") for name in ("sales", "inventory")}
+        for name, df in paths.items():
+            rows = [row["count"] for row in df.groupBy(F.input_file_name().alias("file")).count().collect()]
+            seen[name] = (df.inputFiles(), rows)
+        return read_csv_tables(spark, root)
+
+    joined = []
+    monkeypatch.setattr(star, "keep", lambda df, name: joined.append(name) or keep(df, name))
+    monkeypatch.setattr(queries, "read_csv_tables", read)
+    monkeypatch.setattr(queries, "_CSV_ROWS", 500)
+    loaded = queries._from_csv(spark, small_dir)
+    assert "joined_lines" in joined
+    for files, rows in seen.values():
+        assert all(file.endswith(".csv.gz") for file in files) and len(files) > 1 and max(rows) <= 500
+    want = star.star_tables(spark, small_dir).inventory
+    assert sorted(map(str, loaded.tables.inventory.collect())) == sorted(map(str, want.collect()))
